@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waywright.llm import langid, quality_classifier
+from waywright.llm import bpe, langid, quality_classifier, quality_rules, token_counts
 from waywright.llm.common import documents, held_out
 
 
@@ -18,6 +18,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("lang", "source")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.train(docs)
@@ -27,6 +39,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_bpe": op5_bpe,
+    "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
