@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waywright.llm import bpe, langid, quality_classifier, quality_rules, token_counts
+from waywright.llm import bpe, langid, near_duplicates, quality_classifier, quality_rules, token_counts
 from waywright.llm.common import documents, held_out
 
 
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("lang", "source")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
 
@@ -40,6 +44,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_bpe": op5_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
