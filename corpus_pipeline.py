@@ -1,16 +1,13 @@
-"""The corpus pipeline: language ID, quality, near-duplicates, decontamination, token counts."""
+"""The corpus pipeline: language ID, quality, near-duplicates, benchmark decontamination, byte-pair encoding."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waywright.llm import langid, quality_classifier
+from waywright.llm import bpe, decontamination, langid, near_duplicates, quality_classifier
 from waywright.llm.common import staged
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language can't be told: no text, no letter."""
     model = langid.train(docs)
@@ -23,7 +20,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
-STAGES = [("language", language_stage), ("quality", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    gone = near_duplicates.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold a benchmark item."""
+    leaks = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the remaining documents are as token ids, and that they decode to themselves: digests of both."""
+    return bpe.digest(docs.select("doc_id", "text"), keep_text=False)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("bpe", bpe_stage),
+]
 
 #: The learned stages have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
