@@ -1,11 +1,13 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set are the hashes of its distinct 5-word shingles. Equal sets are collapsed first. Each set is embedded as
-SIZE minwise values. A tree splits the documents: a node picks a position (now and then two, 1 / 0.75 on average) by a
-hash of its own path, and documents with the same value there go to the same child. Nodes of at most LIMIT documents are
-compared exhaustively; larger ones are split further. TREES independent trees make it all but certain that a linked pair
-meets in a small node: at similarity 0.75 a tree keeps a pair to depth d with probability about 0.6 at 3 and 0.3 at 12.
-Nodes that depth DEPTH leaves large hold documents that are all but equal; they are dealt to blocks that share a pivot.
+SIZE minwise values. A tree splits the documents: its root picks one position or two, 1 / 0.75 on average, and a node
+below picks two or three STEP-tuples of positions, 1 / 0.75 ** STEP on average, by a hash of its own path; documents with
+the same values there go to the same child. Nodes of at most LIMIT documents are compared exhaustively; larger ones are
+split further. TREES independent trees make it all but certain that a linked pair meets in a small node: at similarity
+0.75 one tree keeps a pair with probability 0.62 at depth 4 and 0.51 at 7, so twelve miss it with 0.00001 and 0.0002, and
+more similar pairs far less. Nodes that depth DEPTH leaves large hold documents that are much alike; they are dealt to
+blocks that share a pivot, and what the blocks leave apart is compared with the whole node at the end.
 
 In a node, pairs are weighed by the share of equal signature bytes; pairs under FLOOR (over four standard deviations
 below the limit) go. A maximum spanning forest of the rest is confirmed on full sets, and gives components; then those
@@ -26,9 +28,12 @@ from waywright.llm import shingles
 from waywright.llm.common import append_columns, ship, staged
 
 SIZE = 64
-TREES = 16
-LIMIT = 32
-DEPTH = 14
+TREES = 12
+STEP = 3
+LIMIT = 96
+DEPTH = 7
+SMALL = 2_000_000  # hashes of full sets (16 MB) that may be broadcast; beyond, both joins shuffle
+BLOCK = 64  # documents of a block of a large node, on average
 FLOOR = 0.55
 
 
@@ -56,22 +61,19 @@ def root_picks() -> list[list[int]]:
     return [[next(order) for _ in range(2 if k % 3 == 0 else 1)] for k in range(TREES)]
 
 
-def children(depth: int) -> Column:
-    """Keys of the children of node key for a document with signature sign: one step in depth, from depth 2 on two at once."""
-    def at(salt: int) -> Column:
-        return F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(SIZE)).cast("int")
+def children() -> Column:
+    """Keys of the children of node key for a document with signature sign."""
+    def child(pick: int) -> Column:
+        at = [F.pmod(F.xxhash64("key", F.lit(pick * STEP + k)), F.lit(SIZE)).cast("int") + 1 for k in range(STEP)]
+        return F.xxhash64("key", F.lit(pick), *[F.element_at("sign", x) for x in at])
 
-    def child(salt: int) -> Column:
-        parts = [x for k in range(2 if depth >= 2 else 1) for x in (at(salt + k), F.element_at("sign", at(salt + k) + 1))]
-        return F.xxhash64("key", F.lit(salt), *parts)
+    third = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(100)) < 37
+    return F.explode(F.when(third, F.array(child(0), child(1), child(2))).otherwise(F.array(child(0), child(1))))
 
-    often = 78 if depth >= 2 else 33
-    second = F.pmod(F.xxhash64("key", F.lit(99)), F.lit(100)) < often
-    return F.explode(F.when(second, F.array(child(1), child(5))).otherwise(F.array(child(1))))
 
-
-def nodes(sets: DataFrame) -> DataFrame:
-    """(key, id): the small nodes of all trees. sets: (id, sign, low) of different sets."""
+def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, id) of the small nodes and blocks of all trees, and (key, id, block) of the nodes that were dealt to blocks.
+    sets: (id, sign, low) of different sets."""
     rows = sets.select("id", F.explode(F.array(*[F.xxhash64(F.lit(tree), F.lit(p), F.element_at("sign", p + 1)) for tree, own in enumerate(root_picks()) for p in own])).alias("key"))
     small, depth = [], 1
     while True:
@@ -79,19 +81,20 @@ def nodes(sets: DataFrame) -> DataFrame:
         known = staged(rows.join(counts, "key"), "nodes")
         small.append(known.where(F.col("n") <= LIMIT).select("key", "id"))
         large = known.where(F.col("n") > LIMIT)
+        dealt = None
         if large.isEmpty():
             break
         if depth >= DEPTH:
-            block = F.xxhash64("key", F.lit(-1), F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / (LIMIT // 2))))
-            dealt = large.select(block.alias("key"), "id", "pivot")
-            small.append(dealt.select("key", "id").union(dealt.select("key", F.col("pivot").alias("id"))).distinct())
+            block = F.xxhash64("key", F.lit(-2), F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / BLOCK)))
+            dealt = staged(large.select("key", "id", "pivot", block.alias("block")), "dealt")
+            small.append(dealt.select(F.col("block").alias("key"), "id").union(dealt.select(F.col("block").alias("key"), F.col("pivot").alias("id"))).distinct())
             break
-        rows = large.select("key", "id").join(sets.select("id", "sign"), "id").select("id", children(depth).alias("key")).distinct()
-        depth += 2 if depth >= 2 else 1
+        rows = staged(large.select("key", "id").join(sets.select("id", "sign"), "id").select("id", children().alias("key")), "children")
+        depth += STEP
     out = small[0]
     for more in small[1:]:
         out = out.union(more)
-    return out
+    return out, dealt
 
 
 def passing(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +173,26 @@ def compare(crossing: bool):
     return run
 
 
-def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. full: (id, n, set)."""
+def probe(batches):
+    """Batches of (id, low, comp, ids, lows, comps) to the passing pairs of id and ids whose comps differ."""
+    for batch in batches:
+        offsets = batch.column(3).offsets.to_numpy()
+        sizes, base = np.diff(offsets), offsets[0]
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        ids, comps = batch.column(3).flatten().to_numpy(), batch.column(5).flatten().to_numpy()
+        lows = np.frombuffer(b"".join(batch.column(4).flatten().to_pylist()), np.uint8).reshape(-1, SIZE)
+        own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIZE)
+        for k in range(0, len(row), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            found = (comps[part] != batch.column(2).to_numpy()[row[part]]) & ((lows[part] == own[row[part]]).sum(1) >= FLOOR * SIZE)
+            a, b = ids[part][found], batch.column(0).to_numpy()[row[part]][found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int, small_sets: bool) -> DataFrame:
+    """Pairs whose full sets are similar enough. full: (id, n, set); small_sets: they hold SMALL hashes at most."""
+    if small_sets:
+        full = F.broadcast(full)
     a = full.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
     b = full.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
     small = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -193,6 +214,16 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         labels = fresh.select("id", "comp")
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (id, comp) after links (a, b) between ids have joined some of them."""
+    if links.isEmpty():
+        return comps
+    of = lambda end: comps.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
+    bridges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    above = components(comps.select(F.col("comp").alias("id")).distinct(), bridges).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    return staged(comps.join(above, "comp").select("id", F.col("top").alias("comp")), "comps")
+
+
 def _sets(width):
     def work(texts):
         sets = [shingles.shingle_set(t, width).view(np.int64) for t in texts]
@@ -217,23 +248,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     # equal sets: one stands for all. min over a struct of fixed-width parts first, then the signature of that row
     heads = staged(rows.where("n_shingles > 0").groupBy("fingerprint").agg(F.min("id").alias("rep")), "heads")
     sets = staged(rows.select("id", "n_shingles", "fingerprint", "sign", "low").join(heads, (rows.fingerprint == heads.fingerprint) & (rows.id == heads.rep)).select("id", F.col("n_shingles").alias("n"), "sign", "low").dropDuplicates(["id"]), "sets")
-    members = staged(nodes(sets).join(sets.select("id", "low"), "id").groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("low").alias("lows")), "members")
+    small, dealt = nodes(sets)
+    members = staged(small.join(sets.select("id", "low"), "id").groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("low").alias("lows")), "members")
     edges = "a long, b long"
     tried = staged(members.select("ids", "lows").mapInArrow(compare(False), edges).distinct(), "pairs")
     vertices = staged(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "vertices")
     texts = base.join(vertices, "id", "left_semi")
     full = staged(append_columns(texts, "text", [("set", T.ArrayType(T.LongType(), False))], _sets, width, keep_text=False).withColumn("n", F.size("set")), "full")
-    comps = components(vertices, staged(confirmed(tried, full, percent), "confirmed"))
+    small_sets = (full.agg(F.sum("n")).first()[0] or 0) <= SMALL
+    comps = components(vertices, staged(confirmed(tried, full, percent, small_sets), "confirmed"))
     # pairs that could still join two components
     seen = members.select("key", F.explode(F.arrays_zip("ids", "lows")).alias("x")).select("key", F.col("x.ids").alias("id"), F.col("x.lows").alias("low")).join(comps, "id")
     apart = seen.groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("low").alias("lows"), F.collect_list("comp").alias("comps"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
     rest = apart.select("ids", "lows", "comps").mapInArrow(compare(True), edges).distinct().join(tried, ["a", "b"], "left_anti")
-    late = staged(confirmed(staged(rest, "rest"), full, percent), "late")
-    if not late.isEmpty():
-        of = lambda end: comps.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
-        bridges = late.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        above = components(comps.select(F.col("comp").alias("id")).distinct(), bridges).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-        comps = comps.join(above, "comp").select("id", F.col("top").alias("comp"))
+    comps = merged(comps, staged(confirmed(staged(rest, "rest"), full, percent, small_sets), "late"))
+    if dealt is not None:
+        # documents that aren't in their node's main component are compared with all of the node, block by block
+        lots = staged(dealt.join(sets.select("id", "low"), "id").join(comps, "id"), "lots")
+        main = lots.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
+        main = staged(main, "main")
+        apart = lots.join(main, "key").where("comp <> main").select("key", "id", "low", "comp")
+        blocks = lots.join(main, "key").groupBy("key", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("low").alias("lows"), F.collect_list("comp").alias("comps"))
+        pairs = apart.join(blocks, "key").select("id", "low", "comp", "ids", "lows", "comps").mapInArrow(probe, edges).distinct().join(tried, ["a", "b"], "left_anti")
+        comps = merged(comps, staged(confirmed(staged(pairs, "last"), full, percent, small_sets), "late"))
     heads = staged(heads.join(comps, heads.rep == comps.id, "left").select("fingerprint", F.coalesce("comp", "rep").alias("comp")), "components")
     out = rows.select("id", "n_shingles", "fingerprint").join(heads, "fingerprint", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("id"))
