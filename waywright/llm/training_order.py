@@ -1,12 +1,12 @@
 """Training-order materialisation of token sequences.
 
-Texts are tokenised with a byte-level vocabulary, closed by its end-of-text id, and cut into sequences of LENGTH ids, the
-last one padded. Sequences are numbered without gaps from 0 to N - 1: those of a task of the tokenising step are
-consecutive, and tasks follow each other. A keyed Feistel network over the next even power of two permutes the numbers;
+Texts are tokenised with a byte-level vocabulary and closed by its end-of-text id; the stream of a task's texts is cut
+into sequences of LENGTH ids, and only a task's last one is padded. Sequences are numbered without gaps from 0 to N - 1:
+those of a task are consecutive, and tasks follow each other. A keyed Feistel network over the next even power of two permutes the numbers;
 values of N or more are mapped again until they are below N (cycle walking), so every sequence has a slot of its own and
 every slot below N a sequence, with no state but the key. Slots are dealt in ranges of ROWS to shard files of fixed
 stride: slot s is at byte s % ROWS * stride of shard s // ROWS, so that reading in order is sequential and can begin
-anywhere. A shard is filled in a buffer, written under a name of its own attempt and then renamed: a repeated task
+anywhere. Sequences travel to their shard in compressed blocks, one for each task and shard. A shard is filled in a buffer, written under a name of its own attempt and then renamed: a repeated task
 replaces it by the same bytes.
 """
 
@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from waywright.llm.common import append_columns, shared_dir, ship, staged, tokenizer_file
+from waywright.llm.common import shared_dir, ship, staged, tokenizer_file
 from waywright.llm.shingles import mixed
 
 LENGTH = 256
 ROWS = 1 << 15
 ROUNDS = 6
 PARTS = 100_000
+HELD = 1 << 26  # bytes of sequences that a task holds before it makes blocks of them
 
 
 def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -67,70 +67,108 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def _tokens(path, length):
-    own, end = encoder(path, PATTERN)
-    kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
-    part, before = TaskContext.get().partitionId(), 0
+    """Batches of (id, text) to sequences: task, number in it, id and token offset of the text of its first token, ids
+    before padding, bytes."""
 
-    def work(texts):
-        nonlocal before
-        sizes, starts, data = [], [], []
-        for t in texts:
-            ids = np.append(own.encode_to_numpy(t or "", disallowed_special=()), end).astype(kind)
-            sizes.append(-(-len(ids) // length))
-            starts.append(before)
-            before += sizes[-1]
-            data.append(ids.tobytes())
-        return [[part] * len(texts), starts, sizes, data]
+    def run(batches):
+        own, end = encoder(path, PATTERN)
+        kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
+        part, number = TaskContext.get().partitionId(), 0
+        rest, owner, offset = np.zeros(0, kind), None, 0  # tokens that wait for more, and where the first one is from
+        id_type = None
+
+        def rows(ids, offsets, filled, payload):
+            nonlocal number
+            k = len(payload)
+            number += k
+            return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(number - k, number), pa.int64()), pa.array(ids, id_type), pa.array(offsets, pa.int64()), pa.array(filled, pa.int32()), pa.array(payload, pa.binary())], names=["part", "number", "doc_id", "doc_offset", "n_tokens", "payload"])
+
+        for batch in batches:
+            id_type = batch.column(0).type
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(0, len(texts), 512):
+                each = [np.append(own.encode_to_numpy(t or "", disallowed_special=()), end).astype(kind) for t in texts[k : k + 512]]
+                who = [owner, *names[k : k + 512]]
+                starts = np.cumsum([0, len(rest), *map(len, each)])
+                flat = np.concatenate([rest, *each])
+                count = len(flat) // length
+                first = np.arange(count + 1) * length
+                at = np.minimum(np.searchsorted(starts, first, side="right") - 1, len(who) - 1)
+                inside = first - starts[at] + np.where(at == 0, offset, 0)
+                if count:
+                    data = flat[: count * length].tobytes()
+                    stride = length * kind.itemsize
+                    yield rows([who[i] for i in at[:-1]], inside[:-1], [length] * count, [data[i : i + stride] for i in range(0, len(data), stride)])
+                rest, owner, offset = flat[count * length :], who[at[-1]], int(inside[-1])
+        if len(rest):
+            whole = np.full(length, end, kind)
+            whole[: len(rest)] = rest
+            yield rows([owner], [offset], [len(rest)], [whole.tobytes()])
 
-    return work
+    return run
 
 
-def _sequences(length, width, end, n, key, rows):
-    kind = np.dtype(f"<u{width}")
+BLOCKS = "shard int, slots binary, doc_ids {0}, doc_offsets array<bigint>, filled array<int>, payload binary"
+
+
+def _blocks(stride, n, key, rows):
+    """Batches of (number, id, offset, ids before padding, bytes) to one compressed block for each shard met."""
 
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=6).compress
+        held, size = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held).combine_chunks()
+            slots = feistel(table.column(0).to_numpy(), n, key)
+            order = np.lexsort((slots, slots // rows))
+            table = table.take(pa.array(order))
+            slots = slots[order]
+            shards = slots // rows
+            cuts = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist(), len(slots)]
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table.column(c).combine_chunks()) for c in (1, 2, 3)]
+            data = table.column(4).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]), *lists, pa.array([pack(b"".join(data[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])], names=["shard", "slots", "doc_ids", "doc_offsets", "filled", "payload"])
+
         for batch in batches:
-            ids, first, data = (batch.column(k) for k in range(3))
-            owner, number, seq, filled, payload = [], [], [], [], []
-            for k, (start, raw) in enumerate(zip(first.to_pylist(), data.to_pylist(), strict=True)):
-                tokens = np.frombuffer(raw, kind)
-                count = -(-len(tokens) // length)
-                whole = np.full(count * length, end, kind)
-                whole[: len(tokens)] = tokens
-                flat = whole.tobytes()
-                stride = length * width
-                payload += [flat[i * stride : (i + 1) * stride] for i in range(count)]
-                owner += [k] * count
-                number += range(start, start + count)
-                seq += range(count)
-                filled += [length] * (count - 1) + [len(tokens) - (count - 1) * length]
-            if owner:
-                slots = feistel(np.array(number), n, key)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(seq, pa.int32()), pa.array(slots), pa.array((slots // rows).astype(np.int32)), pa.array(filled, pa.int32()), pa.array(payload, pa.binary())], names=["doc_id", "seq", "slot", "shard", "n_tokens", "payload"])
+            held.append(batch)
+            size += batch.num_rows * stride
+            if size >= HELD:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
 
     return run
 
 
 def _write(folder, stride, n, rows):
     def run(batches):
+        import zstandard
         from pyarrow import fs
 
-        shard, buffer, meta = None, None, []
+        unpack = zstandard.ZstdDecompressor().decompress
+        shard, buffer, meta, count = None, None, [], 0
         for batch in batches:
-            shards = np.unique(batch.column(3).to_numpy())
+            shards = np.unique(batch.column(0).to_numpy())
+            if not len(shards):
+                continue
             if len(shards) > 1 or (shard is not None and shards[0] != shard):
                 raise ValueError("a partition holds one shard")
             if shard is None:
                 shard = int(shards[0])
-                count = min(rows, n - shard * rows)
-                buffer = np.zeros((count, stride), np.uint8)
-            at = batch.column(2).to_numpy() - shard * rows
-            data = b"".join(batch.column(5).to_pylist())
-            buffer[at] = np.frombuffer(data, np.uint8).reshape(-1, stride)
-            meta.append((batch.select([0, 1, 2, 3, 4]), at))
+                buffer = np.zeros((min(rows, n - shard * rows), stride), np.uint8)
+            for slots, data in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                at = np.frombuffer(slots, np.int64) - shard * rows
+                count += len(at)
+                buffer[at] = np.frombuffer(unpack(data), np.uint8).reshape(-1, stride)
+            at = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64) - shard * rows
+            meta.append((at, *(batch.column(c).flatten() for c in (2, 3, 4))))
         if shard is None:
             return
-        if sum(len(at) for _, at in meta) != len(buffer):
+        if count != len(buffer):
             raise ValueError(f"shard {shard} has gaps")
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
@@ -138,9 +176,9 @@ def _write(folder, stride, n, rows):
         with store.open_output_stream(own) as out:
             out.write(buffer.tobytes())
         store.move(own, f"{path}/shard-{shard:06d}.bin")
-        for part, at in meta:
+        for at, ids, offsets, filled in meta:
             sums = [zlib.crc32(buffer[i].tobytes()) for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at * stride), pa.array(sums, pa.int64())], names=["doc_id", "seq", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32"])
+            yield pa.RecordBatch.from_arrays([ids, offsets, pa.array(at + shard * rows), pa.array(np.full(len(at), shard, np.int32)), filled, pa.array(at * stride), pa.array(sums, pa.int64())], names=["doc_id", "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32"])
 
     return run
 
@@ -148,11 +186,11 @@ def _write(folder, stride, n, rows):
 def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, rows: int = ROWS, key: int = 20240607) -> DataFrame:
     """Write the shards to folder (by default a new one in the shared folder) and return their manifest.
 
-    (id_col, seq, slot, shard, n_tokens, byte_offset, payload_crc32): a row for each sequence; slot has every value from 0
-    to rows - 1 once; n_tokens counts the ids before padding. Null and empty texts give one sequence that holds the
-    end-of-text id alone. Repeated rows give sequences of their own. An empty table gives no shard and an empty
-    manifest. Further columns of docs aren't read. The same key and the same staged tokens give the same order. folder is
-    a URI that pyarrow can open: file, hdfs, s3 and gs.
+    (id_col, doc_offset, slot, shard, n_tokens, byte_offset, payload_crc32): a row for each sequence. slot has every value
+    from 0 to rows - 1 once; the sequence begins with token doc_offset of document id_col; n_tokens counts the ids before
+    padding. Null and empty texts give the end-of-text id alone. Repeated rows are repeated in the stream. An empty table
+    gives no shard and an empty manifest. Further columns of docs aren't read. The same key and the same staged tokens
+    give the same order. folder is a URI that pyarrow can open: file, hdfs, s3 and gs.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -160,18 +198,18 @@ def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "do
     folder = folder or f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
     end = encoder(path, PATTERN)[1]
     width = 2 if end < 1 << 16 else 4
-    fields = [("part", T.IntegerType()), ("start", T.LongType()), ("n_seq", T.LongType()), ("data", T.BinaryType())]
-    tokens = staged(append_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", fields, _tokens, path, length, keep_text=False), "tokens", "zstd")
-    parts = staged(tokens.groupBy("part").agg(F.sum("n_seq").alias("own")), "parts")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    id_type = base.schema["doc_id"].dataType.simpleString()
+    sequences = staged(base.mapInArrow(_tokens(path, length), f"part int, number long, doc_id {id_type}, doc_offset long, n_tokens int, payload binary"), "tokens", "zstd")
+    parts = staged(sequences.groupBy("part").agg(F.count("*").alias("own")), "parts")
     n, tasks = parts.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count("*")).first()
     bases = parts.select(F.col("part").alias("_part"), (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
     if tasks <= PARTS:  # a row for each task of the tokenising step
         bases = F.broadcast(bases)
-    numbered = tokens.join(bases, F.col("part") == F.col("_part")).select("doc_id", (F.col("base") + F.col("start")).alias("first"), "data")
-    id_type = tokens.schema["doc_id"].dataType.simpleString()
-    sequences = numbered.mapInArrow(_sequences(length, width, end, n, key, rows), f"doc_id {id_type}, seq int, slot long, shard int, n_tokens int, payload binary")
-    ranges = sequences.repartitionById(max(1, -(-n // rows)), F.col("shard"))
-    manifest = ranges.mapInArrow(_write(folder, length * width, n, rows), f"doc_id {id_type}, seq int, slot long, shard int, n_tokens int, byte_offset long, payload_crc32 long")
+    numbered = sequences.join(bases, F.col("part") == F.col("_part")).select((F.col("base") + F.col("number")).alias("number"), "doc_id", "doc_offset", "n_tokens", "payload")
+    blocks = numbered.mapInArrow(_blocks(length * width, n, key, rows), BLOCKS.format(f"array<{id_type}>"))
+    ranges = blocks.repartitionById(max(1, -(-n // rows)), F.col("shard"))
+    manifest = ranges.mapInArrow(_write(folder, length * width, n, rows), f"doc_id {id_type}, doc_offset long, slot long, shard int, n_tokens int, byte_offset long, payload_crc32 long")
     return staged(manifest, "manifest").withColumnRenamed("doc_id", id_col)
 
 
