@@ -32,7 +32,7 @@ TREES = 12
 STEP = 3
 LIMIT = 96
 DEPTH = 7
-SMALL = 2_000_000  # hashes of full sets (16 MB) that may be broadcast; beyond, both joins shuffle
+SMALL = 1_500_000  # hashes of the candidates' full sets (12 MB) that may be broadcast; beyond, pairs are joined with them
 BLOCK = 64  # documents of a block of a large node, on average
 FLOOR = 0.55
 
@@ -127,11 +127,50 @@ def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def compare(crossing: bool):
+class Held:
+    """Full sets of a bounded number of documents, broadcast to the Python workers."""
+
+    def __init__(self, full: DataFrame):
+        table = full.select("id", "set").toArrow()
+        sets = table.column("set").combine_chunks()
+        ids, offsets = table.column("id").to_numpy(), sets.offsets.to_numpy()
+        order = np.argsort(ids, kind="stable")
+        self.shared = full.sparkSession.sparkContext.broadcast((ids[order], offsets[:-1][order], offsets[1:][order], sets.values.to_numpy()))
+
+    def checker(self, percent: int):
+        """A function of arrays a, b: which pairs are similar enough."""
+        ids, starts, ends, values = self.shared.value
+        memo: dict[int, frozenset] = {}
+        size = 0
+
+        def own(x: int) -> frozenset:
+            nonlocal size
+            if x not in memo:
+                i = int(np.searchsorted(ids, x))
+                size += int(ends[i] - starts[i])
+                if size > 1_000_000:
+                    memo.clear()
+                    size = int(ends[i] - starts[i])
+                memo[x] = frozenset(values[starts[i] : ends[i]].tolist())
+            return memo[x]
+
+        def check(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(a), bool)
+            for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                p, q = own(x), own(y)
+                both = len(p & q)
+                out[k] = 100 * both >= percent * (len(p) + len(q) - both)
+            return out
+
+        return check
+
+
+def compare(crossing: bool, held: Held | None = None, percent: int = 0):
     """Batches of nodes (ids, lows, comps as lists) to candidate pairs (a, b), a < b: a forest of a node's passing pairs,
-    or all passing pairs whose ends have different comps."""
+    or all passing pairs whose ends have different comps; with held, only those that their full sets confirm."""
 
     def run(batches):
+        check = held.checker(percent) if held else None
         for batch in batches:
             lists = [batch.column(k) for k in range(batch.num_columns)]
             offsets = lists[0].offsets.to_numpy()
@@ -168,25 +207,35 @@ def compare(crossing: bool):
                             right.append(np.array([y for _, y in kept], np.int64))
             if left:
                 pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+                if check:
+                    pairs = pairs[check(pairs[:, 0], pairs[:, 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def probe(batches):
-    """Batches of (id, low, comp, ids, lows, comps) to the passing pairs of id and ids whose comps differ."""
-    for batch in batches:
-        offsets = batch.column(3).offsets.to_numpy()
-        sizes, base = np.diff(offsets), offsets[0]
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        ids, comps = batch.column(3).flatten().to_numpy(), batch.column(5).flatten().to_numpy()
-        lows = np.frombuffer(b"".join(batch.column(4).flatten().to_pylist()), np.uint8).reshape(-1, SIZE)
-        own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIZE)
-        for k in range(0, len(row), 1 << 16):
-            part = slice(k, k + (1 << 16))
-            found = (comps[part] != batch.column(2).to_numpy()[row[part]]) & ((lows[part] == own[row[part]]).sum(1) >= FLOOR * SIZE)
-            a, b = ids[part][found], batch.column(0).to_numpy()[row[part]][found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def probe(held: Held | None = None, percent: int = 0):
+    """Batches of (id, low, comp, ids, lows, comps) to the passing pairs of id and ids whose comps differ; with held, only
+    those that their full sets confirm."""
+
+    def run(batches):
+        check = held.checker(percent) if held else None
+        for batch in batches:
+            offsets = batch.column(3).offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            ids, comps = batch.column(3).flatten().to_numpy(), batch.column(5).flatten().to_numpy()
+            lows = np.frombuffer(b"".join(batch.column(4).flatten().to_pylist()), np.uint8).reshape(-1, SIZE)
+            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIZE)
+            for k in range(0, len(row), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                found = (comps[part] != batch.column(2).to_numpy()[row[part]]) & ((lows[part] == own[row[part]]).sum(1) >= FLOOR * SIZE)
+                x, y = ids[part][found], batch.column(0).to_numpy()[row[part]][found]
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                if check:
+                    pairs = pairs[check(pairs[:, 0], pairs[:, 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int, small_sets: bool) -> DataFrame:
@@ -256,12 +305,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     texts = base.join(vertices, "id", "left_semi")
     full = staged(append_columns(texts, "text", [("set", T.ArrayType(T.LongType(), False))], _sets, width, keep_text=False).withColumn("n", F.size("set")), "full")
     small_sets = (full.agg(F.sum("n")).first()[0] or 0) <= SMALL
+    held = Held(full) if small_sets else None
+
+    def late(pairs: DataFrame) -> DataFrame:
+        """Links among pairs that may still join two components; with held they are confirmed already."""
+        pairs = staged(pairs.distinct(), "late")
+        return pairs if held else staged(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), full, percent, small_sets), "confirmed")
+
     comps = components(vertices, staged(confirmed(tried, full, percent, small_sets), "confirmed"))
     # pairs that could still join two components
     seen = members.select("key", F.explode(F.arrays_zip("ids", "lows")).alias("x")).select("key", F.col("x.ids").alias("id"), F.col("x.lows").alias("low")).join(comps, "id")
     apart = seen.groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("low").alias("lows"), F.collect_list("comp").alias("comps"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    rest = apart.select("ids", "lows", "comps").mapInArrow(compare(True), edges).distinct().join(tried, ["a", "b"], "left_anti")
-    comps = merged(comps, staged(confirmed(staged(rest, "rest"), full, percent, small_sets), "late"))
+    comps = merged(comps, late(apart.select("ids", "lows", "comps").mapInArrow(compare(True, held, percent), edges)))
     if dealt is not None:
         # documents that aren't in their node's main component are compared with all of the node, block by block
         lots = staged(dealt.join(sets.select("id", "low"), "id").join(comps, "id"), "lots")
@@ -269,8 +324,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         main = staged(main, "main")
         apart = lots.join(main, "key").where("comp <> main").select("key", "id", "low", "comp")
         blocks = lots.join(main, "key").groupBy("key", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("low").alias("lows"), F.collect_list("comp").alias("comps"))
-        pairs = apart.join(blocks, "key").select("id", "low", "comp", "ids", "lows", "comps").mapInArrow(probe, edges).distinct().join(tried, ["a", "b"], "left_anti")
-        comps = merged(comps, staged(confirmed(staged(pairs, "last"), full, percent, small_sets), "late"))
+        comps = merged(comps, late(apart.join(blocks, "key").select("id", "low", "comp", "ids", "lows", "comps").mapInArrow(probe(held, percent), edges)))
     heads = staged(heads.join(comps, heads.rep == comps.id, "left").select("fingerprint", F.coalesce("comp", "rep").alias("comp")), "components")
     out = rows.select("id", "n_shingles", "fingerprint").join(heads, "fingerprint", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("id"))
