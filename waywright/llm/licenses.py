@@ -70,13 +70,13 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, *, id_col: str = "d
     Templates have two words at least and CLASSES[-1] + 1 at most. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    if not texts:
+        return docs.select(F.col(id_col), F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).where("false")
     fixed = [r.asDict() for r in templates(spark, texts).collect()]  # of the templates, not of documents
     for t in fixed:
         if not 2 <= t["n_words"] <= CLASSES[-1] + 1:
             raise ValueError(f"template {t['template']} has {t['n_words']} words")
         t["class"] = next(c for c in CLASSES if t["n_words"] <= c + 1)
-    if not fixed:  # nothing to look for
-        return docs.select(F.col(id_col), F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).where("false")
     literal = lambda values: F.array(*[F.lit(v) for v in sorted(set(values))])
 
     def of_class(h: Column, c: int, own: list[dict]) -> Column:
