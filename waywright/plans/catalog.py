@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from waywright.functions import costs, geo, paths
 from waywright.functions.costs import Box
 from waywright.operators import audit, graph, network, portal, reports, via
+from waywright.plans import more
 from waywright.sources import lattice, text_files
 from waywright.sources.lattice import SQL
 
@@ -534,6 +536,7 @@ def agg_graph_compare(spark, sf_dir):
 audit.register(query, walks, WALKS_SQL)
 reports.register(query, run_rows, RUNS_SQL, routes, ROUTES_SQL, read)
 portal.register(query, lattice, cells, BOX, graph, network)
+more.register(query, sys.modules[__name__])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
