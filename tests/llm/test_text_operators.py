@@ -228,6 +228,28 @@ def test_every_whole_benchmark_passage_is_found(spark, docs):
     assert want <= got and {d for d, _ in got} == {d for d, _ in want}
 
 
+def test_decontamination_finds_copies_in_other_cases_and_places(spark):
+    items = [
+        "A letter from Anna Maria Bauer and Otto Karl Stein says that Peter Groß saw Paris, Rome and Berlin before Easter",
+        "Every Tuesday morning Robert Miller feeds Daisy",
+        "What is 12 + 35 - 7 * 3?",
+        "Ada Lovelace met Charles Babbage in London Bridge Street",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [items[0].upper(), items[0].lower(), f"they say that {items[1].lower()}, so it is", items[1].replace(" ", "\n"), f"Now: {items[2]} Well.", f"then {items[3]} again", "What is 12 + 36 - 7 * 3?", "nothing of Anna or Otto"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["reparameterised"]) for r in decontamination.leaks(table, bench).collect()}
+    assert got == {k: (1.0, False) for k in [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]}
+
+
+def test_decontamination_keeps_the_share_of_templates(spark):
+    item = "Add 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 and then tell the whole class what the sum of them is"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    table = spark.createDataFrame([(1, re.sub(r"\d+", lambda m: str(int(m[0]) + 50), item))], "doc_id long, text string")
+    (row,) = decontamination.leaks(table, bench).collect()
+    assert row["coverage"] == 1.0 and row["reparameterised"] and row["matched"] == row["windows"]
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 256, 1000):
         assert sorted(training_order.feistel(np.arange(n), n, 9).tolist()) == list(range(n))

@@ -1,11 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units after a number, and capitalised words inside a sentence become typed placeholders; all other words count
-in lower case. Windows of WIDTH canonical words of documents and benchmark items are hash-joined. Windows on one diagonal
+case-folded. Windows of WIDTH canonical words of documents and benchmark items are hash-joined. Windows on one diagonal
 (same distance of positions) are an alignment; in it every placeholder's value in the item must stand for one value in
 the document and the other way round. So a copied question is caught, and so is one with other numbers or names, while
 accidental templates with contradicting slots are not.
 
+Placeholders depend on capitals, sentence ends and line ends, and windows of which less than the share LITERAL is other
+words are no templates. So all windows of case-folded words, without placeholders, are joined as well: a copy in capitals
+or in lower case, within a sentence, wrapped anew or mostly of numbers and names is found by these. A copy with other
+numbers or names is found by templates only, hence only where its capitals and line ends leave the placeholders in place.
+
 Before the join, documents' windows pass a bitmap of fixed size that holds the benchmark's hashes; it lets false ones
 through, which the join then drops, and never stops a true one.
 """
@@ -29,18 +34,20 @@ BITS = 24
 # Units of measurement and money.
 UNITS = "mm cm m km kg g mg t l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks year years mile miles foot feet inch inches yard yards pound pounds ounce ounces gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres liter liters litre litres percent dollar dollars cent cents euro euros usd eur gbp degree degrees volt volts watt watts joule joules newton newtons hz khz mhz ghz kb mb gb tb"
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x1F3A5C7E9B2D4F61, 0x2E4B6D8FA1C3E507, 0x3D5C7B9A8F6E4D2B))
+FOLDED = np.uint64(0x5B7D9FA2C4E60813)  # sets windows of case-folded words apart from templates
 _tables: list[np.ndarray] = []
 _units: list[np.ndarray] = []
 
 
 def tables() -> list[np.ndarray]:
-    """By code point: part of a word, digit, upper case, lower-case form."""
+    """By code point: part of a word, digit, upper case, case-folded form, whether that is several letters."""
     if not _tables:
         chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x110000)]
         _tables.append(np.fromiter((x.isalnum() for x in chars), bool, len(chars)))
         _tables.append(np.fromiter((x.isdecimal() for x in chars), bool, len(chars)))
         _tables.append(np.fromiter((x.isupper() for x in chars), bool, len(chars)))
-        _tables.append(np.fromiter((ord(y) if len(y := x.lower()) == 1 else ord(x) for x in chars), np.uint64, len(chars)))
+        _tables.append(np.fromiter((ord(y) if len(y := x.casefold()) == 1 else ord(x) for x in chars), np.uint64, len(chars)))
+        _tables.append(np.fromiter((len(y := x.casefold()) > 1 and y.isalnum() for x in chars), bool, len(chars)))
     return _tables
 
 
@@ -51,9 +58,13 @@ def hashed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: hash of its canonical form, hash of its lower-case form, whether it is a placeholder."""
-    word, digit, upper, lower = tables()
+    """Of each word: hash of its canonical form, hash of its case-folded form, whether it is a placeholder."""
+    word, digit, upper, lower, several = tables()
     c = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(odd := np.unique(c[several[c]])):  # capitals of a German sharp s are two letters
+        for x in map(chr, odd.tolist()):
+            text = text.replace(x, x.casefold().capitalize() if x.isupper() else x.casefold())
+        c = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
     numeric = digit[c]
     inside = word[c]
     point = ((c[1:-1] == 46) | (c[1:-1] == 44)) & numeric[:-2] & numeric[2:]  # 3.5 and 1,000 are one number
@@ -85,20 +96,26 @@ def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def text_windows(text: str | None, widths: list[int]) -> tuple[np.ndarray, ...]:
-    """Of all windows with enough literal words: hash, position, width; and forms, values and placeholders of the words."""
+    """Of all templates with enough literal words and all windows of case-folded words: hash, position, width, whether it
+    is the latter; and values and placeholders of the words."""
     form, own, slot = canonical(text or "")
     filled = np.concatenate([[0], np.cumsum(slot)])
-    hashes, places, sizes = [], [], []
+    hashes, places, sizes, folded = [], [], [], []
     for width in widths:
-        h = windows(form, width) + np.uint64(width)
-        at = np.nonzero(filled[width:] - filled[: len(h)] <= (1 - LITERAL) * width)[0] if len(h) else np.zeros(0, np.int64)
-        hashes.append(h[at])
-        places.append(at)
-        sizes.append(np.full(len(at), width))
-    return np.concatenate(hashes), np.concatenate(places), np.concatenate(sizes), own, slot
+        if len(form) < width:
+            continue
+        at = np.nonzero(filled[width:] - filled[:-width] <= (1 - LITERAL) * width)[0]
+        for h, at, literal in ((windows(form, width)[at], at, False), (windows(own, width) + FOLDED, np.arange(len(form) - width + 1), True)):
+            hashes.append(h + np.uint64(width))
+            places.append(at)
+            sizes.append(np.full(len(at), width))
+            folded.append(np.full(len(at), literal))
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), own, slot
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(sizes), np.concatenate(folded), own, slot
 
 
-ROW = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("slots", T.ArrayType(T.LongType()))]))
+ROW = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("folded", T.BooleanType()), T.StructField("slots", T.ArrayType(T.LongType()))]))
 
 
 def _cut(widths, bitmap, whole):
@@ -109,43 +126,48 @@ def _cut(widths, bitmap, whole):
             n = len(canonical(text or "")[0])
             if n < SHORTEST:
                 return []
-            h, at, size, own, slot = text_windows(text, [min(n, WIDTH)])
+            h, at, size, folded, own, slot = text_windows(text, [min(n, WIDTH)])
         else:
-            h, at, size, own, slot = text_windows(text, widths)
+            h, at, size, folded, own, slot = text_windows(text, widths)
         if bitmap is not None:
             index = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
             found = np.nonzero(bitmap[index])[0]
-            h, at, size = h[found], at[found], size[found]
+            h, at, size, folded = h[found], at[found], size[found], folded[found]
         value = own.view(np.int64)
-        return [{"hash": int(x), "at": int(a), "slots": value[a : a + s][slot[a : a + s]].tolist()} for x, a, s in zip(h.view(np.int64), at, size, strict=True)]
+        return [{"hash": int(x), "at": int(a), "width": int(s), "folded": bool(f), "slots": [] if f else value[a : a + s][slot[a : a + s]].tolist()} for x, a, s, f in zip(h.view(np.int64), at, size, folded, strict=True)]
 
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("width", pa.int32()), ("folded", pa.bool_()), ("slots", pa.list_(pa.int64()))]))
     return lambda texts: [pa.array([one(t) for t in texts], kind)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id_col, item_col, matched, windows, coverage, reparameterised): a row for each document that holds at least the
-    share coverage of an item's windows in consistent alignments; reparameterised where a placeholder's value differs.
+    share coverage of an item's windows; reparameterised where a placeholder's value differs. A place of the item is
+    matched by its template in a consistent alignment or by its case-folded words; coverage is the share of all places
+    matched by either or, where that is larger, the share of the templates, and matched and windows are of that share.
 
     Null and empty texts, and items of fewer than SHORTEST words, match nothing. Repeated documents count once for their
     id; repeated items count each. Empty tables give an empty result; further columns aren't read.
     """
     items = append_columns(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")), "text", [("rows", ROW)], _cut, [], None, True, keep_text=False)
-    items = staged(items.select("item", F.size("rows").alias("windows"), F.explode("rows").alias("x")).select("item", "windows", "x.*"), "benchmark")
+    count = lambda folded: F.size(F.filter("rows", lambda x: x["folded"] == folded))
+    items = staged(items.select("item", count(True).alias("places"), count(False).alias("templates"), F.explode("rows").alias("x")).select("item", "places", "templates", "x.*"), "benchmark")
     # at most 2 ** (BITS - 15) bitmaps of 4 KB, however large the benchmark is
     place = F.pmod(F.col("hash"), F.lit(1 << BITS))
     bitmap = np.zeros(1 << BITS, bool)
     for r in items.select(F.expr(f"int(pmod(hash, {1 << BITS}L) div 32768)").alias("part"), (place % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
         bitmap[r["part"] << 15 : (r["part"] + 1) << 15] = bits
-    widths = list(range(SHORTEST, WIDTH + 1))
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # of SHORTEST to WIDTH those that occur
     found = append_columns(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", [("rows", ROW)], _cut, widths, bitmap, False, keep_text=False)
     found = found.select("id", F.explode("rows").alias("x")).select("id", F.col("x.hash").alias("hash"), F.col("x.at").alias("doc_at"), F.col("x.slots").alias("doc_slots"))
     both = found.join(items, "hash").withColumn("pairs", F.arrays_zip("slots", "doc_slots"))
-    lines = both.groupBy("id", "item", "windows", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    lines = both.groupBy("id", "item", "places", "templates", "folded", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("found"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     lines = lines.where((distinct("slots") == F.size("pairs")) & (distinct("doc_slots") == F.size("pairs")))
     changed = F.exists("pairs", lambda p: p["slots"] != p["doc_slots"])
-    whole = lines.groupBy("id", "item", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max(changed).alias("reparameterised"))
-    share = F.col("matched") / F.col("windows")
-    return whole.withColumn("coverage", share).where(F.col("coverage") >= coverage).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows"), "coverage", "reparameterised")
+    union = lambda found: F.size(F.array_distinct(F.flatten(F.collect_list(found))))
+    whole = lines.groupBy("id", "item", "places", "templates").agg(union("found").alias("either"), union(F.when(~F.col("folded"), F.col("found"))).alias("template"), F.max(changed).alias("reparameterised"))
+    by_template = F.col("template") * F.col("places") > F.col("either") * F.col("templates")
+    whole = whole.withColumn("matched", F.when(by_template, F.col("template")).otherwise(F.col("either")).cast("long")).withColumn("windows", F.when(by_template, F.col("templates")).otherwise(F.col("places")).cast("long"))
+    return whole.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "windows", "coverage", "reparameterised")
