@@ -272,6 +272,23 @@ def test_training_order_shards(odd, none, docs, tmp_path):
     assert training_order.materialise(none).count() == 0
 
 
+def test_training_order_names_every_document_and_token(odd, docs, tmp_path):
+    own, end = training_order.encoder(P.path("byte_bpe_50k.tiktoken"), training_order.PATTERN)
+    for k, table in enumerate((docs, odd, odd.where("doc_id < 4"))):
+        folder = f"file://{tmp_path}/{k}"
+        got = {r["slot"]: r for r in training_order.materialise(table, folder, length=64, rows=100).collect()}
+        held = {}
+        for slot, x in enumerate(training_order.read(folder, range(len(got)), length=64, rows=100)):
+            at = 0
+            for s in got[slot]["segments"]:
+                assert s["start"] == at and s["n_tokens"] > 0
+                at += s["n_tokens"]
+                held.setdefault(s["doc_id"], []).append((s["doc_offset"], x[s["start"] : at].tolist()))
+            assert at == got[slot]["n_tokens"] and (x[at:] == end).all()
+        want = {r["doc_id"]: [*own.encode_ordinary(r["text"] or ""), end] for r in table.collect()}
+        assert {d: [t for _, part in sorted(parts) for t in part] for d, parts in held.items()} == want
+
+
 def test_pipeline_stages_against_their_operators(spark):
     import corpus_pipeline
 

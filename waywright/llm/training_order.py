@@ -7,7 +7,8 @@ values of N or more are mapped again until they are below N (cycle walking), so
 every slot below N a sequence, with no state but the key. Slots are dealt in ranges of ROWS to shard files of fixed
 stride: slot s is at byte s % ROWS * stride of shard s // ROWS, so that reading in order is sequential and can begin
 anywhere. Sequences travel to their shard in compressed blocks, one for each task and shard. A shard is filled in a buffer, written under a name of its own attempt and then renamed: a repeated task
-replaces it by the same bytes.
+replaces it by the same bytes. The manifest names every piece of a document that a sequence holds, so that each document
+and each of its tokens can be found.
 """
 
 from __future__ import annotations
@@ -67,52 +68,62 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def _tokens(path, length):
-    """Batches of (id, text) to sequences: task, number in it, id and token offset of the text of its first token, ids
-    before padding, bytes."""
+    """Batches of (id, text) to sequences: task, number in it, ids of the texts that it holds pieces of, where each piece
+    starts in it, token offset of the first piece in its text, ids before padding, bytes. Further pieces have offset 0."""
 
     def run(batches):
         own, end = encoder(path, PATTERN)
         kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
         part, number = TaskContext.get().partitionId(), 0
-        rest, owner, offset = np.zeros(0, kind), None, 0  # tokens that wait for more, and where the first one is from
+        rest, owners, begins, offset = np.zeros(0, kind), [], np.zeros(0, np.int64), 0  # tokens that wait for more, and their pieces
         id_type = None
 
-        def rows(ids, offsets, filled, payload):
+        def rows(cuts, ids, starts, offsets, filled, payload):
             nonlocal number
             k = len(payload)
             number += k
-            return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(number - k, number), pa.int64()), pa.array(ids, id_type), pa.array(offsets, pa.int64()), pa.array(filled, pa.int32()), pa.array(payload, pa.binary())], names=["part", "number", "doc_id", "doc_offset", "n_tokens", "payload"])
+            cuts = pa.array(cuts, pa.int32())
+            pieces = [pa.ListArray.from_arrays(cuts, pa.array(ids, id_type)), pa.ListArray.from_arrays(cuts, pa.array(starts, pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(number - k, number), pa.int64()), *pieces, pa.array(offsets, pa.int64()), pa.array(filled, pa.int32()), pa.array(payload, pa.binary())], names=["part", "number", "doc_ids", "starts", "doc_offset", "n_tokens", "payload"])
 
         for batch in batches:
             id_type = batch.column(0).type
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in range(0, len(texts), 512):
                 each = [np.append(own.encode_to_numpy(t or "", disallowed_special=()), end).astype(kind) for t in texts[k : k + 512]]
-                who = [owner, *names[k : k + 512]]
-                starts = np.cumsum([0, len(rest), *map(len, each)])
+                who = [*owners, *names[k : k + 512]]
+                starts = np.concatenate([begins, len(rest) + np.cumsum([0, *map(len, each)])])
                 flat = np.concatenate([rest, *each])
                 count = len(flat) // length
                 first = np.arange(count + 1) * length
-                at = np.minimum(np.searchsorted(starts, first, side="right") - 1, len(who) - 1)
+                at = np.searchsorted(starts[:-1], first, side="right") - 1
                 inside = first - starts[at] + np.where(at == 0, offset, 0)
                 if count:
                     data = flat[: count * length].tobytes()
                     stride = length * kind.itemsize
-                    yield rows([who[i] for i in at[:-1]], inside[:-1], [length] * count, [data[i : i + stride] for i in range(0, len(data), stride)])
-                rest, owner, offset = flat[count * length :], who[at[-1]], int(inside[-1])
+                    held = np.searchsorted(starts[:-1], first[1:], side="left") - at[:-1]
+                    cuts = np.concatenate([[0], np.cumsum(held)])
+                    piece = np.arange(cuts[-1]) + np.repeat(at[:-1] - cuts[:-1], held)
+                    yield rows(cuts, [who[i] for i in piece.tolist()], np.maximum(starts[piece] - np.repeat(first[:-1], held), 0), inside[:-1], [length] * count, [data[i : i + stride] for i in range(0, len(data), stride)])
+                rest = flat[count * length :]
+                if len(rest):
+                    owners, begins, offset = who[at[-1] :], np.maximum(starts[at[-1] : -1] - first[-1], 0), int(inside[-1])
+                else:
+                    owners, begins, offset = [], np.zeros(0, np.int64), 0
         if len(rest):
             whole = np.full(length, end, kind)
             whole[: len(rest)] = rest
-            yield rows([owner], [offset], [len(rest)], [whole.tobytes()])
+            yield rows([0, len(owners)], owners, begins, [offset], [len(rest)], [whole.tobytes()])
 
     return run
 
 
-BLOCKS = "shard int, slots binary, doc_ids {0}, doc_offsets array<bigint>, filled array<int>, payload binary"
+#: pieces: of each sequence how many pieces it holds, then where each starts, as compressed 4-byte numbers.
+BLOCKS = "shard int, slots binary, doc_ids {0}, pieces binary, doc_offsets array<bigint>, filled array<int>, payload binary"
 
 
 def _blocks(stride, n, key, rows):
-    """Batches of (number, id, offset, ids before padding, bytes) to one compressed block for each shard met."""
+    """Batches of (number, ids, starts, offset, ids before padding, bytes) to one compressed block for each shard met."""
 
     def run(batches):
         import zstandard
@@ -128,9 +139,13 @@ def _blocks(stride, n, key, rows):
             slots = slots[order]
             shards = slots // rows
             cuts = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist(), len(slots)]
-            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table.column(c).combine_chunks()) for c in (1, 2, 3)]
-            data = table.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]), *lists, pa.array([pack(b"".join(data[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])], names=["shard", "slots", "doc_ids", "doc_offsets", "filled", "payload"])
+            ids, starts = table.column(1).combine_chunks(), table.column(2).combine_chunks().flatten().to_numpy()
+            at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int32)
+            owners = pa.ListArray.from_arrays(pa.array(at[cuts]), ids.flatten())
+            pieces = pa.array([pack(np.diff(at[a : b + 1]).tobytes() + starts[at[a] : at[b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)])
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table.column(c).combine_chunks()) for c in (3, 4)]
+            data = table.column(5).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]), owners, pieces, *lists, pa.array([pack(b"".join(data[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])], names=["shard", "slots", "doc_ids", "pieces", "doc_offsets", "filled", "payload"])
 
         for batch in batches:
             held.append(batch)
@@ -160,12 +175,19 @@ def _write(folder, stride, n, rows):
             if shard is None:
                 shard = int(shards[0])
                 buffer = np.zeros((min(rows, n - shard * rows), stride), np.uint8)
-            for slots, data in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for slots, data in zip(batch.column(1).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 at = np.frombuffer(slots, np.int64) - shard * rows
                 count += len(at)
                 buffer[at] = np.frombuffer(unpack(data), np.uint8).reshape(-1, stride)
             at = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64) - shard * rows
-            meta.append((at, *(batch.column(c).flatten() for c in (2, 3, 4))))
+            counts, starts = [], []
+            for slots, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                numbers = np.frombuffer(unpack(data), np.int32)
+                counts.append(numbers[: len(slots) // 8])
+                starts.append(numbers[len(slots) // 8 :])
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pa.int32())
+            pieces = [pa.ListArray.from_arrays(cuts, x) for x in (batch.column(2).flatten(), pa.array(np.concatenate(starts)))]
+            meta.append((at, *pieces, batch.column(4).flatten(), batch.column(5).flatten()))
         if shard is None:
             return
         if count != len(buffer):
@@ -176,9 +198,12 @@ def _write(folder, stride, n, rows):
         with store.open_output_stream(own) as out:
             out.write(buffer.tobytes())
         store.move(own, f"{path}/shard-{shard:06d}.bin")
-        for at, ids, offsets, filled in meta:
-            sums = [zlib.crc32(buffer[i].tobytes()) for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([ids, offsets, pa.array(at + shard * rows), pa.array(np.full(len(at), shard, np.int32)), filled, pa.array(at * stride), pa.array(sums, pa.int64())], names=["doc_id", "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32"])
+        at = np.concatenate([m[0] for m in meta])
+        order = np.argsort(at)  # in the order of slots the manifest packs well
+        at = at[order]
+        ids, starts, offsets, filled = (pa.concat_arrays([m[c] for m in meta]).take(pa.array(order)) for c in (1, 2, 3, 4))
+        sums = [zlib.crc32(row.tobytes()) for row in buffer]
+        yield pa.RecordBatch.from_arrays([ids, starts, offsets, pa.array(at + shard * rows), pa.array(np.full(len(at), shard, np.int32)), filled, pa.array(at * stride), pa.array(sums, pa.int64())], names=["doc_ids", "starts", "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32"])
 
     return run
 
@@ -186,9 +211,10 @@ def _write(folder, stride, n, rows):
 def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, rows: int = ROWS, key: int = 20240607) -> DataFrame:
     """Write the shards to folder (by default a new one in the shared folder) and return their manifest.
 
-    (id_col, doc_offset, slot, shard, n_tokens, byte_offset, payload_crc32): a row for each sequence. slot has every value
-    from 0 to rows - 1 once; the sequence begins with token doc_offset of document id_col; n_tokens counts the ids before
-    padding. Null and empty texts give the end-of-text id alone. Repeated rows are repeated in the stream. An empty table
+    (id_col, doc_offset, slot, shard, n_tokens, byte_offset, payload_crc32, segments): a row for each sequence. slot has
+    every value from 0 to rows - 1 once; the sequence begins with token doc_offset of document id_col; n_tokens counts the
+    ids before padding. segments lists all pieces of documents in the sequence as (id_col, doc_offset, start, n_tokens): the
+    n_tokens ids from place start on are those of the document from token doc_offset on. Null and empty texts give the end-of-text id alone. Repeated rows are repeated in the stream. An empty table
     gives no shard and an empty manifest. Further columns of docs aren't read. The same key and the same staged tokens
     give the same order. folder is a URI that pyarrow can open: file, hdfs, s3 and gs.
     """
@@ -200,17 +226,19 @@ def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "do
     width = 2 if end < 1 << 16 else 4
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
-    sequences = staged(base.mapInArrow(_tokens(path, length), f"part int, number long, doc_id {id_type}, doc_offset long, n_tokens int, payload binary"), "tokens", "zstd")
+    sequences = staged(base.mapInArrow(_tokens(path, length), f"part int, number long, doc_ids array<{id_type}>, starts array<int>, doc_offset long, n_tokens int, payload binary"), "tokens", "zstd")
     parts = staged(sequences.groupBy("part").agg(F.count("*").alias("own")), "parts")
     n, tasks = parts.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count("*")).first()
     bases = parts.select(F.col("part").alias("_part"), (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
     if tasks <= PARTS:  # a row for each task of the tokenising step
         bases = F.broadcast(bases)
-    numbered = sequences.join(bases, F.col("part") == F.col("_part")).select((F.col("base") + F.col("number")).alias("number"), "doc_id", "doc_offset", "n_tokens", "payload")
+    numbered = sequences.join(bases, F.col("part") == F.col("_part")).select((F.col("base") + F.col("number")).alias("number"), "doc_ids", "starts", "doc_offset", "n_tokens", "payload")
     blocks = numbered.mapInArrow(_blocks(length * width, n, key, rows), BLOCKS.format(f"array<{id_type}>"))
     ranges = blocks.repartitionById(max(1, -(-n // rows)), F.col("shard"))
-    manifest = ranges.mapInArrow(_write(folder, length * width, n, rows), f"doc_id {id_type}, doc_offset long, slot long, shard int, n_tokens int, byte_offset long, payload_crc32 long")
-    return staged(manifest, "manifest").withColumnRenamed("doc_id", id_col)
+    manifest = ranges.mapInArrow(_write(folder, length * width, n, rows), f"doc_ids array<{id_type}>, starts array<int>, doc_offset long, slot long, shard int, n_tokens int, byte_offset long, payload_crc32 long")
+    manifest = staged(manifest, "manifest", "zstd")
+    piece = lambda x, i: F.struct(x.alias(id_col), F.when(i == 0, F.col("doc_offset")).otherwise(0).alias("doc_offset"), F.get("starts", i).alias("start"), (F.coalesce(F.get("starts", i + 1), "n_tokens") - F.get("starts", i)).alias("n_tokens"))
+    return manifest.select(F.get("doc_ids", F.lit(0)).alias(id_col), "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32", F.transform("doc_ids", piece).alias("segments"))
 
 
 def read(folder: str, slots: range, *, length: int = LENGTH, rows: int = ROWS, kind: str = "<u2"):
