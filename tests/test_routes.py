@@ -126,6 +126,19 @@ def test_archive_has_no_near_twins(spark):
     assert kept == {0, 1, 2}
 
 
+def test_archive_reads_past_many_alike_routes(spark):
+    kind = "query string, route long, path array<long>, score double, road_changes int"
+    r = [("q", k, list(range(20)), float(k), 0) for k in range(1500)] + [("q", 2000 + k, list(range(100 * k, 100 * k + 20)), 5000.0 + k, 0) for k in range(1, 6)] + [("p", 1, [1], 0.0, 0), ("p", 2, [], 1.0, 0), ("p", 3, [], 2.0, 0)]
+    kept = sorted((x["query"], x["route"]) for x in portal.archive(spark.createDataFrame(r, kind)).collect())
+    assert kept == [("p", 1), ("p", 2), ("q", 0), ("q", 2001), ("q", 2002), ("q", 2003), ("q", 2004)]
+
+
+def test_archive_holds_routes_of_one_corridor_further_apart(spark):
+    kind = "query long, route long, path array<long>, score double, road_changes int, corridors array<array<long>>"
+    r = [(1, 0, list(range(10)), 0.0, 0, [[3, 4]]), (1, 1, list(range(1, 11)), 1.0, 0, [[8, 9], [3, 4]]), (1, 2, list(range(1, 11)), 2.0, 0, [[4, 3]]), (1, 3, list(range(10, 20)), 3.0, 0, [[3, 4]])]
+    assert {x["route"] for x in portal.archive(spark.createDataFrame(r, kind)).collect()} == {0, 2, 3}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "method string, box long, solved boolean, elapsed double, item long")
     assert reports.success(none, "method").count() == 0 and reports.ranked_times(none, "method").count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,29 +25,42 @@ def same_portal(labels: DataFrame) -> DataFrame:
     return f.join(b, "portal").select("portal", "f_label", "b_label", *[(F.col(f"f_{c}") + F.col(f"b_{c}")).alias(c) for c in ("length", "gain", "pop_len", "wid_len")], (F.col("f_road_changes") + F.col("b_road_changes") + seam).alias("road_changes"))
 
 
-def _archive(size: int, alike: float):
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "road_changes", "route"], kind="stable")
-        kept, sets = [], []
-        for row in frame.itertuples():
-            own = set(row.path)
-            if any(len(own & s) > alike * len(own | s) for s in sets):
-                continue
-            kept.append(row.Index)
-            sets.append(own)
-            if len(kept) == size:
-                break
-        return frame.loc[kept, ["query", "route", "score"]]
+def _archive(size: int, alike: float, corridor: float):
+    """Batches of (query, route, score, path, corridors), each query's rows together and in order, to the rows kept."""
+
+    def keep(batches):
+        query, kept, begun = None, [], False
+        for batch in batches:
+            picked = []
+            paths, corridors = batch.column(3), batch.column(4)
+            for i, own in enumerate(batch.column(0).to_pylist()):
+                if not begun or own != query:
+                    query, kept, begun = own, [], True
+                if len(kept) >= size:
+                    continue
+                nodes, ways = set(paths[i].as_py() or []), {tuple(w) if isinstance(w, list) else w for w in corridors[i].as_py() or []}
+                if all(_overlap(nodes, n) <= (min(alike, corridor) if ways & w else alike) for n, w in kept):
+                    kept.append((nodes, ways))
+                    picked.append(i)
+            yield batch.take(pa.array(picked, pa.int64())).select([0, 1, 2])
 
     return keep
 
 
-def archive(routes: DataFrame, size: int = 5, alike: float = 0.85, pool: int = 1000) -> DataFrame:
-    """Per query the best size routes no two of which share over alike of their nodes. Only a query's best pool routes,
-    which a window finds, come together in one task."""
-    best = routes.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("score", "road_changes", "route"))).where(F.col("_r") <= pool).drop("_r")
+def _overlap(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def archive(routes: DataFrame, size: int = 5, alike: float = 0.85, corridor: float = 0.7) -> DataFrame:
+    """Per query the best size routes no two of which share over alike of their nodes, or over corridor of them where they
+    also share a bridge corridor (column corridors, an array of strings, numbers or arrays; without it no route has any).
+    All routes of a query are read in the order of score until size are kept; only the kept ones are held."""
+    ways = F.col("corridors") if "corridors" in routes.columns else F.lit(None).cast("array<long>")
     kinds = dict(routes.dtypes)
-    return best.groupBy("query").applyInPandas(_archive(size, alike), f"query {kinds['query']}, route {kinds['route']}, score double")
+    order = [F.asc_nulls_last(c) for c in ("score", "road_changes", "route")]
+    ranked = routes.repartition("query").sortWithinPartitions("query", *order)
+    ranked = ranked.select("query", "route", F.col("score").cast("double").alias("score"), "path", ways.alias("corridors"))
+    return ranked.mapInArrow(_archive(size, alike, corridor), f"query {kinds['query']}, route {kinds['route']}, score double")
 
 
 def register(query, lattice, cells, box, graph, network) -> None:
