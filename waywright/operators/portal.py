@@ -1,4 +1,7 @@
-"""Portal search in rounds: shortcuts inside cells, an overlay of portals, labels from both ends, joins and an archive."""
+"""Parts of a portal search: representatives of labels, joins of labels at one portal, and an archive of diverse routes.
+
+The search itself (rounds, shortcuts inside cells, expansion of labels, bridges, repairs, resume) is not here.
+"""
 
 from __future__ import annotations
 
