@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -250,6 +251,15 @@ def test_decontamination_keeps_the_share_of_templates(spark):
     assert row["coverage"] == 1.0 and row["reparameterised"] and row["matched"] == row["windows"]
 
 
+def test_trees_share_no_values_and_the_floor_lets_linked_pairs_pass(odd):
+    picks = near_duplicates.root_picks()
+    assert all(p // near_duplicates.POOL == tree for tree, own in enumerate(picks) for p in own)
+    assert {len(r["sign"]) for r in near_duplicates.signed(odd, "text", 5).collect()} == {near_duplicates.TREES * near_duplicates.POOL}
+    size = near_duplicates.SIZE
+    lost = sum(math.comb(size, k) * 0.75**k * 0.25 ** (size - k) for k in range(size) if k < near_duplicates.FLOOR * size)
+    assert lost < 1e-6
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 256, 1000):
         assert sorted(training_order.feistel(np.arange(n), n, 9).tolist()) == list(range(n))

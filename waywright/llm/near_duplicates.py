@@ -1,16 +1,18 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set are the hashes of its distinct 5-word shingles. Equal sets are collapsed first. Each set is embedded as
-SIZE minwise values. A tree splits the documents: its root picks one position or two, 1 / 0.75 on average, and a node
-below picks two or three STEP-tuples of positions, 1 / 0.75 ** STEP on average, by a hash of its own path; documents with
-the same values there go to the same child. Nodes of at most LIMIT documents are compared exhaustively; larger ones are
-split further. TREES independent trees make it all but certain that a linked pair meets in a small node: at similarity
-0.75 one tree keeps a pair with probability 0.62 at depth 4 and 0.51 at 7, so twelve miss it with 0.00001 and 0.0002, and
-more similar pairs far less. Nodes that depth DEPTH leaves large hold documents that are much alike; they are dealt to
-blocks that share a pivot, and what the blocks leave apart is compared with the whole node at the end.
-
-In a node, pairs are weighed by the share of equal signature bytes; pairs under FLOOR (over four standard deviations
-below the limit) go. A maximum spanning forest of the rest is confirmed on full sets, and gives components; then those
+minwise values: SIZE that weigh pairs, and POOL for each tree, its own. A tree splits the documents: its root picks one
+position or two, 1 / 0.75 on average, and a node below picks two or three STEP-tuples of different positions,
+1 / 0.75 ** STEP on average, by a hash of its own path; documents with the same values there go to the same child. Nodes
+of at most LIMIT documents are compared exhaustively; larger ones are split further. TREES trees, which share no values,
+make it all but certain that a linked pair meets in a small node: in a simulation (500,000 trees of each kind, the trees
+taken as independent) all twelve miss a pair of similarity 0.75 with 0.00001 at depth 4 and 0.0003 at depth 7, one of 0.77
+with 0.00008 and one of 0.8 with 0.00001 at depth 7. Nodes that depth DEPTH leaves large hold documents that are much
+alike; they are dealt to blocks that share a pivot, and what the blocks leave apart is compared with the whole node at
+the end.
+
+In a node, pairs are weighed by the share of equal signature bytes; pairs under FLOOR go (by the binomial
+law a pair of similarity 0.75 with 0.0000001). A maximum spanning forest of the rest is confirmed on full sets, and gives components; then those
 remaining pairs are confirmed whose ends are still in different components. So no group is expanded into all its pairs,
 and no pair that could still join two components is left out. Components are found by label propagation with pointer
 jumping, each round written to the shared folder.
@@ -27,44 +29,45 @@ from pyspark.sql import types as T
 from waywright.llm import shingles
 from waywright.llm.common import append_columns, ship, staged
 
-SIZE = 64
+SIZE = 64  # minwise values that weigh pairs
 TREES = 12
+POOL = 16  # minwise values of a tree's own; a power of two
 STEP = 3
 LIMIT = 96
 DEPTH = 7
 SMALL = 1_500_000  # hashes of the candidates' full sets (12 MB) that may be broadcast; beyond, pairs are joined with them
 BLOCK = 64  # documents of a block of a large node, on average
-FLOOR = 0.55
+FLOOR = 0.45
 
 
 def _signed(width):
     def work(texts):
         sets = [shingles.shingle_set(t, width) for t in texts]
-        signs = [shingles.signature(s, SIZE) for s in sets]
-        flat = np.concatenate(signs).view(np.int32) if signs else np.zeros(0, np.int32)
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SIZE, pa.int32()), pa.array(flat))
-        return [[len(s) for s in sets], [shingles.fingerprint(s) for s in sets], values, [s.astype(np.uint8).tobytes() for s in signs]]
+        signs = [shingles.signature(s, SIZE + TREES * POOL) for s in sets]
+        flat = np.concatenate([s[SIZE:] for s in signs]).view(np.int32) if signs else np.zeros(0, np.int32)
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * TREES * POOL, pa.int32()), pa.array(flat))
+        return [[len(s) for s in sets], [shingles.fingerprint(s) for s in sets], values, [s[:SIZE].astype(np.uint8).tobytes() for s in signs]]
 
     return work
 
 
 def signed(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """docs without text, with n_shingles, fingerprint, sign (minwise values) and low (their low bytes)."""
+    """docs without text, with n_shingles, fingerprint, sign (the trees' minwise values) and low (low bytes of others)."""
     fields = [("n_shingles", T.LongType()), ("fingerprint", T.BinaryType()), ("sign", T.ArrayType(T.IntegerType())), ("low", T.BinaryType())]
     return append_columns(docs, text, fields, _signed, width, keep_text=False)
 
 
 def root_picks() -> list[list[int]]:
-    """The positions that each tree's root picks; all different."""
-    rng = np.random.default_rng(11)
-    order = iter(rng.permutation(SIZE).tolist())
-    return [[next(order) for _ in range(2 if k % 3 == 0 else 1)] for k in range(TREES)]
+    """The positions that each tree's root picks, all in the tree's own pool."""
+    return [[k * POOL + i for i in range(2 if k % 3 == 0 else 1)] for k in range(TREES)]
 
 
 def children() -> Column:
-    """Keys of the children of node key for a document with signature sign."""
+    """Keys of the children of node key of a tree for a document with signature sign."""
     def child(pick: int) -> Column:
-        at = [F.pmod(F.xxhash64("key", F.lit(pick * STEP + k)), F.lit(SIZE)).cast("int") + 1 for k in range(STEP)]
+        start = F.pmod(F.xxhash64("key", F.lit(2 * pick)), F.lit(POOL))
+        stride = F.pmod(F.xxhash64("key", F.lit(2 * pick + 1)), F.lit(POOL // 2)) * 2 + 1  # odd, so that all differ
+        at = [(F.col("tree") * POOL + F.pmod(start + k * stride, F.lit(POOL)) + 1).cast("int") for k in range(STEP)]
         return F.xxhash64("key", F.lit(pick), *[F.element_at("sign", x) for x in at])
 
     third = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(100)) < 37
@@ -74,7 +77,8 @@ def children() -> Column:
 def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(key, id) of the small nodes and blocks of all trees, and (key, id, block) of the nodes that were dealt to blocks.
     sets: (id, sign, low) of different sets."""
-    rows = sets.select("id", F.explode(F.array(*[F.xxhash64(F.lit(tree), F.lit(p), F.element_at("sign", p + 1)) for tree, own in enumerate(root_picks()) for p in own])).alias("key"))
+    roots = [F.struct(F.lit(tree).alias("tree"), F.xxhash64(F.lit(tree), F.lit(p), F.element_at("sign", p + 1)).alias("key")) for tree, own in enumerate(root_picks()) for p in own]
+    rows = sets.select("id", F.explode(F.array(*roots)).alias("x")).select("id", "x.tree", "x.key")
     small, depth = [], 1
     while True:
         counts = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1"), "counts")
@@ -89,7 +93,7 @@ def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             dealt = staged(large.select("key", "id", "pivot", block.alias("block")), "dealt")
             small.append(dealt.select(F.col("block").alias("key"), "id").union(dealt.select(F.col("block").alias("key"), F.col("pivot").alias("id"))).distinct())
             break
-        rows = staged(large.select("key", "id").join(sets.select("id", "sign"), "id").select("id", children().alias("key")), "children")
+        rows = staged(large.select("key", "id", "tree").join(sets.select("id", "sign"), "id").select("id", "tree", children().alias("key")), "children")
         depth += STEP
     out = small[0]
     for more in small[1:]:
