@@ -260,6 +260,22 @@ def test_trees_share_no_values_and_the_floor_lets_linked_pairs_pass(odd):
     assert lost < 1e-6
 
 
+def test_pairs_across_blocks_of_a_large_node_are_found(spark, monkeypatch):
+    """One tree of one position whose node is dealt to blocks of about one document; only the last two are linked."""
+    rng = np.random.default_rng(5)
+    own = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 10**9, k))
+    common, twin = own(60), own(60)
+    texts = [f"{common} {own(60)}" for _ in range(40)] + [f"{common} {twin}", f"{common} {twin} {own(3)}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    signs = [r["sign"] for r in near_duplicates.signed(table, "text", 5).orderBy("doc_id").collect()]
+    shared = [p for p in range(len(signs[0])) if signs[40][p] == signs[41][p] and sum(x[p] == signs[40][p] for x in signs) > 10]
+    monkeypatch.setattr(near_duplicates, "root_picks", lambda: [[shared[0]]])
+    for name, value in (("LIMIT", 2), ("DEPTH", 1), ("BLOCK", 1)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(table).collect()}
+    assert got == {k: min(k, 40) for k in range(42)}
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 256, 1000):
         assert sorted(training_order.feistel(np.arange(n), n, 9).tolist()) == list(range(n))

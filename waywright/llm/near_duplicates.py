@@ -305,7 +305,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     members = staged(small.join(sets.select("id", "low"), "id").groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("low").alias("lows")), "members")
     edges = "a long, b long"
     tried = staged(members.select("ids", "lows").mapInArrow(compare(False), edges).distinct(), "pairs")
-    vertices = staged(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "vertices")
+    vertices = tried.select(F.explode(F.array("a", "b")).alias("id"))
+    if dealt is not None:  # a document without a pair in its block may still have one elsewhere in its node
+        vertices = vertices.union(dealt.select("id"))
+    vertices = staged(vertices.distinct(), "vertices")
     texts = base.join(vertices, "id", "left_semi")
     full = staged(append_columns(texts, "text", [("set", T.ArrayType(T.LongType(), False))], _sets, width, keep_text=False).withColumn("n", F.size("set")), "full")
     small_sets = (full.agg(F.sum("n")).first()[0] or 0) <= SMALL
