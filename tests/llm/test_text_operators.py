@@ -122,13 +122,37 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd, none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_by_joins_only(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "SMALL", -1)
+def test_near_duplicates_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "NEAR", -1)
     table = spark.createDataFrame(list(near_texts().items()), "doc_id long, text string")
     want = components(near_texts())
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.near_duplicates(table).collect()} == want
 
 
+def test_rows_that_share_an_id_or_have_none_are_looked_at_each(spark):
+    rng = np.random.default_rng(9)
+    one, two = ([f"{k}{i}" for i in rng.integers(0, 10**6, 80)] for k in "pq")
+    a, b, c = " ".join(one), " ".join(two), " ".join([*two[:78], "other", "end"])
+    for rows in ([(1, a), (1, b), (2, c)], [(1, b), (1, a), (2, c)], [(1, b), (1, b), (1, b.upper()), (1, a), (2, c)]):
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted((i, 1, i == 1) for i, _ in rows)
+    rows = [(None, a), (None, b), (7, c), (None, None), (None, "")]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter([(None, None, True)] * 3 + [(None, 7, False), (7, 7, True)])
+
+
+def test_a_large_group_of_texts_that_are_alike_but_mostly_unlinked(spark):
+    """Texts that share a passage; some have a twin. Nodes stay large, and the links are few."""
+    rng = np.random.default_rng(11)
+    own = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 10**9, k))
+    common = own(70)
+    texts = [f"{common} {own(30)}" for _ in range(2500)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[::50]]
+    want = {k: k for k in range(2500)} | {2500 + k: 50 * k for k in range(50)}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(table).collect()} == want
+
+
 def base_statistics(text):
     words = SPACE.findall(text or "")
     three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -254,7 +278,7 @@ def test_decontamination_keeps_the_share_of_templates(spark):
 def test_trees_share_no_values_and_the_floor_lets_linked_pairs_pass(odd):
     picks = near_duplicates.root_picks()
     assert all(p // near_duplicates.POOL == tree for tree, own in enumerate(picks) for p in own)
-    assert {len(r["sign"]) for r in near_duplicates.signed(odd, "text", 5).collect()} == {near_duplicates.TREES * near_duplicates.POOL}
+    assert {(len(r["roots"]), len(r["pool"]), len(r["low"])) for r in near_duplicates.signed(odd, "text", 5).collect()} == {(sum(map(len, picks)), near_duplicates.TREES * near_duplicates.POOL, near_duplicates.SIZE)}
     size = near_duplicates.SIZE
     lost = sum(math.comb(size, k) * 0.75**k * 0.25 ** (size - k) for k in range(size) if k < near_duplicates.FLOOR * size)
     assert lost < 1e-6
@@ -267,7 +291,7 @@ def test_pairs_across_blocks_of_a_large_node_are_found(spark, monkeypatch):
     common, twin = own(60), own(60)
     texts = [f"{common} {own(60)}" for _ in range(40)] + [f"{common} {twin}", f"{common} {twin} {own(3)}"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
-    signs = [r["sign"] for r in near_duplicates.signed(table, "text", 5).orderBy("doc_id").collect()]
+    signs = [r["pool"] for r in near_duplicates.signed(table, "text", 5).orderBy("doc_id").collect()]
     shared = [p for p in range(len(signs[0])) if signs[40][p] == signs[41][p] and sum(x[p] == signs[40][p] for x in signs) > 10]
     monkeypatch.setattr(near_duplicates, "root_picks", lambda: [[shared[0]]])
     for name, value in (("LIMIT", 2), ("DEPTH", 1), ("BLOCK", 1)):

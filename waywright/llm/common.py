@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,22 +33,56 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in local tests, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one, but only in a single process, as in tests."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='waywright-shared-')}"
         spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    The folder is deleted by discard(), or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_at_end)
+    _paths[path] = spark
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+_paths: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _paths.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the folders of staged frames that nothing reads any more: all that was made from them is written itself."""
+    for df in frames:
+        if df is not None and getattr(df, "staged_path", None) in _paths:
+            _delete(df.staged_path)
+
+
+def _at_end() -> None:
+    for path in list(_paths):
+        try:
+            _delete(path)
+        except Exception:  # the JVM may have ended before
+            return
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,3 +137,18 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def send_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to all executors, once per context; returns path, which received() takes."""
+    sent = getattr(spark.sparkContext, "_waywright_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(local_path(path))
+        spark.sparkContext._waywright_files = sent | {path}
+    return path
+
+
+def received(path: str) -> str:
+    """Where a file that was sent lies on this executor."""
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.exists(own) else local_path(path)

@@ -67,16 +67,16 @@ _signers: dict[int, np.ndarray] = {}
 
 
 def signature(shingles: np.ndarray, size: int) -> np.ndarray:
-    """size minwise values, 32 bits each; of an empty set zeros."""
+    """size minwise values, 64 bits each; of an empty set zeros."""
     if size not in _signers:
         _signers[size] = np.random.default_rng(7).integers(1, 1 << 63, (size, 1), np.uint64) | np.uint64(1)
     if not len(shingles):
-        return np.zeros(size, np.uint32)
+        return np.zeros(size, np.uint64)
     factors, out = _signers[size], None
     for i in range(0, len(shingles), 2048):
         low = (factors * shingles[i : i + 2048]).min(axis=1)
         out = low if out is None else np.minimum(out, low)
-    return (mixed(out) >> np.uint64(32)).astype(np.uint32)
+    return mixed(mixed(out))
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
