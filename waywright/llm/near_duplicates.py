@@ -36,7 +36,7 @@ STEP = 3
 LIMIT = 96
 DEPTH = 7
 BLOCK = 64  # documents of a block of a large node, on average
-CHUNK = 128  # documents of a chunk, two of which are compared at the end, on average
+CHUNK = 256  # documents of a chunk, two of which are compared at the end, on average
 NEAR = 200_000  # places of candidates' texts (24 bytes each) that may be broadcast; beyond, texts are joined by shuffling
 FLOOR = 0.55
 
@@ -79,8 +79,8 @@ def children() -> Column:
 
 
 def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
-    """(key, uid) of the small nodes and blocks of all trees, (key, uid) of the nodes that were dealt to blocks, and what was
-    staged for the former. sets: (uid, roots, pool) of different sets."""
+    """(key, uid, block) of the small nodes and blocks of all trees, (key, uid, n) of the nodes that were dealt to blocks, and
+    what was staged for the former. sets: (uid, roots, pool) of different sets."""
     places = [(tree, p) for tree, own in enumerate(root_picks()) for p in own]
     roots = [F.struct(F.lit(tree).alias("tree"), F.xxhash64(F.lit(tree), F.lit(p), F.get("roots", F.lit(i))).alias("key")) for i, (tree, p) in enumerate(places)]
     rows = sets.select("uid", F.explode(F.array(*roots)).alias("x")).select("uid", "x.tree", "x.key")
@@ -90,14 +90,14 @@ def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame | None, list[DataFrame]
         known = staged(rows.join(counts, "key"), "nodes")
         discard(counts, before)
         used.append(known)
-        small.append(known.where(F.col("n") <= LIMIT).select("key", "uid"))
+        small.append(known.where(F.col("n") <= LIMIT).select("key", "uid", F.lit(False).alias("block")))
         large = known.where(F.col("n") > LIMIT)
         if large.isEmpty():
             break
         if depth >= DEPTH:
             block = F.xxhash64("key", F.lit(-2), F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / BLOCK)))
             dealt = staged(large.select("key", "uid", "pivot", "n", block.alias("block")), "dealt")
-            small.append(dealt.select(F.col("block").alias("key"), "uid").union(dealt.select(F.col("block").alias("key"), F.col("pivot").alias("uid"))).distinct())
+            small.append(dealt.select(F.col("block").alias("key"), F.explode(F.array("uid", "pivot")).alias("uid")).distinct().withColumn("block", F.lit(True)))
             break
         if wide is None:  # what deeper nodes need, of the documents that have deeper nodes
             wide = staged(sets.select("uid", "pool").join(large.select("uid").distinct(), "uid", "left_semi"), "wide")
@@ -316,8 +316,8 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def crossing_in_nodes(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, mask) of every small node and block that has passing pairs that could still join two components."""
-    seen = members.select("key", F.inline(F.arrays_zip("uids", "lows", "sizes"))).withColumnRenamed("uids", "uid").join(comps, "uid")
+    """(a, b, mask) of every small node that has passing pairs that could still join two components."""
+    seen = members.where("not block").select("key", F.inline(F.arrays_zip("uids", "lows", "sizes"))).withColumnRenamed("uids", "uid").join(comps, "uid")
     lists = [F.collect_list(F.col(c)).alias(c) for c in ("uid", "lows", "sizes", "comp")]
     apart = seen.groupBy("key").agg(*lists, F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
     return apart.select("uid", "lows", "sizes", "comp").mapInArrow(probe(percent, True), "a array<long>, b array<long>, mask binary")
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     sets = staged(rows.where("n_shingles > 0").groupBy("fingerprint").agg(stands, F.min("id").alias("least")).select("fingerprint", "least", "x.*"), "sets")
     small, dealt, used = nodes(sets)
     lists = [F.collect_list(c).alias(f"{c}s") for c in ("uid", "low", "size")]
-    members = staged(small.join(sets.select("uid", "low", F.col("n").alias("size")), "uid").groupBy("key").agg(*lists).where(F.size("uids") > 1), "members")
+    members = staged(small.join(sets.select("uid", "low", F.col("n").alias("size")), "uid").groupBy("key", "block").agg(*lists).where(F.size("uids") > 1), "members")
     discard(*used)
     tried = staged(members.select("uids", "lows", "sizes").mapInArrow(compare(percent), "a long, b long").distinct(), "pairs")
     vertices = tried.select(F.explode(F.array("a", "b")).alias("uid"))
