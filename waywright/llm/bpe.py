@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from waywright.llm.common import append_columns, tokenizer_file
+from waywright.llm.common import append_columns, received, send_file, tokenizer_file
 
 # White space of Unicode, and the split pattern of the byte-level vocabulary.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -252,12 +252,12 @@ def encoder(path: str) -> Encoder:
 
 
 def _ids(path):
-    own = encoder(path)
+    own = encoder(received(path))
     return lambda texts: [[np.frombuffer(x, "<u4").astype(np.int32) for x in own.encode_batch([t or "" for t in texts])]]
 
 
 def _digest(path):
-    own = encoder(path)
+    own = encoder(received(path))
 
     def work(texts):
         ids = own.encode_batch([t or "" for t in texts])
@@ -273,17 +273,17 @@ def encode(docs: DataFrame, *, text: str = "text", path: str | None = None, keep
     Null and empty texts: an empty array. Special strings inside a text are their special token. Repeated rows get equal
     results; an input column named token_ids gives way.
     """
-    return append_columns(docs, text, [("token_ids", T.ArrayType(T.IntegerType(), False))], _ids, path or tokenizer_file("byte_bpe_50k.json"), keep_text=keep_text)
+    return append_columns(docs, text, [("token_ids", T.ArrayType(T.IntegerType(), False))], _ids, send_file(docs.sparkSession, path or tokenizer_file("byte_bpe_50k.json")), keep_text=keep_text)
 
 
 def decode(tokens: DataFrame, *, ids: str = "token_ids", path: str | None = None) -> DataFrame:
     """tokens with decoded, string: the text of the ids; bytes that are no UTF-8 become U+FFFD. Null ids: an empty text."""
 
     def maker(place):
-        own = encoder(place)
+        own = encoder(received(place))
         return lambda rows: [[decoded(own.decode_bytes(np.array(r or [], "<u4").tobytes())) for r in rows]]
 
-    return append_columns(tokens, ids, [("decoded", T.StringType())], maker, path or tokenizer_file("byte_bpe_50k.json"))
+    return append_columns(tokens, ids, [("decoded", T.StringType())], maker, send_file(tokens.sparkSession, path or tokenizer_file("byte_bpe_50k.json")))
 
 
 def digest(docs: DataFrame, *, text: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
@@ -292,4 +292,4 @@ def digest(docs: DataFrame, *, text: str = "text", path: str | None = None, keep
     Null texts count as empty; input columns with these names give way.
     """
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return append_columns(docs, text, fields, _digest, path or tokenizer_file("byte_bpe_50k.json"), keep_text=keep_text)
+    return append_columns(docs, text, fields, _digest, send_file(docs.sparkSession, path or tokenizer_file("byte_bpe_50k.json")), keep_text=keep_text)

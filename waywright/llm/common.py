@@ -94,10 +94,23 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def share(wanted: int, n: int) -> int:
+    """The largest of the 63-bit draws with which about 5 / 4 x wanted of n rows are taken."""
+    return min((1 << 63) - 1, (wanted * 5 << 63) // (4 * n))
+
+
 def quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with marks until none of columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append_columns(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], maker: Callable, *args, keep_text: bool = True) -> DataFrame:
     """df with columns computed from its text column by work(texts), where work = maker(*args) is made once per partition.
 
@@ -123,7 +136,7 @@ def append_columns(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]
             made = [c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=labels)
 
-    return base.mapInArrow(run, schema)
+    return base.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)  # which doesn't take names with dots
 
 
 def local_path(uri: str) -> str:

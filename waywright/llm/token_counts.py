@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waywright.llm.bpe import SPACE, byte_characters
-from waywright.llm.common import append_columns, tokenizer_file
+from waywright.llm.common import append_columns, received, send_file, tokenizer_file
 
 # Fixed value: the split pattern of the word vocabulary.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -245,7 +245,7 @@ def counter(path: str) -> Counter:
 
 
 def _work(path, limit):
-    own = counter(path)
+    own = counter(received(path))
 
     def work(texts):
         counts = [own(t) for t in texts]
@@ -260,4 +260,4 @@ def count(docs: DataFrame, *, text: str = "text", path: str | None = None, limit
     Null and empty texts: 0, 0, false. Repeated rows get equal results; input columns with these names give way.
     """
     fields = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
-    return append_columns(docs, text, fields, _work, path or tokenizer_file("word_bpe_49k.json"), limit, keep_text=keep_text)
+    return append_columns(docs, text, fields, _work, send_file(docs.sparkSession, path or tokenizer_file("word_bpe_49k.json")), limit, keep_text=keep_text)
