@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waywright.llm.common import append_columns, held_out
+from waywright.llm.common import append_columns, held_out, share
 
 BITS = 17
 BUCKETS = 1 << BITS
@@ -127,17 +127,18 @@ def scorer(model: Model | None):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 1500, **options) -> Model | None:
-    """Fit on at most max_rows rows of each class, those with the least hash of their id, never held-out ones."""
+    """Fit on at most max_rows rows of each class, those with the least hash of their id, never held-out ones. About 5 / 4
+    as many ids are drawn and their rows collected; ids name a document each."""
     known = labels.where(~held_out(id_col) & F.col(label).isin(0, 1)).select(F.col(id_col), F.col(label).cast("int").alias("_class")).groupBy(id_col).agg(F.max("_class").alias("_class"))
     counts = {r["_class"]: r["n"] for r in known.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
-    most = F.lit(0)
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1)
+    most = F.lit(-1).cast("long")
     for c, n in sorted(counts.items()):
-        most = F.when(F.col("_class") == c, F.lit(min(1_000_000, 1_000_000 * max_rows * 5 // (4 * n) + 1))).otherwise(most)
-    # the drawn ids are at most 2.5 x max_rows in expectation, whatever the table's size: few enough to broadcast
-    drawn = known.where(draw < most)
+        most = F.when(F.col("_class") == c, F.lit(share(max_rows, n)).cast("long")).otherwise(most)
+    # the drawn ids are about 5 / 4 x max_rows of each class, whatever the table's size: few enough to broadcast
+    drawn = known.where(draw <= most)
     rows: dict[int, list] = {}
     for r in docs.where(F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(drawn), id_col).select(draw.alias("d"), id_col, text, "_class").collect():
         rows.setdefault(r["_class"], []).append((r["d"], r[id_col], r[text]))
@@ -145,10 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     return fit(picked, **options)
 
 
-def score(docs: DataFrame, model: Model | None, *, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with score (0 to 1, higher: class 1 likelier) and predicted (1 if score >= 0.5).
+def score(docs: DataFrame, model: Model | None, *, text: str = "text", keep_text: bool = True, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1, higher: class 1 likelier) and predicted (1 if score >= 0.5), or columns of other names.
 
     Null, empty and all-space texts get the score of the bias alone; without a model (a class has no labelled row) every
-    row gets 0.5 and 1. Repeated rows get equal results; an input column named score or predicted gives way.
+    row gets 0.5 and 1. Repeated rows get equal results; an input column with one of the names gives way. Texts are
+    read whole, however long.
     """
-    return append_columns(docs, text, [("score", T.DoubleType()), ("predicted", T.IntegerType())], scorer, model, keep_text=keep_text)
+    return append_columns(docs, text, [(names[0], T.DoubleType()), (names[1], T.IntegerType())], scorer, model, keep_text=keep_text)
