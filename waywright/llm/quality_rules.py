@@ -1,9 +1,11 @@
 """Quality rules whose thresholds come from the data.
 
 A map over texts makes each document's statistics. For every language, source and statistic a mergeable quantile sketch
-(counts of logarithmic buckets, relative error ERROR) is summed up by aggregation; sketches of small groups are merged
-into their language's and those of small languages into the whole corpus's. A document fails where one of its
-statistics lies beyond the fence that its group's quartiles set. Thresholds come back to the documents by a join.
+(counts of logarithmic buckets, relative error ERROR) of the documents that pass the base rules is summed up by aggregation.
+Sketches of groups of fewer than LEAST_ROWS such documents are too coarse for a tail; there the language's sketch, which is
+their sum, stands in, and where that is small too, the whole corpus's. A document fails where one of its statistics lies
+beyond tail + FENCE x (tail - median) of its group, tail being the statistic's TAIL quantile. TIE is the least limit, for
+groups in which even the tail is zero. Thresholds come back to the documents by a join.
 """
 
 from __future__ import annotations
@@ -11,19 +13,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waywright.llm.common import append_columns, staged
+from waywright.llm.common import append_columns, quoted, staged, unused
 
 # Characters that count as symbols, and ASCII white space.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 ERROR = 0.01
-#: statistic: how far beyond the upper quartile the fence stands, at least (the adaptive part is FENCE times the quartiles' distance)
-SLACK = {"symbol_ratio": 0.02, "repeat_ratio": 0.35, "dup_line_ratio": 0.5, "upper_ratio": 0.1, "bang_ratio": 0.02}
-FENCE = 4.0
+#: statistic: the share of documents that lie within its tail quantile
+TAIL = {"symbol_ratio": 0.9, "repeat_ratio": 0.99, "dup_line_ratio": 0.99, "upper_ratio": 0.99, "bang_ratio": 0.99}
+FENCE = 2.0
+TIE = 0.01
 LEAST_ROWS = 200
 BROADCAST_ROWS = 20_000
 
@@ -99,46 +102,48 @@ def sketches(measured: DataFrame, groups: list[str], stats: list[str]) -> DataFr
     return measured.select(*groups, each).groupBy(*groups, "x.stat", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, float]) -> DataFrame:
+def quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, Column]) -> DataFrame:
     """(groups, stat, rows, one column for each share): from the running counts of the buckets."""
     own = Window.partitionBy(*groups, "stat")
     ran = sketch.withColumn("rows", F.sum("n").over(own)).withColumn("upto", F.sum("n").over(own.orderBy("bucket")))
-    return ran.groupBy(*groups, "stat").agg(F.first("rows").alias("rows"), *[bucket_value(F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("rows")), F.col("bucket")))).alias(name) for name, q in shares.items()])
+    return ran.groupBy(*groups, "stat").agg(F.first("rows").alias("rows"), *[bucket_value(F.min(F.when(F.col("upto") >= F.ceil(q * F.col("rows")), F.col("bucket")))).alias(name) for name, q in shares.items()])
 
 
-def thresholds(measured: DataFrame, *, lang: str = "lang", source: str = "source", slack: dict[str, float] = SLACK, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """A row for each (lang, source), nulls being groups too: max_<stat> of every statistic."""
-    stats = sorted(slack)
-    shares = {"low": 0.25, "high": 0.75}
+def thresholds(measured: DataFrame, *, lang: str = "lang", source: str = "source", tails: dict[str, float] = TAIL, fence: float = FENCE, tie: float = TIE, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """A row for each (lang, source) that has documents, nulls being groups too: max_<stat> of every statistic."""
+    stats = sorted(tails)
+    shares = {"mid": F.lit(0.5), "tail": F.create_map(*[F.lit(x) for s in stats for x in (s, tails[s])])[F.col("stat")]}
     own = sketches(measured, [lang, source], stats)
     by_lang = own.groupBy(lang, "stat", "bucket").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("stat", "bucket").agg(F.sum("n").alias("n"))
     first = quantiles(own, [lang, source], shares)
-    second = quantiles(by_lang, [lang], shares).select(F.col(lang).alias("_lang"), F.col("stat").alias("_stat"), F.struct("rows", "low", "high").alias("_by_lang"))
-    third = quantiles(overall, [], shares).select(F.col("stat").alias("_stat3"), F.struct("rows", "low", "high").alias("_overall"))
+    second = quantiles(by_lang, [lang], shares).select(F.col(lang).alias("_lang"), F.col("stat").alias("_stat"), F.struct("rows", "mid", "tail").alias("_by_lang"))
+    third = quantiles(overall, [], shares).select(F.col("stat").alias("_stat3"), F.struct("rows", "mid", "tail").alias("_overall"))
     joined = first.join(second, F.col(lang).eqNullSafe(F.col("_lang")) & (F.col("stat") == F.col("_stat"))).join(third, F.col("stat") == F.col("_stat3"))
-    chosen = F.when(F.col("rows") >= least_rows, F.struct("rows", "low", "high")).when(F.col("_by_lang.rows") >= least_rows, F.col("_by_lang")).otherwise(F.col("_overall"))
-    room = F.create_map(*[x for s in stats for x in (F.lit(s), F.lit(slack[s]))])[F.col("stat")]
-    limit = joined.select(lang, source, "stat", chosen.alias("q")).withColumn("limit", F.col("q.high") + F.greatest(fence * (F.col("q.high") - F.col("q.low")), room))
+    chosen = F.when(F.col("rows") >= least_rows, F.struct("rows", "mid", "tail")).when(F.col("_by_lang.rows") >= least_rows, F.col("_by_lang")).otherwise(F.col("_overall"))
+    limit = joined.select(lang, source, "stat", chosen.alias("q")).withColumn("limit", F.greatest(F.col("q.tail") + fence * (F.col("q.tail") - F.col("q.mid")), F.lit(tie)))
     return limit.groupBy(lang, source).agg(*[F.max(F.when(F.col("stat") == s, F.col("limit"))).alias(f"max_{s}") for s in stats])
 
 
-def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", slack: dict[str, float] = SLACK, keep_text: bool = False, **options) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", tails: dict[str, float] = TAIL, keep_text: bool = False, **options) -> DataFrame:
     """docs with their statistics, thresholds, base_failed and kept.
 
     Null, empty and all-space texts have zeros everywhere and fail for having under 50 words. Null languages or sources
-    form groups of their own. Repeated rows get equal results; an empty table stays empty. Columns of the input with the
-    names of new ones give way.
+    form groups of their own; a group without a document that passes the base rules has no thresholds and needs none.
+    Texts are read whole, however long. Repeated rows get equal results; an empty table stays empty. Columns of the input
+    with the names of new ones give way.
     """
-    made = {n for n, _ in FIELDS} | {"base_failed", "kept"} | {f"max_{s}" for s in slack}
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in made])
+    made = {n for n, _ in FIELDS} | {"base_failed", "kept"} | {f"max_{s}" for s in tails}
+    docs = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in made])
     measured = staged(measure(docs, text=text, keep_text=keep_text), "quality")
-    limits = staged(thresholds(measured, lang=lang, source=source, slack=slack, **options), "thresholds")
-    limits = limits.select(F.col(lang).alias("_l"), F.col(source).alias("_s"), *[f"max_{s}" for s in sorted(slack)])
+    groups = measured.where("not base_failed").select(F.col(quoted(lang)).alias("lang"), F.col(quoted(source)).alias("source"), *tails)
+    limits = staged(thresholds(groups, tails=tails, **options), "thresholds")
+    near, far = unused(measured.columns, "own_lang"), unused(measured.columns, "own_source")
+    limits = limits.withColumnsRenamed({"lang": near, "source": far})
     if limits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else Spark shuffles both sides and splits hot groups
         limits = F.broadcast(limits)
-    joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("_l")) & F.col(source).eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+    joined = measured.join(limits, F.col(quoted(lang)).eqNullSafe(F.col(near)) & F.col(quoted(source)).eqNullSafe(F.col(far)), "left").drop(near, far)
     beyond = F.lit(False)
-    for s in slack:
-        beyond = beyond | (F.col(s) > F.col(f"max_{s}"))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False)))
+    for s in tails:
+        beyond = beyond | F.coalesce(F.col(s) > F.col(f"max_{s}"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond)

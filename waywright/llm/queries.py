@@ -24,7 +24,9 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("lang", "source")
+    judged = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *[c for c in judged.columns if c not in (*first, "lang", "source")])
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +91,7 @@ def _license_sql() -> str:
     for name, text in licenses.TEMPLATES.items():
         words = re.findall(r"[^\W_]+", text.lower())
         pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
-        rows.append(f"('{name}', {next(c for c in licenses.CLASSES if len(words) <= c + 1)}, {pairs})")
+        rows.append(f"('{name}', {licenses.class_of(len(words))}, {pairs})")
     return rf"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') IF x <> ''] AS ws FROM documents),
 p AS (SELECT doc_id, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] AS h FROM w),
 t(template, class, own) AS (VALUES {", ".join(rows)}),
