@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving, with DataFrame operations only.
 
-Rows are shuffled by a seeded hash and ranked within their source; a row's fractional rank (rank + 1/2) / rows of the
-source spreads every source evenly over (0, 1); all rows are sorted by it and cut into equal runs. So each shard holds
-its share of every source, and shard sizes in rows differ by one at most.
+Rows are shuffled by a seeded hash and ranked within their source; a row's fractional rank (rank + offset) / rows of the
+source spreads every source evenly over (0, 1), where offset is a hash of the source, so that sources of one row don't meet
+in one place; all rows are sorted by it and cut into equal runs. So each shard holds its share of every source, and shard
+sizes in rows differ by one at most. Equal texts are dealt like any others: the law is about rows, not groups of copies.
 
 No rank is taken over a whole source or table. Hash and fraction are cut into buckets of about ROWS rows; counts by
 bucket, summed up, give each bucket's offset, and rows are numbered within buckets only.
@@ -38,7 +39,8 @@ def interleave(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text
 
     law is `rows`: shard sizes differ by one row at most. slot numbers a shard's rows from 0 in training order;
     grown_shard is null under this law. Null texts have size 1 and checksum 0; rows without a source form a source of
-    their own; equal rows are told apart by nothing, so any order of them is the same result. An empty table gives an
+    their own; equal rows are told apart by nothing, so any order of them is the same result. Texts
+    of any length count by their size only. An empty table gives an
     empty result; further columns of docs aren't read.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -50,7 +52,8 @@ def interleave(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text
     first = offsets(rows, ["source"], "bucket").select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "before", "total")
     within = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("draw", 33), "draw", "id", "crc"))
     ranked = rows.withColumn("within", within).join(first, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    part = (F.col("before") + F.col("within") - F.lit(0.5)) / F.col("total")
+    offset = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "source"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    part = (F.col("before") + F.col("within") - offset) / F.col("total")
     spread = staged(ranked.select("id", "size", "crc", "draw", F.xxhash64(F.lit(seed), "source").alias("tie"), part.alias("part")).withColumn("run", F.floor(F.col("part") * buckets)), "shard-ranks")
     second = offsets(spread, [], "run").select(F.col("run").alias("_run"), "before")
     at = F.row_number().over(Window.partitionBy("run").orderBy("part", "tie", "draw", "id", "crc"))
