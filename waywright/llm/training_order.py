@@ -6,7 +6,9 @@ those of a task are consecutive, and tasks follow each other. A keyed Feistel ne
 values of N or more are mapped again until they are below N (cycle walking), so every sequence has a slot of its own and
 every slot below N a sequence, with no state but the key. Slots are dealt in ranges of ROWS to shard files of fixed
 stride: slot s is at byte s % ROWS * stride of shard s // ROWS, so that reading in order is sequential and can begin
-anywhere. Sequences travel to their shard in compressed blocks, one for each task and shard. A shard is filled in a buffer, written under a name of its own attempt and then renamed: a repeated task
+anywhere. ROWS grows with N up to MOST, so that the number of shards grows slowly. Sequences travel to their shard in
+compressed blocks, one for each task and shard; beyond FAN shards they travel in two steps, by groups of shards and then by
+shard, so that no step pairs every task with every shard. A shard is filled in a buffer, written under a name of its own attempt and then renamed: a repeated task
 replaces it by the same bytes. The manifest names every piece of a document that a sequence holds, so that each document
 and each of its tokens can be found.
 """
@@ -23,11 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waywright.llm.common import shared_dir, ship, staged, tokenizer_file
+from waywright.llm.common import discard, received, send_file, shared_dir, ship, staged, tokenizer_file
 from waywright.llm.shingles import mixed
 
 LENGTH = 256
-ROWS = 1 << 15
+ROWS = 1 << 15  # sequences of a shard: 16 MB of 2-byte ids
+MOST = 1 << 19  # 256 MB, which the task that writes a shard holds
+SHARDS = 1024  # up to which ROWS is kept
+FAN = 2048
+PIECE = 1 << 30  # bytes of sequences that a task of the first of two steps passes on
 ROUNDS = 6
 PARTS = 100_000
 HELD = 1 << 26  # bytes of sequences that a task holds before it makes blocks of them
@@ -72,7 +78,7 @@ def _tokens(path, length):
     starts in it, token offset of the first piece in its text, ids before padding, bytes. Further pieces have offset 0."""
 
     def run(batches):
-        own, end = encoder(path, PATTERN)
+        own, end = encoder(received(path), PATTERN)
         kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
         part, number = TaskContext.get().partitionId(), 0
         rest, owners, begins, offset = np.zeros(0, kind), [], np.zeros(0, np.int64), 0  # tokens that wait for more, and their pieces
@@ -159,6 +165,25 @@ def _blocks(stride, n, key, rows):
     return run
 
 
+def shard_rows(n: int) -> int:
+    """Sequences of a shard if there are n."""
+    rows = ROWS
+    while rows < MOST and n > rows * SHARDS:
+        rows *= 2
+    return rows
+
+
+def dealt(blocks: DataFrame, shards: int, size: int, fan: int = FAN) -> DataFrame:
+    """Blocks of a shard in one partition each. size: bytes of all sequences."""
+    if shards > fan:
+        groups = round(shards**0.5)
+        own = -(-shards // groups)
+        parts = max(1, -(-size // (groups * PIECE)))
+        to = F.expr(f"int(shard div {own} * {parts} + pmod(spark_partition_id(), {parts}))")  # a task meets one part of each group
+        blocks = blocks.repartitionById(groups * parts, to).mapInArrow(lambda batches: batches, blocks.schema)
+    return blocks.repartitionById(shards, F.col("shard"))
+
+
 def _write(folder, stride, n, rows):
     def run(batches):
         import zstandard
@@ -208,19 +233,24 @@ def _write(folder, stride, n, rows):
     return run
 
 
-def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, rows: int = ROWS, key: int = 20240607) -> DataFrame:
-    """Write the shards to folder (by default a new one in the shared folder) and return their manifest.
+def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, rows: int | None = None, key: int = 20240607, fan: int = FAN) -> DataFrame:
+    """Write the shards, their manifest and their layout to folder (by default a new one in the shared folder) and return
+    the manifest.
+
+    (id_col, doc_offset, slot, shard, n_tokens, byte_offset, payload_crc32, segments, path, length, dtype): a row for each
+    sequence. slot has every value from 0 to the number of sequences - 1 once; the sequence lies at byte_offset of the file
+    path as length ids of type dtype and begins with token doc_offset of document id_col; n_tokens counts the ids before
+    padding. segments lists all pieces of documents in the sequence as (id_col, doc_offset, start, n_tokens): the n_tokens
+    ids from place start on are those of the document from token doc_offset on.
 
-    (id_col, doc_offset, slot, shard, n_tokens, byte_offset, payload_crc32, segments): a row for each sequence. slot has
-    every value from 0 to rows - 1 once; the sequence begins with token doc_offset of document id_col; n_tokens counts the
-    ids before padding. segments lists all pieces of documents in the sequence as (id_col, doc_offset, start, n_tokens): the
-    n_tokens ids from place start on are those of the document from token doc_offset on. Null and empty texts give the end-of-text id alone. Repeated rows are repeated in the stream. An empty table
-    gives no shard and an empty manifest. Further columns of docs aren't read. The same key and the same staged tokens
-    give the same order. folder is a URI that pyarrow can open: file, hdfs, s3 and gs.
+    Null and empty texts give the end-of-text id alone; texts of any length are cut over as many sequences as they fill.
+    Repeated rows are repeated in the stream. An empty table gives no shard and an empty manifest. Further columns of docs
+    aren't read. Sequences are numbered by the tasks that made them: the same key and the same staged tokens give the same
+    order. folder is a URI that pyarrow can open: file, hdfs, s3 and gs.
     """
     spark = docs.sparkSession
     ship(spark)
-    path = path or tokenizer_file("byte_bpe_50k.tiktoken")
+    path = send_file(spark, path or tokenizer_file("byte_bpe_50k.tiktoken"))
     folder = folder or f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
     end = encoder(path, PATTERN)[1]
     width = 2 if end < 1 << 16 else 4
@@ -229,28 +259,36 @@ def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "do
     sequences = staged(base.mapInArrow(_tokens(path, length), f"part int, number long, doc_ids array<{id_type}>, starts array<int>, doc_offset long, n_tokens int, payload binary"), "tokens", "zstd")
     parts = staged(sequences.groupBy("part").agg(F.count("*").alias("own")), "parts")
     n, tasks = parts.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count("*")).first()
+    rows = rows or shard_rows(n)
     bases = parts.select(F.col("part").alias("_part"), (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
     if tasks <= PARTS:  # a row for each task of the tokenising step
         bases = F.broadcast(bases)
     numbered = sequences.join(bases, F.col("part") == F.col("_part")).select((F.col("base") + F.col("number")).alias("number"), "doc_ids", "starts", "doc_offset", "n_tokens", "payload")
     blocks = numbered.mapInArrow(_blocks(length * width, n, key, rows), BLOCKS.format(f"array<{id_type}>"))
-    ranges = blocks.repartitionById(max(1, -(-n // rows)), F.col("shard"))
-    manifest = ranges.mapInArrow(_write(folder, length * width, n, rows), f"doc_ids array<{id_type}>, starts array<int>, doc_offset long, slot long, shard int, n_tokens int, byte_offset long, payload_crc32 long")
-    manifest = staged(manifest, "manifest", "zstd")
+    shards = max(1, -(-n // rows))
+    manifest = dealt(blocks, shards, n * length * width, fan).mapInArrow(_write(folder, length * width, n, rows), f"doc_ids array<{id_type}>, starts array<int>, doc_offset long, slot long, shard int, n_tokens int, byte_offset long, payload_crc32 long")
     piece = lambda x, i: F.struct(x.alias(id_col), F.when(i == 0, F.col("doc_offset")).otherwise(0).alias("doc_offset"), F.get("starts", i).alias("start"), (F.coalesce(F.get("starts", i + 1), "n_tokens") - F.get("starts", i)).alias("n_tokens"))
-    return manifest.select(F.get("doc_ids", F.lit(0)).alias(id_col), "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32", F.transform("doc_ids", piece).alias("segments"))
+    file = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 6, "0"), F.lit(".bin"))
+    place = [file.alias("path"), F.lit(length).alias("length"), F.lit(f"<u{width}").alias("dtype")]
+    named = manifest.select(F.get("doc_ids", F.lit(0)).alias(id_col), "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32", F.transform("doc_ids", piece).alias("segments"), *place)
+    named.write.mode("overwrite").parquet(f"{folder}/manifest", compression="zstd")
+    layout = spark.range(1).select(F.lit(n).cast("long").alias("sequences"), F.lit(rows).alias("rows"), F.lit(length).alias("length"), F.lit(f"<u{width}").alias("dtype"), F.lit(key).cast("long").alias("key"))
+    layout.write.mode("overwrite").parquet(f"{folder}/layout")
+    discard(sequences, parts)
+    return spark.read.schema(named.schema).parquet(f"{folder}/manifest")
 
 
-def read(folder: str, slots: range, *, length: int = LENGTH, rows: int = ROWS, kind: str = "<u2"):
-    """Sequences of the given slots, in order; each shard is opened once."""
-    from pyarrow import fs
+def read(folder: str, slots: range):
+    """Sequences of the given slots, in order, as the folder's layout says; each shard is opened once."""
+    from pyarrow import fs, parquet
 
     store, path = fs.FileSystem.from_uri(folder)
-    stride = length * np.dtype(kind).itemsize
+    layout = parquet.read_table(f"{path}/layout", filesystem=store).to_pylist()[0]
+    rows, stride = layout["rows"], layout["length"] * np.dtype(layout["dtype"]).itemsize
     shard, file = None, None
     for s in slots:
         if s // rows != shard:
             shard = s // rows
             file = store.open_input_file(f"{path}/shard-{shard:06d}.bin")
         file.seek(s % rows * stride)
-        yield np.frombuffer(file.read(stride), kind)
+        yield np.frombuffer(file.read(stride), layout["dtype"])
