@@ -183,7 +183,7 @@ def test_quantile_sketches_merge_and_are_close(spark):
     table = spark.createDataFrame([(("a", "b")[i % 2], float(v)) for i, v in enumerate(values)], "g string, x double")
     own = quality_rules.sketches(table, ["g"], ["x"])
     merged = own.groupBy("stat", "bucket").agg(F.sum("n").alias("n"))
-    got = quality_rules.quantiles(merged, [], {"q": 0.75}).first()["q"]
+    got = quality_rules.quantiles(merged, [], {"q": F.lit(0.75)}).first()["q"]
     assert abs(got / np.quantile(values, 0.75, method="inverted_cdf") - 1) < 0.011
 
 
@@ -314,7 +314,7 @@ def test_training_order_shards(odd, none, docs, tmp_path):
         assert sorted(got) == list(range(len(got)))
         ids = {r["doc_id"]: [*own.encode_ordinary(r["text"] or ""), end] for r in table.collect()}
         assert sum(r["n_tokens"] for r in got.values()) == sum(map(len, ids.values()))
-        for slot, x in enumerate(training_order.read(folder, range(len(got)), length=64, rows=100)):
+        for slot, x in enumerate(training_order.read(folder, range(len(got)))):
             r = got[slot]
             assert zlib.crc32(x.tobytes()) == r["payload_crc32"]
             start = ids[r["doc_id"]][r["doc_offset"] :][:64]
@@ -328,7 +328,7 @@ def test_training_order_names_every_document_and_token(odd, docs, tmp_path):
         folder = f"file://{tmp_path}/{k}"
         got = {r["slot"]: r for r in training_order.materialise(table, folder, length=64, rows=100).collect()}
         held = {}
-        for slot, x in enumerate(training_order.read(folder, range(len(got)), length=64, rows=100)):
+        for slot, x in enumerate(training_order.read(folder, range(len(got)))):
             at = 0
             for s in got[slot]["segments"]:
                 assert s["start"] == at and s["n_tokens"] > 0
