@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,7 @@ STEP = 3
 LIMIT = 96
 DEPTH = 7
 BLOCK = 64  # documents of a block of a large node, on average
+HOMES = 2  # dealt nodes of a document, the largest, in which it lies in a block
 CHUNK = 256  # documents of a chunk, two of which are compared at the end, on average
 NEAR = 200_000  # places of candidates' texts (24 bytes each) that may be broadcast; beyond, texts are joined by shuffling
 FLOOR = 0.55
@@ -96,8 +97,9 @@ def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame | None, list[DataFrame]
             break
         if depth >= DEPTH:
             block = F.xxhash64("key", F.lit(-2), F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / BLOCK)))
-            dealt = staged(large.select("key", "uid", "pivot", "n", block.alias("block")), "dealt")
-            small.append(dealt.select(F.col("block").alias("key"), F.explode(F.array("uid", "pivot")).alias("uid")).distinct().withColumn("block", F.lit(True)))
+            order = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("n"), "key"))
+            dealt = staged(large.select("key", "uid", "pivot", "n", block.alias("block"), order.alias("order")), "dealt")
+            small.append(dealt.where(F.col("order") <= HOMES).select(F.col("block").alias("key"), F.explode(F.array("uid", "pivot")).alias("uid")).distinct().withColumn("block", F.lit(True)))
             break
         if wide is None:  # what deeper nodes need, of the documents that have deeper nodes
             wide = staged(sets.select("uid", "pool").join(large.select("uid").distinct(), "uid", "left_semi"), "wide")
