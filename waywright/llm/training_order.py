@@ -245,7 +245,8 @@ def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "do
 
     Null and empty texts give the end-of-text id alone; texts of any length are cut over as many sequences as they fill.
     Repeated rows are repeated in the stream. An empty table gives no shard and an empty manifest. Further columns of docs
-    aren't read. Sequences are numbered by the tasks that made them: the same key and the same staged tokens give the same
+    aren't read. The manifest in the folder is the compact form of what is returned: the ids of each sequence's pieces and
+    where they start. Sequences are numbered by the tasks that made them: the same key and the same staged tokens give the same
     order. folder is a URI that pyarrow can open: file, hdfs, s3 and gs.
     """
     spark = docs.sparkSession
@@ -270,12 +271,12 @@ def materialise(docs: DataFrame, folder: str | None = None, *, id_col: str = "do
     piece = lambda x, i: F.struct(x.alias(id_col), F.when(i == 0, F.col("doc_offset")).otherwise(0).alias("doc_offset"), F.get("starts", i).alias("start"), (F.coalesce(F.get("starts", i + 1), "n_tokens") - F.get("starts", i)).alias("n_tokens"))
     file = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 6, "0"), F.lit(".bin"))
     place = [file.alias("path"), F.lit(length).alias("length"), F.lit(f"<u{width}").alias("dtype")]
-    named = manifest.select(F.get("doc_ids", F.lit(0)).alias(id_col), "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32", F.transform("doc_ids", piece).alias("segments"), *place)
-    named.write.mode("overwrite").parquet(f"{folder}/manifest", compression="zstd")
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest", compression="zstd")
     layout = spark.range(1).select(F.lit(n).cast("long").alias("sequences"), F.lit(rows).alias("rows"), F.lit(length).alias("length"), F.lit(f"<u{width}").alias("dtype"), F.lit(key).cast("long").alias("key"))
     layout.write.mode("overwrite").parquet(f"{folder}/layout")
     discard(sequences, parts)
-    return spark.read.schema(named.schema).parquet(f"{folder}/manifest")
+    held = spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
+    return held.select(F.get("doc_ids", F.lit(0)).alias(id_col), "doc_offset", "slot", "shard", "n_tokens", "byte_offset", "payload_crc32", F.transform("doc_ids", piece).alias("segments"), *place)
 
 
 def read(folder: str, slots: range):
