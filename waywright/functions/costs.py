@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,54 @@ def cost(length="length", gain="gain", popularity="popularity", width="width", f
     return F.when(sound, F.greatest(out, F.lit(0.0))).otherwise(F.raise_error(F.lit("edge cost isn't finite or is negative")).cast("double"))
 
 
+def spec_cost(spec: Spec, rho: float, pstar: float) -> Column:
+    """cost() of one spec as an expression without look-ups, for columns length, gain, popularity and width."""
+    l, g, pop, wid = (F.col(x) for x in ("length", "gain", "popularity", "width"))
+    p = lambda name, default=0.0: float(spec.params.get(name, default))
+    wscale, pscale = max(abs(p("Wref")), 1.0), max(abs(p("Pref")), 1.0)
+    over, under = F.greatest(F.lit(0.0), wid - p("Wref")), F.greatest(F.lit(0.0), p("Pref") - pop)
+    hinge = l * (p("w") * over / wscale + p("p") * under / pscale) if p("w") or p("p") else F.lit(0.0)
+    base = p("L", 1.0) * l
+    slope = F.greatest(F.lit(0.0), g / l)
+    out = {
+        "physical_length": lambda: l,
+        "hinge": lambda: base + hinge,
+        "low_elevation": lambda: base + p("h") * g + hinge,
+        "high_elevation": lambda: base + p("H") * F.greatest(F.lit(0.0), rho * l - g) + hinge,
+        "pop_complement": lambda: base + p("pop") * l * F.greatest(F.lit(0.0), pstar - pop) / max(pstar, 1.0) + p("w") * l * over / wscale,
+        "width_linear": lambda: base + p("w") * l * F.greatest(wid, F.lit(0.0)) / wscale + hinge,
+        "slope_inverse": lambda: l / (1 + p("beta") * slope) + hinge,
+        "slope_exp": lambda: l * F.exp(-p("beta") * slope) + hinge,
+    }[spec.family]()
+    sound = out.isNotNull() & ~F.isnan(out) & (out >= -EPS) & (out < float("inf"))
+    return F.when(sound, F.greatest(out, F.lit(0.0))).otherwise(F.raise_error(F.lit("edge cost isn't finite or is negative")).cast("double"))
+
+
+def price(spec: Spec, edges: dict[str, np.ndarray], rho: float, pstar: float) -> np.ndarray:
+    """cost() of one spec over arrays length, gain, popularity and width."""
+    l, g, pop, wid = (edges[c] for c in ("length", "gain", "popularity", "width"))
+    p = lambda name, default=0.0: float(spec.params.get(name, default))
+    wscale, pscale = max(abs(p("Wref")), 1.0), max(abs(p("Pref")), 1.0)
+    over, under = np.maximum(0.0, wid - p("Wref")), np.maximum(0.0, p("Pref") - pop)
+    hinge = l * (p("w") * over / wscale + p("p") * under / pscale)
+    base = p("L", 1.0) * l
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.maximum(0.0, g / l)
+        out = {
+            "physical_length": lambda: l,
+            "hinge": lambda: base + hinge,
+            "low_elevation": lambda: base + p("h") * g + hinge,
+            "high_elevation": lambda: base + p("H") * np.maximum(0.0, rho * l - g) + hinge,
+            "pop_complement": lambda: base + p("pop") * l * np.maximum(0.0, pstar - pop) / max(pstar, 1.0) + p("w") * l * over / wscale,
+            "width_linear": lambda: base + p("w") * l * np.maximum(wid, 0.0) / wscale + hinge,
+            "slope_inverse": lambda: l / (1 + p("beta") * slope) + hinge,
+            "slope_exp": lambda: l * np.exp(-p("beta") * slope) + hinge,
+        }[spec.family]()
+    if not (np.isfinite(out) & (out >= -EPS)).all():
+        raise ValueError("edge cost isn't finite or is negative")
+    return np.maximum(out, 0.0)
+
+
 #: The same cost for DuckDB, over columns of edges e, specs s (family and one column for each parameter) and constants c.
 COST_SQL = """CASE family WHEN 'physical_length' THEN length
  WHEN 'hinge' THEN L * length + hinge WHEN 'low_elevation' THEN L * length + h * gain + hinge
@@ -140,6 +189,11 @@ def feasible_div(box: Box, l="L", h="H", p="P", w="W") -> Column:
     return F.col(l).between(box.Lmin, box.Lmax) & F.col(h).between(box.Hmin, box.Hmax) & (F.col(p) >= box.Pmin) & (F.col(w) <= box.Wmax)
 
 
+def hopeless(box: Box, l="L", h="H") -> Column:
+    """A partial route that no continuation brings back: too long, or too much climb. Means may still change."""
+    return (F.col(l) > box.Lmax) | (F.col(h) > box.Hmax)
+
+
 KINDS = ("L_low", "L_high", "H_low", "H_high", "P_low", "W_high")
 
 
@@ -159,6 +213,16 @@ def violation_score(box: Box) -> Column:
     return F.greatest(*[v / s for v, s in zip(violations(box), scales(box), strict=True)])
 
 
+def violation_key(box: Box, pop_high: float, width_low: float) -> Column:
+    """What routes are ordered by: sum, largest and number of the scaled violations, the six, then length, climb, high
+    popularity and width. Here means are scaled by the width of their range too."""
+    wide = [max(box.Lmax - box.Lmin, 1.0)] * 2 + [max(box.Hmax - box.Hmin, 1.0)] * 2 + [max(pop_high - box.Pmin, 1.0), max(box.Wmax - width_low, 1.0)]
+    parts = [F.round(v / s, 9) for v, s in zip(violations(box), wide, strict=True)]
+    total = sum(parts[1:], parts[0])
+    count = sum(((p > 0).cast("int") for p in parts[1:]), (parts[0] > 0).cast("int"))
+    return F.struct(F.round(total, 8).alias("total"), F.greatest(*parts).alias("most"), count.alias("broken"), *[p.alias(k) for p, k in zip(parts, KINDS, strict=True)], F.col("L").alias("l"), F.col("H").alias("h"), (-F.round("P", 9)).alias("p"), F.round("W", 9).alias("w"))
+
+
 def dominant_violation(box: Box) -> Column:
     """The first kind of the largest scaled violation; null if nothing is violated."""
     own = F.array(*[v / s for v, s in zip(violations(box), scales(box), strict=True)])
@@ -167,8 +231,9 @@ def dominant_violation(box: Box) -> Column:
 
 
 def box_center(box: Box) -> Column:
-    """Largest distance from the box's centre, scaled to its half widths; popularity up to 255, width from 5."""
-    bounds = [("L", box.Lmin, box.Lmax), ("H", box.Hmin, box.Hmax), ("P", box.Pmin, 255.0), ("W", 5.0, box.Wmax)]
+    """Largest distance from the box's centre, scaled to its half widths; popularity up to 255, or just over a higher
+    threshold, and width from 5, or just under a lower one."""
+    bounds = [("L", box.Lmin, box.Lmax), ("H", box.Hmin, box.Hmax), ("P", box.Pmin, max(255.0, box.Pmin + 1)), ("W", min(5.0, box.Wmax - 1), box.Wmax)]
     return F.greatest(*[F.abs(F.col(c) - (lo + hi) / 2) / max((hi - lo) / 2, 1.0) for c, lo, hi in bounds])
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def runs(values: Column) -> Column:
@@ -56,20 +54,7 @@ def road_key(ref: Column, name: Column, highway: Column) -> Column:
     return F.struct(first.alias("road"), norm_tag(highway).alias("highway"))
 
 
-def _erase(path) -> list:
-    out, at = [], {}
-    for v in path:
-        if v in at:
-            for gone in out[at[v] + 1 :]:
-                del at[gone]
-            out = out[: at[v] + 1]
-        else:
-            at[v] = len(out)
-            out.append(v)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def loop_erase(paths: pd.Series) -> pd.Series:
-    """Routes with every loop cut at its first repeated vertex."""
-    return paths.map(_erase)
+def loop_erase(path: Column | str) -> Column:
+    """A route with every loop cut at its first repeated vertex: a vertex met again takes back what came after it."""
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(path, none, lambda out, v: F.when(F.array_contains(out, v), F.slice(out, F.lit(1), F.array_position(out, v).cast("int"))).otherwise(F.concat(out, F.array(v))))

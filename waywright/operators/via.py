@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,24 @@ from waywright.functions.costs import Box, Spec
 from waywright.operators import graph, network
 
 
+def constants(edges: DataFrame) -> tuple[float, float]:
+    """Just over the steepest slope, and the highest popularity."""
+    own = network.metric_constants(edges).first()
+    return (math.nextafter(own["max_slope"], math.inf) if own["max_slope"] is not None else 0.0), own["pstar"] or 0.0
+
+
 def priced(edges: DataFrame, specs: list[Spec], box: Box, directions: tuple[str, ...] = ("fwd",)) -> DataFrame:
     """Edges with the cost of every spec, once for each direction's root."""
-    spark = edges.sparkSession
-    constants = network.metric_constants(edges).select((F.col("max_slope") * (1 + 2.0**-52)).alias("rho"), "pstar")
-    # one row of constants; as many specs as the caller lists
-    full = edges.crossJoin(F.broadcast(constants)).crossJoin(F.broadcast(costs.specs_frame(spark, specs)))
+    rho, pstar = constants(edges)
+    each = F.array(*[F.struct(F.lit(s.name).alias("spec"), costs.spec_cost(s, rho, pstar).alias("cost")) for s in specs])
     roots = F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(box.source if d == "fwd" else box.target).cast("long").alias("root")) for d in directions])
-    return full.withColumn("cost", costs.cost()).select("*", F.lit(box.name).alias("query"), F.inline(roots))
+    return edges.select("*", F.inline(each)).select("*", F.lit(box.name).alias("query"), F.inline(roots))
+
+
+def forest(edges: DataFrame, specs: list[Spec], box: Box, directions: tuple[str, ...] = ("fwd", "bwd")) -> DataFrame:
+    """Trees of all specs from the box's source (fwd) and to its target (bwd)."""
+    roots = [(box.name, d, box.source if d == "fwd" else box.target) for d in directions]
+    return graph.forest(edges, specs, roots, lambda: priced(edges, specs, box, directions), constants(edges))
 
 
 def join_via(forest: DataFrame, box: Box) -> DataFrame:
@@ -31,6 +43,17 @@ def join_via(forest: DataFrame, box: Box) -> DataFrame:
     return total if box.source == box.target else total.where("length > 0")
 
 
+def mixed(forest: DataFrame, box: Box) -> DataFrame:
+    """(fwd_spec, bwd_spec, via, ..., feasible, violation): profiles of every ordered pair of specs, by node."""
+    keep = ("len", "gain", "pop_len", "wid_len", "road_changes")
+    f = forest.where("dir = 'fwd'").select("query", F.col("spec").alias("fwd_spec"), F.col("node").alias("via"), *[F.col(c).alias(f"f_{c}") for c in keep], F.col("last_road").alias("f_road"))
+    b = forest.where("dir = 'bwd'").select("query", F.col("spec").alias("bwd_spec"), F.col("node").alias("via"), *[F.col(c).alias(f"b_{c}") for c in keep], F.col("first_road").alias("b_road"))
+    seam = F.coalesce((F.col("f_road") != F.col("b_road")).cast("int"), F.lit(0))
+    both = f.join(b, ["query", "via"]).select("query", "fwd_spec", "bwd_spec", "via", *[(F.col(f"f_{c}") + F.col(f"b_{c}")).alias("length" if c == "len" else c) for c in keep[:4]], (F.col("f_road_changes") + F.col("b_road_changes") + seam).alias("road_changes"))
+    shaped = (both if box.source == box.target else both.where("length > 0")).select("*", *costs.route_vector())
+    return shaped.withColumn("feasible", costs.feasible_mul(box)).withColumn("violation", costs.violation_score(box))
+
+
 def best(profiles: DataFrame, box: Box, k: int = 5) -> DataFrame:
     """The k feasible profiles of each (query, spec) nearest to the box's centre."""
     shaped = profiles.select("query", "spec", "via", "cost", "length", "gain", "pop_len", "wid_len", "road_changes", *costs.route_vector()).where(costs.feasible_mul(box))

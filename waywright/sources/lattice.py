@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waywright.storage import stored
+
 SEEDS = 7
 
 #: The same lattice for DuckDB, as the head of a WITH clause.
@@ -34,7 +38,23 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table made from a folder's, stored once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = stored(make(spark, sf_dir), name)
+    return _kept[key]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """made_edges, stored once for each application and folder."""
+    return kept(spark, sf_dir, "lattice", made_edges)
+
+
+def made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(edge_id, u, v, length, gain, popularity, width, road_id), numbered by (u, v).
 
     Numbers come from counts by source, summed up, and ranks within a source: no sort of the whole table.
