@@ -23,12 +23,19 @@ def loop_spans(walks: DataFrame) -> DataFrame:
     return own.withColumn("last", F.lead("pos").over(Window.partitionBy("walk", "vertex").orderBy("pos"))).where("last is not null").select("walk", "vertex", F.col("pos").alias("first"), "last")
 
 
-def spurs(walks: DataFrame, least_edges: int = 2) -> DataFrame:
-    """(walk, first, last): spans that go out and come back over the same vertices, of at least least_edges edges."""
-    spans = loop_spans(walks).join(walks.select("walk", "path"), "walk")
-    span = F.slice("path", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+def spurs(walks: DataFrame, least_edges: int = 4) -> DataFrame:
+    """(walk, first, last, road_clashes): spans between two visits of a vertex, of an even number of edges and least_edges at
+    least, that go out over different vertices and come back over the same. road_clashes: edges whose way back has another
+    road, where both are known. roads[i] is the road of the edge from path[i] on."""
+    own = walks.select("walk", "path", "roads", F.posexplode("path").alias("first", "vertex"))
+    spans = own.select("*", F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("path") - 1), lambda j: (j > F.col("first")) & (F.get("path", j) == F.col("vertex"))), lambda j: j)).alias("last"))
     edges = F.col("last") - F.col("first")
-    return spans.where((edges >= least_edges) & (edges % 2 == 0) & (span == F.reverse(span))).select("walk", "first", "last")
+    half = F.expr("(last - first) div 2")
+    out = F.slice("path", F.col("first") + 1, half + 1)
+    back = F.slice("path", F.col("first") + 1 + half, half + 1)
+    found = spans.where((edges >= least_edges) & (edges % 2 == 0)).where((F.size(F.array_distinct(out)) == F.size(out)) & (F.reverse(out) == back))
+    clash = F.size(F.filter(F.sequence(F.lit(0), half - 1), lambda k: F.get("roads", F.col("first") + k) != F.get("roads", F.col("last") - 1 - k)))
+    return found.select("walk", "first", "last", clash.alias("road_clashes"))
 
 
 def road_runs(walks: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def register(query, walks, walks_sql: str) -> None:
     def win_loop_spans(spark, sf_dir):
         return loop_spans(walks(spark, sf_dir))
 
-    @query(f"{spans} SELECT walk, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM spans WHERE last - first >= 2 AND (last - first) % 2 = 0 AND path[first + 1:last + 1] = list_reverse(path[first + 1:last + 1])")
+    @query(f"WITH {walks_sql}, a AS (SELECT walk, path, roads, unnest(range(len(path))) AS first FROM walks), s AS (SELECT *, unnest(range(first + 4, len(path), 2)) AS last FROM a), t AS (SELECT *, (last - first) // 2 AS half FROM s WHERE path[first + 1] = path[last + 1]), u AS (SELECT *, path[first + 1:first + half + 1] AS o, path[first + half + 1:last + 1] AS b FROM t) SELECT walk, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CAST(len([k FOR k IN range(half) IF roads[first + k + 1] <> roads[last - k]]) AS INTEGER) AS road_clashes FROM u WHERE len(list_distinct(o)) = len(o) AND list_reverse(o) = b")
     def aud_spur(spark, sf_dir):
         return spurs(walks(spark, sf_dir))
 

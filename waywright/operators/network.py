@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waywright.storage import stored
+
 
 def crossings(edges: DataFrame, partition: DataFrame) -> DataFrame:
     """(edge_id, u, v, from_cell, to_cell): edges whose ends have different cells; ends without a cell drop out."""
@@ -31,7 +33,35 @@ def canonical_ways(ways: DataFrame, key: str = "road", way: str = "way", weight:
     """(road, way, road_id): each road's heaviest way (the least of equals) and its number in the order of roads."""
     total = ways.groupBy(key, way).agg(F.sum(weight).alias("_w"))
     best = total.groupBy(key).agg(F.max_by(way, F.struct("_w", -F.col(way))).alias(way))
-    return best.withColumn("road_id", F.dense_rank().over(Window.orderBy(key)) - 1)
+    return numbered(best, key, "road_id")
+
+
+def completable(labels: DataFrame, rest: DataFrame, longest: float) -> DataFrame:
+    """labels (node, length) with least, the shortest that they can end with, where that is at most longest. rest: (node, dist)
+    to the target; labels at nodes without a row go."""
+    own = labels.join(rest, "node").withColumn("least", F.col("length") + F.col("dist"))
+    return own.where(F.col("least") <= longest + 1e-6).drop("dist")
+
+
+def csr(edges: DataFrame, block: int = 1024) -> DataFrame:
+    """(edge_id, u, position, offset_): an edge's place among those of its source, and the number of edges of lower sources."""
+    own = edges.withColumn("_b", F.expr(f"u div {block}"))
+    ranked = own.withColumn("position", F.row_number().over(Window.partitionBy("u").orderBy("v", "edge_id")) - 1)
+    counts = own.groupBy("_b", "u").agg(F.count("*").alias("_n"))
+    blocks = counts.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    before = blocks.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))  # a row for each block
+    starts = counts.join(before, "_b").withColumn("offset_", F.col("_before") + F.sum("_n").over(Window.partitionBy("_b").orderBy("u")) - F.col("_n"))
+    return ranked.join(starts.select("u", "offset_"), "u").select("edge_id", "u", "position", "offset_")
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df, whose key is unique, with name: rows counted from 0 in the order of key. Rows are dealt out by ranges of key, and
+    numbered within their range after those of lower ranges."""
+    ranges = stored(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
+    counts = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return ranges.withColumn("_at", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("int")).drop("_part", "_at", "_before")
 
 
 def corridor_cells(seeds: DataFrame, points: DataFrame, source: DataFrame, target: DataFrame, slack: int) -> DataFrame:

@@ -1,7 +1,4 @@
-"""Parts of a portal search: representatives of labels, joins of labels at one portal, and an archive of diverse routes.
-
-The search itself (rounds, shortcuts inside cells, expansion of labels, bridges, repairs, resume) is not here.
-"""
+"""Representatives of labels, joins of labels at one portal, and an archive of diverse routes."""
 
 from __future__ import annotations
 
@@ -9,15 +6,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waywright.storage import ship
+
+
+KEYS = ("centered_score", "shortest_length", "lowest_elevation", "best_popularity", "best_width", "fewest_road_changes")
+
 
 def representatives(labels: DataFrame, limit: int = 4) -> DataFrame:
-    """Per (dir, portal) at most limit labels: winners of length, climb, popularity, width and road changes first, by the
-    number of their wins, then the others by length."""
+    """Per (dir, portal) at most limit labels, with wins and place. A label wins a key where its value is least, ties going to
+    the better sort key and then the lower label; a label of no length can't win the two means. Winners come first, by the
+    number of their wins and their first key, then the others by sort key."""
     own = Window.partitionBy("dir", "portal")
-    first = lambda *order: (F.row_number().over(own.orderBy(*order, "label")) == 1).cast("int")
-    wins = first("length") + first("gain") + first(-F.col("pop_len") / F.greatest("length", F.lit(1e-12))) + first(F.col("wid_len") / F.greatest("length", F.lit(1e-12))) + first("road_changes")
-    won = labels.withColumn("wins", wins)
-    return won.withColumn("place", F.row_number().over(own.orderBy(F.desc("wins"), "length", "label"))).where(F.col("place") <= limit)
+    mean = lambda c: F.when(F.col("length") > 0, -F.col(c) / F.col("length"))
+    values = dict(zip(KEYS, (F.col("priority"), F.col("length"), F.col("gain"), mean("pop_len"), mean("wid_len"), F.col("road_changes")), strict=True))
+    sort = [F.col("priority"), F.col("length"), F.col("gain"), F.coalesce(mean("pop_len"), F.lit(0.0)), F.coalesce(mean("wid_len"), F.lit(0.0)), F.col("road_changes"), F.col("label")]
+    won = labels.select("*", *[(v.isNotNull() & (F.row_number().over(own.orderBy(F.asc_nulls_last(v), *sort)) == 1)).alias(f"_{k}") for k, v in values.items()])
+    wins = sum((F.col(f"_{k}").cast("int") for k in KEYS), F.lit(0))
+    first = F.coalesce(*[F.when(F.col(f"_{k}"), F.lit(i)) for i, k in enumerate(KEYS)], F.lit(len(KEYS)))
+    placed = won.withColumn("wins", wins).withColumn("_first", first).withColumn("place", F.row_number().over(own.orderBy(F.desc("wins"), "_first", *sort)))
+    return placed.where(F.col("place") <= limit).drop("_first", *[f"_{k}" for k in KEYS])
 
 
 def same_portal(labels: DataFrame) -> DataFrame:
@@ -61,6 +68,7 @@ def archive(routes: DataFrame, size: int = 5, alike: float = 0.85, corridor: flo
     ways = F.col("corridors") if "corridors" in routes.columns else F.lit(None).cast("array<long>")
     kinds = dict(routes.dtypes)
     order = [F.asc_nulls_last(c) for c in ("score", "road_changes", "route")]
+    ship(routes.sparkSession)
     ranked = routes.repartition("query").sortWithinPartitions("query", *order)
     ranked = ranked.select("query", "route", F.col("score").cast("double").alias("score"), "path", ways.alias("corridors"))
     return ranked.mapInArrow(_archive(size, alike, corridor), f"query {kinds['query']}, route {kinds['route']}, score double")
@@ -70,11 +78,14 @@ def register(query, lattice, cells, box, graph, network) -> None:
     def labels(spark, sf_dir):
         li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         n = F.col("l_quantity")
-        return li.select(F.when(F.col("l_linenumber") % 2 == 0, "fwd").otherwise("bwd").alias("dir"), (F.col("l_partkey") % 500).alias("portal"), F.expr("((l_orderkey * 20000 + l_partkey) * 1000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT)").alias("label"), (n * 10).alias("length"), (F.col("l_suppkey") % 50).cast("double").alias("gain"), (n * 10 * (F.col("l_partkey") % 256)).alias("pop_len"), (n * 10 * (5 + F.col("l_suppkey") % 21)).alias("wid_len"), (F.col("l_orderkey") % 9).cast("int").alias("road_changes"), (F.col("l_suppkey") % 6).alias("road"))
+        return li.select(F.when(F.col("l_linenumber") % 2 == 0, "fwd").otherwise("bwd").alias("dir"), (F.col("l_partkey") % 500).alias("portal"), F.expr("((l_orderkey * 20000 + l_partkey) * 1000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT)").alias("label"), (n * 10).alias("length"), (F.col("l_suppkey") % 50).cast("double").alias("gain"), (n * 10 * (F.col("l_partkey") % 256)).alias("pop_len"), (n * 10 * (5 + F.col("l_suppkey") % 21)).alias("wid_len"), (F.col("l_orderkey") % 9).cast("int").alias("road_changes"), (F.col("l_suppkey") % 6).alias("road"), (F.round(F.col("l_extendedprice") * 100).cast("long") % 977).alias("priority"))
 
-    labels_sql = "labels AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'fwd' ELSE 'bwd' END AS dir, l_partkey % 500 AS portal, ((l_orderkey * 20000 + l_partkey) * 1000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS label, l_quantity * 10 AS length, CAST(l_suppkey % 50 AS DOUBLE) AS gain, l_quantity * 10 * (l_partkey % 256) AS pop_len, l_quantity * 10 * (5 + l_suppkey % 21) AS wid_len, CAST(l_orderkey % 9 AS INTEGER) AS road_changes, l_suppkey % 6 AS road FROM lineitem)"
-    win = lambda o: f"CASE WHEN row_number() OVER (PARTITION BY dir, portal ORDER BY {o}, label) = 1 THEN 1 ELSE 0 END"
-    rep_sql = f"{labels_sql}, w AS (SELECT *, {win('length')} + {win('gain')} + {win('-pop_len / greatest(length, 1e-12)')} + {win('wid_len / greatest(length, 1e-12)')} + {win('road_changes')} AS wins FROM labels), rep AS (SELECT *, row_number() OVER (PARTITION BY dir, portal ORDER BY wins DESC, length, label) AS place FROM w QUALIFY place <= 4)"
+    labels_sql = "labels AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'fwd' ELSE 'bwd' END AS dir, l_partkey % 500 AS portal, ((l_orderkey * 20000 + l_partkey) * 1000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS label, l_quantity * 10 AS length, CAST(l_suppkey % 50 AS DOUBLE) AS gain, l_quantity * 10 * (l_partkey % 256) AS pop_len, l_quantity * 10 * (5 + l_suppkey % 21) AS wid_len, CAST(l_orderkey % 9 AS INTEGER) AS road_changes, l_suppkey % 6 AS road, CAST(round(l_extendedprice * 100) AS BIGINT) % 977 AS priority FROM lineitem)"
+    mean = lambda c: f"CASE WHEN length > 0 THEN -{c} / length END"
+    values = ["priority", "length", "gain", mean("pop_len"), mean("wid_len"), "road_changes"]
+    sort = f"priority, length, gain, coalesce({mean('pop_len')}, 0), coalesce({mean('wid_len')}, 0), road_changes, label"
+    flags = ", ".join(f"CASE WHEN {v} IS NOT NULL AND row_number() OVER (PARTITION BY dir, portal ORDER BY {v} NULLS LAST, {sort}) = 1 THEN 1 ELSE 0 END AS k{i}" for i, v in enumerate(values))
+    rep_sql = f"{labels_sql}, k AS MATERIALIZED (SELECT *, {flags} FROM labels), w AS (SELECT *, {' + '.join(f'k{i}' for i in range(6))} AS wins, CASE {' '.join(f'WHEN k{i} = 1 THEN {i}' for i in range(6))} ELSE 6 END AS first FROM k), rep AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dir, portal ORDER BY wins DESC, first, {sort}) AS place FROM w QUALIFY place <= 4)"
 
     @query(f"WITH {rep_sql} SELECT dir, portal, label, CAST(wins AS INTEGER) AS wins, CAST(place AS INTEGER) AS place FROM rep")
     def win_representatives(spark, sf_dir):
@@ -87,5 +98,7 @@ def register(query, lattice, cells, box, graph, network) -> None:
     @query()
     def top_archive(spark, sf_dir):
         li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        routes = li.groupBy(F.col("l_orderkey").alias("route")).agg(F.collect_list(F.col("l_partkey") % 40).alias("path"), F.sum("l_quantity").alias("score"), F.count("*").alias("road_changes")).withColumn("query", F.col("route") % 20)
+        line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+        own = li.groupBy(F.col("l_orderkey").alias("route")).agg(F.array_sort(F.collect_list(line)).alias("x"), F.sum("l_quantity").alias("score"), F.count("*").alias("road_changes"))
+        routes = own.select("route", F.transform("x", lambda y: y["l_partkey"] % 40).alias("path"), F.transform(F.filter("x", lambda y: y["l_suppkey"] % 10 == 0), lambda y: y["l_partkey"] % 8).alias("corridors"), "score", "road_changes", (F.col("route") % 20).alias("query"))
         return archive(routes)

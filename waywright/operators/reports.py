@@ -7,23 +7,21 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waywright.operators import workloads
+
 
 def success(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count_if("solved").alias("solved"), F.count("*").alias("attempted"), F.round(100.0 * F.count_if("solved") / F.count("*"), 6).alias("percent"))
 
 
-def nearest_rank(share: float, values: str = "elapsed") -> Column:
-    """The ceil(share * n)-th least value of a group."""
-    own = F.sort_array(F.collect_list(values))
-    return F.element_at(own, F.greatest(F.ceil(F.lit(share) * F.count(values)), F.lit(1)).cast("int"))
-
-
 def ranked_times(runs: DataFrame, *keys: str) -> DataFrame:
-    """count, median, p90, p95 and max by nearest rank, by counting ranks rather than collecting groups."""
+    """count, median, p90, p95 and max by nearest rank. Equal times count once with their number, so that a key's running
+    counts are over different times."""
     w = Window.partitionBy(*keys)
-    own = runs.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("elapsed")))
-    at = lambda q: F.max(F.when(F.col("_r") == F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col("elapsed")))
-    return own.groupBy(*keys).agg(F.count("*").alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.max("elapsed").alias("most"))
+    each = runs.groupBy(*keys, "elapsed").agg(F.count("*").alias("_own"))
+    own = each.withColumn("_n", F.sum("_own").over(w)).withColumn("_r", F.sum("_own").over(w.orderBy("elapsed")))
+    at = lambda q: F.min(F.when(F.col("_r") >= F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col("elapsed")))
+    return own.groupBy(*keys).agg(F.sum("_own").alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.max("elapsed").alias("most"))
 
 
 def first_solved(runs: DataFrame, key: str) -> DataFrame:
@@ -44,20 +42,16 @@ def cover(solved: DataFrame, k: int) -> DataFrame:
     return counts.select(F.array_min(rows).alias("m")).select(F.array_join("m.members", "+").alias("members"), (-F.col("m.n")).alias("n"))
 
 
-def boxes(routes: DataFrame) -> DataFrame:
-    """Query boxes around a witness (L, H, P, W) that it satisfies: a loose one, a tight one, one with active means."""
-    L, H, P, W = (F.col(c) for c in "LHPW")
-    def box(name, *bounds):
-        labels = ("Lmin", "Lmax", "Hmin", "Hmax", "Pmin", "Wmax")
-        return F.struct(F.lit(name).alias("template"), *[F.round(b, 9).alias(n) for n, b in zip(labels, bounds, strict=True)])
-    zero = F.lit(0.0)
-    kinds = F.array(
-        box("loose", F.greatest(zero, 0.8 * L), 1.2 * L, F.greatest(zero, 0.7 * H), 1.3 * H, F.greatest(zero, 0.8 * P), 1.2 * W),
-        box("multi_tight", F.greatest(zero, 0.97 * L), 1.03 * L, F.greatest(zero, 0.95 * H), 1.05 * H, F.greatest(zero, 0.97 * P), 1.03 * W),
-        box("pop_active", F.greatest(zero, 0.9 * L), 1.1 * L, F.greatest(zero, 0.9 * H), 1.1 * H, F.greatest(zero, 0.99 * P), 1.3 * W),
-        box("width_active", F.greatest(zero, 0.9 * L), 1.1 * L, F.greatest(zero, 0.9 * H), 1.1 * H, F.greatest(zero, 0.7 * P), 1.01 * W),
-    )
-    return routes.select("route", F.inline(kinds))
+def failure_class() -> Column:
+    """The class of a failure from counts rejected, profiles, exact and non_elementary."""
+    none = F.col("profiles") == 0
+    looped = (F.col("exact") == 0) & (F.col("non_elementary") >= F.col("profiles"))
+    return F.when(F.col("rejected") > 0, "C_VALIDATION_FAILURE").when(none, "A_NO_PROFILE_FEASIBLE").when(looped, "B_PROFILE_FEASIBLE_BUT_NON_ELEMENTARY").otherwise("D_OTHER")
+
+
+def mixed_union(runs: DataFrame) -> DataFrame:
+    """(box, item, kind): a box's solving runs of any pair type, each item once, the first type by name winning."""
+    return runs.where("solved").groupBy("box", "item").agg(F.min("method").alias("kind"))
 
 
 def register(query, runs, runs_sql: str, routes, routes_sql: str, read) -> None:
@@ -84,44 +78,53 @@ def register(query, runs, runs_sql: str, routes, routes_sql: str, read) -> None:
         own = runs(spark, sf_dir).where(F.col("solved") & F.col("method").isin("1-URGENT", "2-HIGH"))
         return own.groupBy("box").agg(F.min_by("method", F.struct("elapsed", "method")).alias("winner"), F.min("elapsed").alias("elapsed"))
 
-    some = "s AS (SELECT DISTINCT method, box FROM runs WHERE solved AND item % 7 = box % 7 AND item < 9000)"
+    #: of a benchmark's boxes, here customers, which methods solved them within time
+    some = "s AS (SELECT DISTINCT o_orderpriority AS method, o_custkey AS box FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 40000)"
+
+    def in_time(spark, sf_dir):
+        own = read(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice < 40000")
+        return own.select(F.col("o_orderpriority").alias("method"), F.col("o_custkey").alias("box")).distinct()
 
     @query(f"WITH {runs_sql}, {some}, p AS (SELECT a.method || '+' || b.method AS members, (SELECT count(DISTINCT box) FROM s WHERE s.method IN (a.method, b.method)) AS n FROM (SELECT DISTINCT method FROM s) a, (SELECT DISTINCT method FROM s) b WHERE a.method < b.method) SELECT members, n FROM p ORDER BY n DESC, members LIMIT 1")
     def aud_cover(spark, sf_dir):
-        own = runs(spark, sf_dir).where(F.col("solved") & (F.col("item") % 7 == F.col("box") % 7) & (F.col("item") < 9000)).select("method", "box").distinct()
-        return cover(own, 2)
+        return cover(in_time(spark, sf_dir), 2)
 
     @query(f"WITH {runs_sql}, {some} SELECT box, string_agg(method, ',' ORDER BY method) AS methods FROM s GROUP BY 1")
     def cover_provenance(spark, sf_dir):
-        own = runs(spark, sf_dir).where(F.col("solved") & (F.col("item") % 7 == F.col("box") % 7) & (F.col("item") < 9000)).select("method", "box").distinct()
-        return own.groupBy("box").agg(F.array_join(F.sort_array(F.collect_set("method")), ",").alias("methods"))
+        return in_time(spark, sf_dir).groupBy("box").agg(F.array_join(F.sort_array(F.collect_set("method")), ",").alias("methods"))
 
-    @query(f"WITH {runs_sql} SELECT mode, count(*) FILTER (NOT solved) AS failed, CASE WHEN count(*) FILTER (solved) = 0 THEN 'NO_PROFILE' ELSE 'OTHER' END AS class FROM runs GROUP BY 1")
+    @query("SELECT l_orderkey AS item, CAST(count(*) FILTER (l_linenumber > 5) AS BIGINT) AS rejected, count(*) FILTER (l_quantity > 25) AS profiles, count(*) FILTER (l_quantity > 40) AS exact, count(*) FILTER (l_quantity > 25 AND l_suppkey % 3 = 0) AS non_elementary, CASE WHEN rejected > 0 THEN 'C_VALIDATION_FAILURE' WHEN profiles = 0 THEN 'A_NO_PROFILE_FEASIBLE' WHEN exact = 0 AND non_elementary >= profiles THEN 'B_PROFILE_FEASIBLE_BUT_NON_ELEMENTARY' ELSE 'D_OTHER' END AS class FROM lineitem GROUP BY 1")
     def aud_failure_class(spark, sf_dir):
-        return runs(spark, sf_dir).groupBy("mode").agg(F.count_if(~F.col("solved")).alias("failed"), F.when(F.count_if("solved") == 0, "NO_PROFILE").otherwise("OTHER").alias("class"))
+        """Why an item wasn't solved, from the counts of its profiles."""
+        own = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.count_if(F.col("l_linenumber") > 5).alias("rejected"), F.count_if(F.col("l_quantity") > 25).alias("profiles"), F.count_if(F.col("l_quantity") > 40).alias("exact"), F.count_if((F.col("l_quantity") > 25) & (F.col("l_suppkey") % 3 == 0)).alias("non_elementary"))
+        return own.withColumn("class", failure_class())
 
     @query(f"WITH {runs_sql} SELECT DISTINCT box, method FROM runs WHERE mode = 'F' AND solved UNION SELECT box, method FROM runs WHERE mode = 'O' AND solved")
     def set_union2(spark, sf_dir):
         own = runs(spark, sf_dir).where("solved")
         return own.where("mode = 'F'").select("box", "method").union(own.where("mode = 'O'").select("box", "method")).distinct()
 
-    @query(f"WITH {runs_sql} SELECT box, method FROM runs WHERE mode = 'F' AND elapsed < 20000 EXCEPT SELECT box, method FROM runs WHERE mode = 'O' AND elapsed < 20000")
+    @query(f"WITH {runs_sql} SELECT box, method FROM runs WHERE mode = 'F' AND solved EXCEPT SELECT box, method FROM runs WHERE mode = 'P' AND solved")
     def set_mask_diff(spark, sf_dir):
-        own = runs(spark, sf_dir).where("elapsed < 20000")
-        return own.where("mode = 'F'").select("box", "method").subtract(own.where("mode = 'O'").select("box", "method"))
+        own = runs(spark, sf_dir).where("solved")
+        return own.where("mode = 'F'").select("box", "method").subtract(own.where("mode = 'P'").select("box", "method"))
 
-    @query(f"WITH {runs_sql} SELECT box, method FROM runs WHERE mode = 'F' AND elapsed < 20000 INTERSECT SELECT box, method FROM runs WHERE mode = 'O' AND elapsed < 20000")
+    @query(f"WITH {runs_sql} SELECT box, item, min(method) AS kind FROM (SELECT box, item, method FROM runs WHERE solved AND mode = 'F' UNION SELECT box, item, method FROM runs WHERE solved AND mode = 'O' UNION SELECT box, item, method FROM runs WHERE solved AND mode = 'P') GROUP BY 1, 2")
     def set_mixed(spark, sf_dir):
-        own = runs(spark, sf_dir).where("elapsed < 20000")
-        return own.where("mode = 'F'").select("box", "method").intersect(own.where("mode = 'O'").select("box", "method"))
+        """Boxes solved by the union of all pair types, and by which."""
+        return mixed_union(runs(spark, sf_dir))
+
+    @query(f"WITH {runs_sql} SELECT DISTINCT box, method FROM runs WHERE solved AND method IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
+    def set_union3(spark, sf_dir):
+        own = runs(spark, sf_dir).where("solved")
+        first, second, third = (own.where(F.col("method") == m).select("box", "method") for m in ("1-URGENT", "2-HIGH", "3-MEDIUM"))
+        return first.union(second).union(third).distinct()
 
-    bound = lambda *x: ", ".join(f"round({e}, 9) AS {n}" for e, n in zip(x, ("Lmin", "Lmax", "Hmin", "Hmax", "Pmin", "Wmax"), strict=True))
-    kinds = {"loose": (.8, 1.2, .7, 1.3, .8, 1.2), "multi_tight": (.97, 1.03, .95, 1.05, .97, 1.03), "pop_active": (.9, 1.1, .9, 1.1, .99, 1.3), "width_active": (.9, 1.1, .9, 1.1, .7, 1.01)}
-    union = " UNION ALL ".join(f"SELECT route, '{k}' AS template, {bound(*[f'{f} * {c}' for f, c in zip(v, 'LLHHPW', strict=True)])} FROM routes" for k, v in kinds.items())
+    union = " UNION ALL ".join(map(workloads.boxes_sql, workloads.TEMPLATES))
 
     @query(f"WITH {routes_sql} {union}")
     def gen_box_templates(spark, sf_dir):
-        return boxes(routes(spark, sf_dir))
+        return workloads.boxes(routes(spark, sf_dir))
 
     @query(f"WITH {routes_sql} SELECT wmax, pmin, count(*) FILTER (pop_len >= pmin * length AND wid_len <= wmax * length) AS n FROM routes, (VALUES (15), (16), (17), (18), (19)) a(wmax), (VALUES (150), (145), (140)) b(pmin) GROUP BY 1, 2")
     def sens_grid(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waywright.functions import costs, geo, paths
 from waywright.functions.costs import Box
 from waywright.operators import audit, graph, network, portal, reports, via
-from waywright.plans import more
+from waywright.plans import extra, more
 from waywright.sources import lattice, text_files
 from waywright.sources.lattice import SQL
 
@@ -275,9 +275,15 @@ def fn_chebyshev(spark, sf_dir):
     return routes(spark, sf_dir).select("route", F.round(costs.chebyshev(_LO, _HI, _WT), 6).alias("score"))
 
 
-@query(f"WITH {ROUTES_SQL} SELECT route, round(greatest(abs(L - 8000) / 4000, abs(H - 90) / 60, abs(P - 177.5) / 77.5, abs(W - 10) / 5), 6) AS score FROM routes")
+#: boxes that try the bounds of the centre: the usual, a high popularity, a narrow width, both, and no width at all
+CENTERED = [_B, Box("popular", 0, 1, 0.0, 20000.0, 0.0, 0.5, 254.5, 15.0), Box("narrow", 0, 1, 4000.0, 12000.0, 30.0, 150.0, 100.0, 5.5), Box("both", 0, 1, 1.0, 2.0, 3.0, 3.5, 400.0, 0.5), Box("line", 0, 1, 5000.0, 5000.0, 90.0, 90.0, 0.0, 30.0)]
+
+
+@query(f"WITH {ROUTES_SQL}, b(box, l0, l1, h0, h1, p0, w1) AS (VALUES {', '.join(f'({chr(39)}{b.name}{chr(39)}, {b.Lmin}, {b.Lmax}, {b.Hmin}, {b.Hmax}, {b.Pmin}, {b.Wmax})' for b in CENTERED)}), c AS (SELECT *, greatest(255, p0 + 1) AS p1, least(5, w1 - 1) AS w0 FROM b) SELECT box, route, round(greatest(abs(L - (l0 + l1) / 2) / greatest((l1 - l0) / 2, 1), abs(H - (h0 + h1) / 2) / greatest((h1 - h0) / 2, 1), abs(P - (p0 + p1) / 2) / greatest((p1 - p0) / 2, 1), abs(W - (w0 + w1) / 2) / greatest((w1 - w0) / 2, 1)), 6) AS score FROM routes, c")
 def fn_box_center(spark, sf_dir):
-    return routes(spark, sf_dir).select("route", F.round(costs.box_center(_B), 6).alias("score"))
+    """The score of every route in each of five boxes."""
+    own = routes(spark, sf_dir)
+    return own.select("route", F.inline(F.array(*[F.struct(F.lit(b.name).alias("box"), F.round(costs.box_center(b), 6).alias("score")) for b in CENTERED])))
 
 
 _VIOL = f"greatest(0, {_B.Lmin} - L) AS v1, greatest(0, L - {_B.Lmax}) AS v2, greatest(0, {_B.Hmin} - H) AS v3, greatest(0, H - {_B.Hmax}) AS v4, greatest(0, {_B.Pmin} - P) AS v5, greatest(0, W - {_B.Wmax}) AS v6"
@@ -290,11 +296,11 @@ def fn_violations(spark, sf_dir):
     return routes(spark, sf_dir).select("route", *own, F.round(costs.violation_score(_B), 6).alias("score"), costs.dominant_violation(_B).alias("dominant"))
 
 
-@query(f"WITH {ROUTES_SQL}, v AS (SELECT *, {_VIOL} FROM routes) SELECT route, CAST(rank() OVER (ORDER BY round(v1 / 8000 + v2 / 8000 + v3 / 120 + v4 / 120 + v5 / 100 + v6 / 15, 9), route) AS INTEGER) AS place FROM v QUALIFY place <= 100")
+@query(f"WITH {ROUTES_SQL}, v AS (SELECT *, {_VIOL} FROM routes), s AS (SELECT *, [round(x, 9) FOR x IN [v1 / 8000, v2 / 8000, v3 / 120, v4 / 120, v5 / 155, v6 / 10]] AS a FROM v), k AS (SELECT route, round(a[1] + a[2] + a[3] + a[4] + a[5] + a[6], 8) AS total, list_max(a) AS most, len([x FOR x IN a IF x > 0]) AS broken, a, L, H, round(P, 9) AS P, round(W, 9) AS W FROM s) SELECT route, total, most, CAST(broken AS INTEGER) AS broken, CAST(row_number() OVER (ORDER BY total, most, broken, a, L, H, -P, W, route) AS INTEGER) AS place FROM k QUALIFY place <= 100")
 def fn_violation_key(spark, sf_dir):
-    total = sum((v / s for v, s in zip(costs.violations(_B), costs.scales(_B), strict=True)), F.lit(0.0))
-    best = routes(spark, sf_dir).select("route", F.round(total, 9).alias("total")).orderBy("total", "route").limit(100)
-    return best.select("route", F.rank().over(Window.orderBy("total", "route")).alias("place"))
+    """The hundred routes that come first by the lexicographic key of their violations."""
+    best = routes(spark, sf_dir).select("route", costs.violation_key(_B, 255.0, 5.0).alias("k")).orderBy("k", "route").limit(100)
+    return best.select("route", "k.total", "k.most", "k.broken", F.row_number().over(Window.orderBy("k", "route")).alias("place"))
 
 
 @query(f"WITH {WALKS_SQL} SELECT walk, [x FOR x IN [CASE WHEN i = 1 OR path[i] <> path[i - 1] THEN path[i] END FOR i IN range(1, len(path) + 1)] IF x IS NOT NULL] AS seq FROM walks")
@@ -325,7 +331,7 @@ def fn_repeated(spark, sf_dir):
     return walks(spark, sf_dir).select("walk", paths.repeated_vertices(F.col("path")).alias("repeats"))
 
 
-@query()
+@query(f"WITH RECURSIVE {WALKS_SQL}, r AS (SELECT walk, path, 1 AS i, CAST([] AS BIGINT[]) AS out_ FROM walks UNION ALL SELECT walk, path, i + 1, CASE WHEN list_position(out_, path[i]) > 0 THEN out_[1:list_position(out_, path[i])] ELSE list_append(out_, path[i]) END FROM r WHERE i <= len(path)) SELECT walk, out_ AS path FROM r WHERE i = len(path) + 1")
 def fn_loop_erase(spark, sf_dir):
     return walks(spark, sf_dir).select("walk", paths.loop_erase("path").alias("path"))
 
@@ -419,7 +425,7 @@ def g_hop_expand(spark, sf_dir):
 
 
 def forest(spark, sf_dir, specs=FEW):
-    return graph.trees(via.priced(lattice.edges(spark, sf_dir), specs, BOX, ("fwd", "bwd")))
+    return via.forest(lattice.edges(spark, sf_dir), specs, BOX)
 
 
 @query(f"{SSSP} SELECT 'fwd' AS dir, node, dist FROM ahead UNION ALL SELECT 'bwd', node, dist FROM back")
@@ -435,7 +441,7 @@ def join_via(spark, sf_dir):
 @query()
 def g_scalar_path(spark, sf_dir):
     """Every spec's route from source to target, with its metrics, feasibility and violation."""
-    tree = graph.trees(via.priced(lattice.edges(spark, sf_dir), SPECS, BOX)).where(F.col("node") == BOX.target)
+    tree = via.forest(lattice.edges(spark, sf_dir), SPECS, BOX, ("fwd",)).where(F.col("node") == BOX.target)
     shaped = tree.select("spec", "dist", F.col("len").alias("length"), "gain", "pop_len", "wid_len", "road_changes").select("*", *costs.route_vector())
     return shaped.select("spec", F.round("dist", 6).alias("cost"), "L", "H", F.round("P", 6).alias("P"), F.round("W", 6).alias("W"), "road_changes", costs.feasible_mul(BOX).alias("feasible"), F.round(costs.violation_score(BOX), 6).alias("score"))
 
@@ -537,6 +543,7 @@ audit.register(query, walks, WALKS_SQL)
 reports.register(query, run_rows, RUNS_SQL, routes, ROUTES_SQL, read)
 portal.register(query, lattice, cells, BOX, graph, network)
 more.register(query, sys.modules[__name__])
+extra.register(query, sys.modules[__name__])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-import itertools
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waywright.functions import costs
-from waywright.operators import graph, network
+from waywright.operators import graph, labels, network
 from waywright.sources import lattice
 from waywright.sources.lattice import SQL
 
@@ -20,54 +16,6 @@ def without_nodes(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
     return edges.join(forbidden.select(F.col("node").alias("u")), "u", "left_anti").join(forbidden.select(F.col("node").alias("v")), "v", "left_anti").select(*edges.columns)
 
 
-LABELS = "query string, path array<bigint>, length double, gain double, pop_len double, wid_len double, expanded long"
-
-
-def label_setting(box: costs.Box, per_node: int = 80, most: int = 250_000):
-    """A search over the edges of a query for its first feasible route: labels are simple paths, taken by length plus the
-    least remaining length, dropped when length or climb must exceed its bound, at most per_node a node and most in all."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list] = {}
-        back: dict[int, list] = {}
-        for e in frame.itertuples():
-            near.setdefault(e.u, []).append((e.v, e.length, e.gain, e.popularity, e.width))
-            back.setdefault(e.v, []).append((e.u, e.length, e.gain))
-
-        def least(part: int) -> dict[int, float]:
-            done, heap = {}, [(0.0, box.target)]
-            while heap:
-                d, x = heapq.heappop(heap)
-                if x not in done:
-                    done[x] = d
-                    for y, *own in back.get(x, ()):
-                        if y not in done:
-                            heapq.heappush(heap, (d + own[part], y))
-            return done
-
-        far, climb = least(0), least(1)
-        counts: dict[int, int] = {}
-        numbers = itertools.count()
-        heap = [(far.get(box.source, float("inf")), next(numbers), 0.0, 0.0, 0.0, 0.0, (box.source,))]
-        expanded = 0
-        while heap and expanded < most:
-            _, _, l, g, p, w, path = heapq.heappop(heap)
-            x = path[-1]
-            if x == box.target and box.Lmin <= l <= box.Lmax and box.Hmin <= g <= box.Hmax and p >= box.Pmin * l and w <= box.Wmax * l:
-                return pd.DataFrame([(box.name, list(path), l, g, p, w, expanded)], columns=[c.split()[0] for c in LABELS.split(", ")])
-            if counts.get(x, 0) >= per_node:
-                continue
-            counts[x] = counts.get(x, 0) + 1
-            expanded += 1
-            for y, dl, dg, pop, wid in near.get(x, ()):
-                if y in path or y not in far or l + dl + far[y] > box.Lmax + 1e-6 or g + dg + climb[y] > box.Hmax + 1e-6:
-                    continue
-                heapq.heappush(heap, (l + dl + far[y], next(numbers), l + dl, g + dg, p + dl * pop, w + dl * wid, (*path, y)))
-        return pd.DataFrame(columns=[c.split()[0] for c in LABELS.split(", ")])
-
-    return run
-
-
 def anchors(nodes: DataFrame) -> DataFrame:
     """(anchor, node): the nodes that lie furthest in eight directions; of equals the least."""
     ways = {"east": F.col("x"), "west": -F.col("x"), "north": F.col("y"), "south": -F.col("y"), "ne": F.col("x") + F.col("y"), "sw": -F.col("x") - F.col("y"), "nw": F.col("y") - F.col("x"), "se": F.col("x") - F.col("y")}
@@ -82,23 +30,27 @@ def register(query, c) -> None:
     def edge_lookup_pair(spark, sf_dir):
         return lattice.edges(spark, sf_dir).groupBy("u", "v").agg(F.count("*").alias("n"), F.min("edge_id").alias("first"))
 
-    @query(f"WITH {SQL} SELECT l_orderkey AS item, u, v FROM lineitem JOIN edges ON edge_id = l_partkey WHERE l_linenumber = 1")
+    @query(f"WITH {SQL} SELECT l_orderkey AS item, l_linenumber AS line, u, v FROM lineitem JOIN edges ON edge_id = l_partkey")
     def edge_endpoint(spark, sf_dir):
         e = lattice.edges(spark, sf_dir).select("edge_id", "u", "v")
-        return c.read(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(e, F.col("l_partkey") == F.col("edge_id")).select(F.col("l_orderkey").alias("item"), "u", "v")
+        return c.read(spark, sf_dir, "lineitem").join(e, F.col("l_partkey") == F.col("edge_id")).select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("line"), "u", "v")
 
-    @query(f"WITH {SQL} SELECT u AS node, count(*) AS out_degree, sum(length) AS length FROM edges GROUP BY 1")
+    @query(f"{c.VORONOI_SQL}, front AS (SELECT u AS node FROM crossing UNION SELECT v FROM crossing) SELECT node, edge_id, e.v AS to_, length, gain FROM front JOIN edges e ON e.u = node")
     def join_neighbors(spark, sf_dir):
-        return lattice.edges(spark, sf_dir).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("out_degree"), F.sum("length").alias("length"))
+        """A frontier, here the boundary nodes of cells, joined with its out-edges."""
+        e = lattice.edges(spark, sf_dir)
+        front = network.boundary_nodes(network.crossings(e, c.cells(spark, sf_dir)))
+        return front.join(e, F.col("node") == F.col("u")).select("node", "edge_id", F.col("v").alias("to_"), "length", "gain")
 
-    @query(f"WITH {SQL} SELECT v AS node, list(edge_id ORDER BY edge_id) AS into FROM edges GROUP BY 1")
+    @query(f"{c._KEPT} SELECT e.v AS node, e.edge_id, e.u AS from_ FROM edges e WHERE e.u IN (SELECT node FROM kept) AND e.v IN (SELECT node FROM kept)")
     def join_reverse_adj(spark, sf_dir):
-        return lattice.edges(spark, sf_dir).groupBy(F.col("v").alias("node")).agg(F.sort_array(F.collect_list("edge_id")).alias("into"))
+        """In-edges of kept nodes that come from kept nodes."""
+        return network.within(lattice.edges(spark, sf_dir), c.flt_kept_nodes(spark, sf_dir)).select(F.col("v").alias("node"), "edge_id", F.col("u").alias("from_"))
 
-    @query(f"WITH {SQL} SELECT u AS node, count(*) AS n, sum(count(*)) OVER (ORDER BY u) - count(*) AS offset_ FROM edges GROUP BY 1")
+    @query(f"WITH {SQL}, n AS (SELECT u, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT u, CAST(sum(n) OVER (ORDER BY u) - n AS BIGINT) AS offset_ FROM n) SELECT edge_id, u, CAST(row_number() OVER (PARTITION BY u ORDER BY v, edge_id) - 1 AS INTEGER) AS position, offset_ FROM edges JOIN o USING (u)")
     def win_csr_id(spark, sf_dir):
-        """Where each node's edges begin: the least edge number, as edges are numbered by source."""
-        return lattice.edges(spark, sf_dir).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("edge_id").cast("decimal(38,0)").alias("offset_"))
+        """Each edge's place among its source's, and where the source's edges begin: counts by source, summed up by blocks."""
+        return network.csr(lattice.edges(spark, sf_dir))
 
     @query(f"{c.VORONOI_SQL} SELECT cell, list(node ORDER BY node) AS nodes FROM cells GROUP BY 1")
     def agg_nodes_by_cell(spark, sf_dir):
@@ -147,10 +99,15 @@ def register(query, c) -> None:
         return c.run_rows(spark, sf_dir).groupBy("method").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "method").limit(3)
 
     @query(f"WITH {c.ROUTES_SQL} SELECT route, L, H FROM routes WHERE L <= 12000 + 1e-6 ORDER BY H DESC, L, route LIMIT 1")
-    def top_nearest_profile(spark, sf_dir):
+    def empirical_Hmax(spark, sf_dir):
         """The route of the most climb among those that are short enough."""
         return c.routes(spark, sf_dir).where("L <= 12000 + 1e-6").select("route", "L", "H").orderBy(F.desc("H"), "L", "route").limit(1)
 
+    @query(f"WITH {c.ROUTES_SQL}, v AS (SELECT *, {c._VIOL} FROM routes) SELECT route, L, H, round(list_max({c._SCALED}), 9) AS violation FROM v ORDER BY violation, L, route LIMIT 1")
+    def top_nearest_profile(spark, sf_dir):
+        """The route that breaks the box least."""
+        return c.routes(spark, sf_dir).select("route", "L", "H", F.round(costs.violation_score(c.ROUTE_BOX), 9).alias("violation")).orderBy("violation", "L", "route").limit(1)
+
     @query(f"WITH {c.ROUTES_SQL}, s AS (SELECT L AS l0, H AS h0, P AS p0, W AS w0 FROM routes ORDER BY route LIMIT 1) SELECT route, round(greatest(abs(L - l0) / greatest(abs(l0), 1), abs(H - h0) / greatest(abs(h0), 1), abs(P - p0) / greatest(abs(p0), 1), abs(W - w0) / greatest(abs(w0), 1)), 6) AS diff FROM routes, s")
     def fn_route_diff(spark, sf_dir):
         own = c.routes(spark, sf_dir)
@@ -158,9 +115,10 @@ def register(query, c) -> None:
         parts = [F.abs(F.col(x) - F.col(f"{x}0")) / F.greatest(F.abs(F.col(f"{x}0")), F.lit(1.0)) for x in "LHPW"]
         return own.crossJoin(F.broadcast(first)).select("route", F.round(F.greatest(*parts), 6).alias("diff"))  # one row
 
-    @query(f"WITH {c.ROUTES_SQL} SELECT route, count(*) FILTER (x <> '') AS n FROM (SELECT route, unnest([CASE WHEN P < 100 THEN 'p' ELSE '' END, CASE WHEN W > 15 THEN 'w' ELSE '' END]) AS x FROM routes) GROUP BY 1")
+    @query(f"WITH {c.ROUTES_SQL} SELECT route, L, H FROM routes WHERE NOT (L > {c.ROUTE_BOX.Lmax} OR H > {c.ROUTE_BOX.Hmax})")
     def flt_upper_bound(spark, sf_dir):
-        return c.routes(spark, sf_dir).select("route", ((F.col("P") < 100).cast("bigint") + (F.col("W") > 15).cast("bigint")).alias("n"))
+        """Partial routes that may still fit: sums over their upper bounds can't fall again; means can, so they don't count."""
+        return c.routes(spark, sf_dir).where(~costs.hopeless(c.ROUTE_BOX)).select("route", "L", "H")
 
     ways = {"east": "x_m", "west": "-x_m", "north": "y_m", "south": "-y_m", "ne": "x_m + y_m", "sw": "-x_m - y_m", "nw": "y_m - x_m", "se": "x_m - y_m"}
     picks = ", ".join(f"arg_max(id, {{'w': {w}, 'i': -id}}) AS {k}" for k, w in ways.items())
@@ -181,13 +139,15 @@ def register(query, c) -> None:
     @query()
     def g_label_setting(spark, sf_dir):
         """A feasible route of the box by bounded label setting, on the edges of its certified corridor."""
-        e = network.certified(lattice.edges(spark, sf_dir), c.g_sssp_fwd(spark, sf_dir), c.g_sssp_rev(spark, sf_dir), 3200.0)
-        return e.select("u", "v", "length", "gain", "popularity", "width", F.lit(c.BOX.name).alias("query")).groupBy("query").applyInPandas(label_setting(c.BOX), LABELS)
+        e = network.certified(lattice.edges(spark, sf_dir), c.g_sssp_fwd(spark, sf_dir), c.g_sssp_rev(spark, sf_dir), c.BOX.Lmax)
+        return labels.search(graph.stored(e), c.BOX)
 
-    @query(f"{c.SSSP} SELECT count(*) AS reached, sum(CASE WHEN a.dist + b.dist <= 6000 THEN 1 ELSE 0 END) AS short_enough FROM ahead a JOIN back b USING (node)")
+    @query(f"{c.SSSP} SELECT l_orderkey AS label, l_linenumber AS line, l_partkey AS node, l_quantity * 100 + b.dist AS least FROM lineitem JOIN back b ON b.node = l_partkey WHERE l_quantity * 100 + b.dist <= 6000 + 1e-6")
     def flt_completion_lb(spark, sf_dir):
-        both = c.g_sssp_fwd(spark, sf_dir).join(c.g_sssp_rev(spark, sf_dir).withColumnRenamed("dist", "rest"), "node")
-        return both.agg(F.count("*").alias("reached"), F.sum((F.col("dist") + F.col("rest") <= 6000).cast("int")).cast("decimal(38,0)").alias("short_enough"))
+        """Labels, here an order's lines at the node of their part, that can reach the target in time; of nodes without a way
+        to it none can."""
+        labels = c.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("label"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("node"), (F.col("l_quantity") * 100).alias("length"))
+        return network.completable(labels, c.g_sssp_rev(spark, sf_dir), c.BOX.Lmax).select("label", "line", "node", "least")
 
     @query(f"WITH {SQL} SELECT a.edge_id AS first, b.edge_id AS second, CAST(CASE WHEN a.road_id <> b.road_id THEN 1 ELSE 0 END AS INTEGER) AS seam FROM edges a JOIN edges b ON a.v = b.u WHERE a.u <> b.v")
     def fn_join_road_changes(spark, sf_dir):

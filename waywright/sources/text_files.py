@@ -94,3 +94,43 @@ def parse_xy(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = before.select("block", (F.sum("own").over(Window.orderBy("block")) - F.col("own")).alias("before"))
     ranked = e.withColumn("block", block).withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("u", "line")))
     return nodes, ranked.join(before, "block").select((F.col("before") + F.col("rank") - 1).alias("edge_id"), "u", "v", "length", "gain", "popularity", "width", "road_id")
+
+
+def graphml_lines(*elements: DataFrame) -> DataFrame:
+    """The lines of one GraphML file: elements (value) between its head and its end, in one partition as the format asks for."""
+    spark = elements[0].sparkSession
+    line = lambda k, text: spark.range(1).select(F.lit(k).alias("_k"), F.lit(text).alias("value"))
+    out = line(-1, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">')
+    for k, own in enumerate(elements):
+        out = out.union(own.select(F.lit(k).alias("_k"), "value"))
+    return out.union(line(len(elements), "</graph></graphml>")).coalesce(1).sortWithinPartitions("_k").select("value")
+
+
+def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, data) of the nodes and (source, target, data) of the edges of GraphML files; data maps an attribute's name, which
+    the file's keys give, to its text. Files are split at elements; keys are as many as attributes."""
+    data = "data array<struct<_key string, _VALUE string>>"
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    keys = read("key", "_id string, `_attr.name` string").where("_id is not null").distinct().collect()
+    names = F.create_map(*[F.lit(x) for k in keys for x in (k["_id"], k["_attr.name"])]) if keys else F.create_map().cast("map<string,string>")
+    own = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.struct(F.coalesce(names[d["_key"]], d["_key"]), d["_VALUE"]))).alias("data")
+    nodes = read("node", f"_id string, {data}").where("_id is not null").select(F.col("_id").alias("id"), own)
+    edges = read("edge", f"_source string, _target string, {data}").where("_source is not null").select(F.col("_source").alias("source"), F.col("_target").alias("target"), own)
+    return nodes, edges
+
+
+def parse_items(raw: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """(item, category, bounds of the box) of JSON texts in column value."""
+    own = raw.select(F.from_json("value", f"item string, category string, query struct<{', '.join(f.replace(' ', ':') for f in BOX.split(', '))}>").alias("i")).select("i.item", "i.category", "i.query.*")
+    return own.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in own.columns])
+
+
+def parse_walks(raw: DataFrame) -> DataFrame:
+    """(walk, nodes, edge_ids) of JSON texts in column value."""
+    return raw.select(F.from_json("value", "walk long, nodes array<long>, edge_ids array<long>").alias("w")).select("w.*")
+
+
+def parse_ids(raw: DataFrame) -> DataFrame:
+    """(line, old_id, xy_id): a node's id, tagged `old` or untagged."""
+    old = F.get("p", F.lit(0)) == "old"
+    return parts(raw).select("line", F.when(old, field(1, "long")).alias("old_id"), F.when(~old, field(0, "long")).alias("xy_id"))
