@@ -36,7 +36,7 @@ FAN = 2048
 PIECE = 1 << 30  # bytes of sequences that a task of the first of two steps passes on
 ROUNDS = 6
 PARTS = 100_000
-HELD = 1 << 26  # bytes of sequences that a task holds before it makes blocks of them
+HELD = 1 << 25  # bytes of sequences that a task holds before it makes blocks of them
 
 
 def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -128,6 +128,12 @@ def _tokens(path, length):
 BLOCKS = "shard int, slots binary, doc_ids {0}, pieces binary, doc_offsets array<bigint>, filled array<int>, payload binary"
 
 
+def fixed(column: pa.Array, stride: int) -> np.ndarray:
+    """The bytes of a column of binary values that all have stride bytes, a row each, without a copy."""
+    offsets, values = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1], column.buffers()[2]
+    return np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, stride) if len(column) else np.zeros((0, stride), np.uint8)
+
+
 def _blocks(stride, n, key, rows):
     """Batches of (number, ids, starts, offset, ids before padding, bytes) to one compressed block for each shard met."""
 
@@ -138,7 +144,8 @@ def _blocks(stride, n, key, rows):
         held, size = [], 0
 
         def flush():
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = pa.Table.from_batches([b.select(range(5)) for b in held]).combine_chunks()
+            data = np.concatenate([fixed(b.column(5), stride) for b in held])
             slots = feistel(table.column(0).to_numpy(), n, key)
             order = np.lexsort((slots, slots // rows))
             table = table.take(pa.array(order))
@@ -150,8 +157,8 @@ def _blocks(stride, n, key, rows):
             owners = pa.ListArray.from_arrays(pa.array(at[cuts]), ids.flatten())
             pieces = pa.array([pack(np.diff(at[a : b + 1]).tobytes() + starts[at[a] : at[b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)])
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table.column(c).combine_chunks()) for c in (3, 4)]
-            data = table.column(5).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]), owners, pieces, *lists, pa.array([pack(b"".join(data[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])], names=["shard", "slots", "doc_ids", "pieces", "doc_offsets", "filled", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]), owners, pieces, *lists, pa.array([pack(data[order[a:b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)])], names=["shard", "slots", "doc_ids", "pieces", "doc_offsets", "filled", "payload"])
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             held.append(batch)
