@@ -199,3 +199,31 @@ def test_label_setting_finds_a_feasible_simple_path(spark):
             assert nodes == got["path"] and len(set(nodes)) == len(nodes)
             assert any(abs(got["length"] - r[0]) < 1e-9 and abs(got["pop_len"] - r[2]) < 1e-9 for r in fits)
     assert labels.search(e, costs.Box("b", 0, 5, 0.0, 30.0, 0.0, 40.0, 0.0, 30.0), most=0).first()["status"] == "budget_reached"
+
+
+def test_adaptive_specs_follow_what_is_broken_most(spark):
+    one = via.adaptive_spec(BOX, "H_low", 0)
+    assert (one.name, one.family, one.params["L"], one.params["H"]) == ("adaptive_high_elevation_r1", "high_elevation", 0.125, 6.0)
+    assert via.adaptive_spec(BOX, "W_high", 9).params["w"] == 256.0 and via.adaptive_spec(BOX, None, 0) is None
+    assert [via.adaptive_spec(BOX, "L_low", k).family for k in (0, 1)] == ["slope_inverse", "slope_exp"]
+    e = lattice.edges(spark, SF)
+    easy = costs.Box("easy", 0, 150, 0.0, 1e6, 0.0, 1e6, 0.0, 99.0)
+    assert via.adaptive(e, costs.portfolio(easy)[:2], easy, 3).count() == 2
+    hard = costs.Box("hard", 0, 150, 0.0, 1e6, 0.0, 1e6, 254.0, 99.0)
+    rows = via.adaptive(e, costs.portfolio(hard)[:2], hard, 3).collect()
+    assert [r["spec"] for r in rows][2:] == ["adaptive_popularity_r1", "adaptive_popularity_r2", "adaptive_popularity_r3"]
+
+
+def test_repair_keeps_one_half_and_avoids_its_nodes(spark):
+    links = [(0, 1), (1, 2), (2, 3), (3, 1), (1, 4), (3, 5), (5, 4), (0, 6), (6, 3), (2, 7), (7, 2)]
+    e = spark.createDataFrame([(k, u, v, 1.0, 0.0, 1.0, 1.0, None) for k, (u, v) in enumerate(links)], "edge_id long, u long, v long, length double, gain double, popularity double, width double, road_id long")
+    specs = [costs.Spec("shortest_length", "physical_length")]
+    routes = spark.createDataFrame([("q", "shortest_length", 3, [0, 1, 2], [3, 4]), ("q", "shortest_length", 7, [0, 1, 9], [10, 2, 3, 4])], "query string, spec string, via long, f_edges array<long>, b_edges array<long>")
+    got = {(r["via"], r["side"]): r["edges"] for r in via.repaired(routes, e, specs).collect()}
+    assert got == {(3, "A"): [0, 1, 2, 5, 6], (3, "B"): [7, 8, 3, 4]}
+
+
+def test_repaired_routes_are_elementary(spark):
+    rows = catalog.QUERIES["g_repair"](spark, SF).collect()
+    assert rows and all(r["connected"] and r["elementary"] for r in rows)
+    assert all(r["wrong_length"] == r["wrong_gain"] == r["missing"] == 0 for r in catalog.QUERIES["val_bwd_samples"](spark, SF).collect())

@@ -73,6 +73,29 @@ class Network:
                     push(heap, (fresh, y))
         return np.array(dist), out
 
+    def path(self, cost: np.ndarray, root: int, goal: int, barred: set[int]) -> list[int] | None:
+        """Edge ids of a least way from root to goal that meets no barred node; None without one or if an end is barred."""
+        first, last = self.at(root), self.at(goal)
+        if first is None or last is None or root in barred or goal in barred:
+            return None
+        known = [i for b in barred if (i := self.at(b)) is not None]
+        shut = np.zeros(len(self.names), bool)
+        shut[known] = True
+        price = np.where(shut[self.ends[0]] | shut[self.ends[1]], np.inf, cost)
+        dist, order = self.search(price, [first], 0)
+        if not np.isfinite(dist[last]):
+            return None
+        offsets, into = self.csr[1]
+        way, at, place = [], last, {x: k for k, x in enumerate(order)}
+        while at != first:
+            own = into[offsets[at] : offsets[at + 1]]
+            tails = self.ends[0][own]
+            with np.errstate(invalid="ignore"):
+                tight = [(int(t), int(e)) for t, e in zip(tails, own, strict=True) if np.isfinite(price[e]) and t in place and place[t] < place[at] and abs(dist[t] + price[e] - dist[at]) <= EPS]
+            at, e = min(tight, key=lambda x: (self.names[x[0]], self.ids[x[1]]))
+            way.append(int(self.ids[e]))
+        return way[::-1]
+
     def tree(self, cost: np.ndarray, root: int, side: int) -> pd.DataFrame:
         """The tree from root, or to it: parents over tight edges, by fewest road changes, then road, parent and edge."""
         first = self.at(root)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waywright.functions import costs
 from waywright.functions.costs import Box, Spec
 from waywright.operators import graph, network
+from waywright.storage import stored
 
 
 def constants(edges: DataFrame) -> tuple[float, float]:
@@ -61,12 +63,87 @@ def best(profiles: DataFrame, box: Box, k: int = 5) -> DataFrame:
     return shaped.withColumn("score", costs.box_center(box)).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
+def adaptive_spec(box: Box, dominant: str | None, turn: int) -> Spec | None:
+    """The spec that a portfolio without a feasible route tries next, for what its best record breaks most; each turn it is
+    twice as strong, up to 64. Fixed values: families and parameters."""
+    k, R = float(2 ** min(turn + 1, 6)), {"Wref": box.Wmax, "Pref": box.Pmin}
+    bent = "slope_inverse" if turn % 2 == 0 else "slope_exp"
+    rows = {
+        "H_low": ("high_elevation", "high_elevation", {"L": max(0.03, 0.25 / k), "H": 3 * k, "w": 3, "p": 2}),
+        "H_high": ("low_elevation", "low_elevation", {"L": 1, "h": 2 * k, "w": 2, "p": 2}),
+        "W_high": ("width", "hinge", {"L": 1, "w": 4 * k, "p": 3}),
+        "P_low": ("popularity", "hinge", {"L": 1, "w": 3, "p": 4 * k}),
+        "L_high": ("length_high", "hinge", {"L": 1 + k, "w": 3, "p": 2}),
+        "L_low": ("length_low_quality_detour", bent, {"beta": 6 * k, "w": 3, "p": 3}),
+    }
+    if dominant not in rows:
+        return None
+    name, family, params = rows[dominant]
+    return Spec(f"adaptive_{name}_r{turn + 1}", family, {**params, **R})
+
+
+def records(edges: DataFrame, specs: list[Spec], box: Box) -> DataFrame:
+    """Each spec's direct route: (spec, L, H, P, W, road_changes, feasible, violation, dominant); no row if there is none."""
+    at = forest(edges, specs, box, ("fwd",)).where(F.col("node") == box.target).select("spec", F.col("len").alias("length"), "gain", "pop_len", "wid_len", "road_changes")
+    shaped = at.select("*", *costs.route_vector())
+    return shaped.select("spec", "L", "H", "P", "W", "road_changes", costs.feasible_mul(box).alias("feasible"), costs.violation_score(box).alias("violation"), costs.dominant_violation(box).alias("dominant"))
+
+
+def adaptive(edges: DataFrame, specs: list[Spec], box: Box, turns: int) -> DataFrame:
+    """records of the specs and, as long as none is feasible, of up to turns further specs, each made for the best record so
+    far by violation, length, climb and name. A record a spec comes to the driver."""
+    own = stored(records(edges, specs, box))
+    for turn in range(turns):
+        rows = own.collect()
+        if not rows or any(r["feasible"] for r in rows):
+            break
+        near = min(rows, key=lambda r: (r["violation"], r["L"], r["H"], r["spec"]))
+        spec = adaptive_spec(box, near["dominant"], turn)
+        if spec is None:
+            break
+        own = stored(own.union(records(edges, [spec], box)))
+    return own
+
+
+REPAIRED = "query string, spec string, via long, side string, edges array<long>"
+
+
+def repaired(routes: DataFrame, edges: DataFrame, specs: list[Spec]) -> DataFrame:
+    """REPAIRED of routes (query, spec, via, f_edges, b_edges) whose halves meet again: side A keeps the half before via and
+    goes on to the end without its nodes, side B the other way round. No row where there is no such way."""
+    if not graph.fits(edges):
+        raise ValueError(f"repair takes at most {graph.KERNEL_EDGES} edges; restrict them to a corridor")
+    known, (rho, pstar) = {s.name: s for s in specs}, constants(edges)
+    shared = edges.sparkSession.sparkContext.broadcast(graph.Network(edges))
+
+    def run(frames):
+        net = shared.value
+        where = {int(e): k for k, e in enumerate(net.ids)}
+        price = {}
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                if r.spec not in price:
+                    price[r.spec] = costs.price(known[r.spec], net.metrics, rho, pstar)
+                node = lambda e, side: int(net.names[net.ends[side][where[int(e)]]])
+                source, target = node(r.f_edges[0], 0), node(r.b_edges[-1], 1)
+                before, after = {source, *(node(e, 1) for e in r.f_edges)}, {target, *(node(e, 0) for e in r.b_edges)}
+                for side, a, b, barred in (("A", r.via, target, before - {r.via}), ("B", source, r.via, after - {r.via})):
+                    way = net.path(price[r.spec], int(a), int(b), barred)
+                    if way is not None:
+                        out.append((r.query, r.spec, r.via, side, [*map(int, r.f_edges), *way] if side == "A" else [*way, *map(int, r.b_edges)]))
+            yield pd.DataFrame(out, columns=["query", "spec", "via", "side", "edges"])
+
+    own = routes.where((F.size("f_edges") > 0) & (F.size("b_edges") > 0)).select("query", "spec", "via", "f_edges", "b_edges")
+    return own.mapInPandas(run, REPAIRED)
+
+
 def reconstruct(forest: DataFrame, profiles: DataFrame) -> DataFrame:
-    """profiles with edges: the ids of the whole route through via."""
+    """profiles with edges, the ids of the whole route through via, and f_edges and b_edges, its halves."""
     f = graph.paths(forest, profiles.select("query", "spec", F.lit("fwd").alias("dir"), F.col("via").alias("node")).distinct())
     b = graph.paths(forest, profiles.select("query", "spec", F.lit("bwd").alias("dir"), F.col("via").alias("node")).distinct())
     f, b = f.select("query", "spec", F.col("node").alias("via"), F.col("edges").alias("_f")), b.select("query", "spec", F.col("node").alias("via"), F.col("edges").alias("_b"))
-    return profiles.join(f, ["query", "spec", "via"]).join(b, ["query", "spec", "via"]).withColumn("edges", F.concat("_f", "_b")).drop("_f", "_b")
+    return profiles.join(f, ["query", "spec", "via"]).join(b, ["query", "spec", "via"]).withColumn("edges", F.concat("_f", "_b")).withColumnsRenamed({"_f": "f_edges", "_b": "b_edges"})
 
 
 def validated(routes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waywright.functions import costs, geo, paths
 from waywright.functions.costs import Box
 from waywright.operators import audit, graph, network, portal, reports, via
-from waywright.plans import extra, more
+from waywright.plans import extra, more, records
 from waywright.sources import lattice, text_files
 from waywright.sources.lattice import SQL
 
@@ -544,6 +544,7 @@ reports.register(query, run_rows, RUNS_SQL, routes, ROUTES_SQL, read)
 portal.register(query, lattice, cells, BOX, graph, network)
 more.register(query, sys.modules[__name__])
 extra.register(query, sys.modules[__name__])
+records.register(query, sys.modules[__name__])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
