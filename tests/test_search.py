@@ -211,7 +211,7 @@ def test_adaptive_specs_follow_what_is_broken_most(spark):
     assert via.adaptive(e, costs.portfolio(easy)[:2], easy, 3).count() == 2
     hard = costs.Box("hard", 0, 150, 0.0, 1e6, 0.0, 1e6, 254.0, 99.0)
     rows = via.adaptive(e, costs.portfolio(hard)[:2], hard, 3).collect()
-    assert [r["spec"] for r in rows][2:] == ["adaptive_popularity_r1", "adaptive_popularity_r2", "adaptive_popularity_r3"]
+    assert sorted(r["spec"] for r in rows)[:3] == ["adaptive_popularity_r1", "adaptive_popularity_r2", "adaptive_popularity_r3"] and len(rows) == 5
 
 
 def test_repair_keeps_one_half_and_avoids_its_nodes(spark):
