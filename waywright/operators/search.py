@@ -323,3 +323,28 @@ def bridges(pairs: DataFrame, crossing_edges: DataFrame, inside: DataFrame, port
     whole = l.join(before, "u").join(after, "v").select("src", "dst", "from_cell", "to_cell", (F.col("_l0") + F.col("length") + F.col("_l1")).alias("length"), (F.col("_g0") + F.col("gain") + F.col("_g1")).alias("gain"), F.concat("_e0", F.array("edge_id"), "_e1").alias("edges"))
     rank = Window.partitionBy("from_cell", "to_cell").orderBy("length", "gain", "src", "dst", "edges")
     return whole.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= most).drop("_r")
+
+
+def directional_repairs(crossing_edges: DataFrame, inside: DataFrame, portals: DataFrame, over: DataFrame, most: int, scan: int, ahead: bool) -> DataFrame:
+    """(cell, src, dst, length, gain, edges): up to most further overlay edges a cell, for pairs of neighbours that no overlay
+    edge leads between: from a portal to a crossing and over it if ahead, else over a crossing and on to a portal."""
+    known = over.where("kind = 'inter'").select("from_cell", "to_cell").distinct()
+    open_ = stored(crossing_edges.join(known, ["from_cell", "to_cell"], "left_anti").select("edge_id", "u", "v", "from_cell", "to_cell", "length", "gain"))
+    home, near = ("from_cell", "u") if ahead else ("to_cell", "v")
+    goals = portals.select("cell", "node").union(open_.select(F.col(home).alias("cell"), F.col(near).alias("node"))).distinct()
+    own = portals.select("node").distinct()
+    ways = shortcuts(inside, goals, scan).select("cell", "src", "dst", "length", "gain", "edges").union(goals.select("cell", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("length"), F.lit(0.0).alias("gain"), F.array().cast("array<bigint>").alias("edges")))
+    end, meet = ("src", "dst") if ahead else ("dst", "src")
+    ways = ways.join(own.withColumnRenamed("node", end), end, "left_semi").select("cell", F.col(end).alias("_portal"), F.col(meet).alias(near), F.col("length").alias("_l"), F.col("gain").alias("_g"), F.col("edges").alias("_e"))
+    whole = open_.join(ways, near)
+    path = F.concat("_e", F.array("edge_id")) if ahead else F.concat(F.array("edge_id"), "_e")
+    src, dst = (F.col("_portal"), F.col("v")) if ahead else (F.col("u"), F.col("_portal"))
+    made = whole.select("cell", src.alias("src"), dst.alias("dst"), (F.col("length") + F.col("_l")).alias("length"), (F.col("gain") + F.col("_g")).alias("gain"), path.alias("edges"))
+    rank = Window.partitionBy("cell").orderBy("length", "gain", "src", "dst", "edges")
+    return made.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= most).drop("_r")
+
+
+def dead_repairs(crossing_edges: DataFrame, portals: DataFrame, over: DataFrame) -> DataFrame:
+    """(edge_id, src, dst): raw crossings into portals that no overlay edge leads to, so that backward labels can leave them."""
+    dead = portals.select(F.col("node").alias("dst")).distinct().join(over.select("dst"), "dst", "left_anti")
+    return crossing_edges.select("edge_id", F.col("u").alias("src"), F.col("v").alias("dst")).join(dead, "dst", "left_semi").select("edge_id", "src", "dst")

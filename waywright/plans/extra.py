@@ -355,6 +355,42 @@ def register(query, c) -> None:
         pairs = crossing(spark, sf_dir).select("from_cell", "to_cell").distinct()
         return search.bridges(pairs, crossing_edges(spark, sf_dir), search.in_cells(edges(spark, sf_dir), own_cells(spark, sf_dir)), portals(spark, sf_dir), 2, 256)
 
+    @query()
+    def ps_fwd_repair(spark, sf_dir):
+        """Further edges from portals over crossings between cells that no overlay edge leads between."""
+        return search.directional_repairs(crossing_edges(spark, sf_dir), search.in_cells(edges(spark, sf_dir), own_cells(spark, sf_dir)), portals(spark, sf_dir), over(spark, sf_dir), 2, 256, True)
+
+    @query()
+    def ps_bwd_repair(spark, sf_dir):
+        return search.directional_repairs(crossing_edges(spark, sf_dir), search.in_cells(edges(spark, sf_dir), own_cells(spark, sf_dir)), portals(spark, sf_dir), over(spark, sf_dir), 2, 256, False)
+
+    @query(f"{IN}, o AS (SELECT c.u, c.v FROM crossing c WHERE c.u IN (SELECT node FROM portal) AND c.v IN (SELECT node FROM portal)) SELECT edge_id, u AS src, v AS dst FROM crossing WHERE v IN (SELECT node FROM portal) AND v NOT IN (SELECT v FROM o)")
+    def ps_dead_repair(spark, sf_dir):
+        """Raw crossings into portals that no crossing of the overlay leads to."""
+        none = local(spark, sf_dir).where("false")
+        return search.dead_repairs(crossing_edges(spark, sf_dir), portals(spark, sf_dir), search.overlay(crossing_edges(spark, sf_dir), portals(spark, sf_dir), none, 2))
+
+    @query()
+    def join_bridge(spark, sf_dir):
+        """The shortest way over a crossing for each pair of neighbouring cells."""
+        pairs = crossing(spark, sf_dir).select("from_cell", "to_cell").distinct()
+        return search.bridges(pairs, crossing_edges(spark, sf_dir), search.in_cells(edges(spark, sf_dir), own_cells(spark, sf_dir)), portals(spark, sf_dir), 1, 256).select("from_cell", "to_cell", "src", "dst", "length", "gain")
+
+    @query()
+    def ps_representatives(spark, sf_dir):
+        """The labels that the portals of the finished search hold, by wins."""
+        from waywright.operators import portal
+
+        return portal.representatives(grown(spark, sf_dir).where("not leak"), 4).select("dir", "portal", "label", "wins", "place", "length", "gain")
+
+    @query()
+    def ps_archive(spark, sf_dir):
+        """How the archive's routes are alike: shared nodes of every two of them; an archive holds a few."""
+        own = ps_main(spark, sf_dir).select("route", F.explode("edges").alias("edge_id")).join(edges(spark, sf_dir).select("edge_id", F.col("v").alias("node")), "edge_id").groupBy("route").agg(F.collect_set("node").alias("nodes"))
+        own = stored(own)
+        other = own.select(F.col("route").alias("other"), F.col("nodes").alias("_n"))
+        return own.join(other, F.col("route") < F.col("other")).select("route", "other", F.round(paths.jaccard(F.col("nodes"), F.col("_n")), 6).alias("alike"))
+
     @query(f"{IN}, d AS (SELECT p.node, count(c.edge_id) AS n FROM portal p LEFT JOIN crossing c ON c.u = p.node GROUP BY 1) SELECT n AS exits, count(*) AS portals FROM d GROUP BY 1")
     def ps_resume(spark, sf_dir):
         """Portals by the number of their exits; those with one at most are where a search inside the cell would go on."""

@@ -83,6 +83,60 @@ def register(query, c) -> None:
         k = own.groupBy("v").agg(F.count("*").alias("parents"), F.count_distinct("gain").alias("kinds"))
         return k.groupBy("parents").agg(F.count("*").alias("nodes"), F.count_if(F.col("kinds") > 1).alias("distinct_resources"))
 
+    @query(f"WITH {c.POINTS_SQL} SELECT p.id, round({c._HAV}, 3) AS m FROM points p, points t WHERE t.id = 17")
+    def fn_haversine_m(spark, sf_dir):
+        return c.fn_haversine(spark, sf_dir).select("id", "m")
+
+    @query(f"WITH {c.POINTS_SQL} SELECT p.id, CAST(floor(10 * {c._HAV} + 1e-7) AS BIGINT) AS dm FROM points p, points t WHERE t.id = 17")
+    def fn_haversine_dm(spark, sf_dir):
+        return c.fn_haversine(spark, sf_dir).select("id", "dm")
+
+    @query(f"WITH {c.POINTS_SQL}, pairs AS (SELECT u AS a, v AS b FROM edges) SELECT a, b, CAST(floor(10 * ({c._HAV}) + 1e-7) AS BIGINT) AS dm FROM pairs JOIN points p ON p.id = a JOIN points t ON t.id = b")
+    def fn_h_target(spark, sf_dir):
+        """Distances of pairs of nodes in whole decimetres: a lower bound of what is left."""
+        from waywright.functions import geo
+
+        p = c.points(spark, sf_dir).select("id", "x_udeg", "y_udeg")
+        pairs = edges(spark, sf_dir).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        both = pairs.join(p.toDF("a", "ax", "ay"), "a").join(p.toDF("b", "bx", "by"), "b")
+        return both.select("a", "b", F.floor(10 * geo.haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) + 1e-7).alias("dm"))
+
+    @query(f"WITH {c.POINTS_SQL} SELECT p.id, CAST(floor(sqrt(CAST((p.x_m - t.x_m) * (p.x_m - t.x_m) + (p.y_m - t.y_m) * (p.y_m - t.y_m) AS DOUBLE))) AS BIGINT) AS whole FROM points p, points t WHERE t.id = 17")
+    def fn_euclid_int(spark, sf_dir):
+        return c.fn_euclid(spark, sf_dir).select("id", "whole")
+
+    @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_brand WHEN p_size % 4 = 1 THEN p_name ELSE '' END AS tag FROM part")
+    def fn_norm_tag(spark, sf_dir):
+        """The first of a list of tags, trimmed; empty for none."""
+        from waywright.functions import paths
+
+        tag = F.when(F.col("p_size") % 4 == 0, F.array(F.concat(F.lit(" "), "p_brand"), F.lit("x"))).when(F.col("p_size") % 4 == 1, F.array(F.concat("p_name", F.lit(" "))))
+        return c.read(spark, sf_dir, "part").select("p_partkey", paths.norm_tag(tag).alias("tag"))
+
+    @query(f"WITH {c.ROUTES_SQL}, v AS (SELECT route, {c._VIOL} FROM routes), s AS (SELECT route, {c._SCALED} AS a FROM v) SELECT route, CASE WHEN list_max(a) > 0 THEN {list(costs.KINDS)}[list_position(a, list_max(a))] END AS dominant FROM s")
+    def fn_dominant_violation(spark, sf_dir):
+        return c.routes(spark, sf_dir).select("route", costs.dominant_violation(c.ROUTE_BOX).alias("dominant"))
+
+    @query("WITH s AS (SELECT l_orderkey AS route, l_quantity * 100 AS length, l_suppkey % 4 AS road, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_partkey FROM lineitem), f AS (SELECT *, CASE WHEN lag(road) OVER (PARTITION BY route ORDER BY pos) <> road THEN 1 ELSE 0 END AS turn FROM s) SELECT route, sum(length) AS length, sum(length * (l_partkey % 256)) AS pop_len, CAST(sum(turn) AS BIGINT) AS changes, count(*) AS edges FROM f GROUP BY 1")
+    def agg_path_metrics(spark, sf_dir):
+        """Sums over a route's edges in order, and its changes of road."""
+        li = c.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), (F.col("l_quantity") * 100).alias("length"), (F.col("l_suppkey") % 4).alias("road"), "l_linenumber", "l_partkey", "l_suppkey")
+        own = Window.partitionBy("route").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        turned = li.withColumn("turn", F.coalesce((F.lag("road").over(own) != F.col("road")).cast("int"), F.lit(0)))
+        return turned.groupBy("route").agg(F.sum("length").alias("length"), F.sum(F.col("length") * (F.col("l_partkey") % 256)).alias("pop_len"), F.sum("turn").alias("changes"), F.count("*").alias("edges"))
+
+    @query(c.ORACLE_SQL["fn_loop_erase"])
+    def g_loop_erase(spark, sf_dir):
+        return c.fn_loop_erase(spark, sf_dir)
+
+    @query("SELECT dir, node, CAST(dist AS DOUBLE) AS dist FROM (VALUES ('fwd', 0, 0), ('fwd', 1, 1), ('fwd', 2, 3), ('bwd', 2, 0), ('bwd', 1, 2), ('bwd', 0, 3)) t(dir, node, dist)")
+    def val_tiny_direction(spark, sf_dir):
+        """Three nodes in a ring: distances ahead from the first, and to the last."""
+        rows = F.array(*[F.struct(F.lit(k).cast("long").alias("edge_id"), F.lit(u).alias("u"), F.lit(v).alias("v"), F.lit(float(l)).alias("length")) for k, (u, v, l) in enumerate([(0, 1, 1), (1, 2, 2), (2, 0, 10)])])
+        e = stored(spark.range(1).select(F.inline(rows)))
+        at = lambda x: spark.range(1).select(F.lit(x).cast("long").alias("node"))
+        return graph.distances(e, at(0)).select(F.lit("fwd").alias("dir"), F.col("node").cast("int").alias("node"), "dist").union(graph.distances(e, at(2), reverse=True).select(F.lit("bwd"), F.col("node").cast("int"), "dist"))
+
     # ---- seeds
 
     def spots(spark, sf_dir):
