@@ -289,7 +289,8 @@ def decode(tokens: DataFrame, *, ids: str = "token_ids", path: str | None = None
 def digest(docs: DataFrame, *, text: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256 (of the decoded text).
 
-    Null texts count as empty; input columns with these names give way.
+    Null texts count as empty; texts are read whole, however long; repeated rows get equal results; input columns with these
+    names give way.
     """
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     return append_columns(docs, text, fields, _digest, send_file(docs.sparkSession, path or tokenizer_file("byte_bpe_50k.json")), keep_text=keep_text)

@@ -122,6 +122,7 @@ def thresholds(measured: DataFrame, *, lang: str = "lang", source: str = "source
     joined = first.join(second, F.col(lang).eqNullSafe(F.col("_lang")) & (F.col("stat") == F.col("_stat"))).join(third, F.col("stat") == F.col("_stat3"))
     chosen = F.when(F.col("rows") >= least_rows, F.struct("rows", "mid", "tail")).when(F.col("_by_lang.rows") >= least_rows, F.col("_by_lang")).otherwise(F.col("_overall"))
     limit = joined.select(lang, source, "stat", chosen.alias("q")).withColumn("limit", F.greatest(F.col("q.tail") + fence * (F.col("q.tail") - F.col("q.mid")), F.lit(tie)))
+    limit = limit.withColumn("limit", F.round("limit", 9))  # the last digits of powers differ between platforms
     return limit.groupBy(lang, source).agg(*[F.max(F.when(F.col("stat") == s, F.col("limit"))).alias(f"max_{s}") for s in stats])
 
 

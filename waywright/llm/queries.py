@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -100,6 +101,29 @@ k AS (SELECT doc_id, template, pos, len(list_intersect(list_distinct(h[pos + 1:p
 SELECT doc_id, template, max(share) AS containment, arg_min(pos, {{'s': -share, 'a': pos}}) AS first_word FROM k WHERE share >= {licenses.LEAST} GROUP BY 1, 2"""
 
 
+def _quality_sql() -> str:
+    """Statistics by regular expressions and windows; sketches as counts by bucket, quantiles from their running counts."""
+    space, gamma = r"[\x20\x09-\x0D]", (1 + quality_rules.ERROR) / (1 - quality_rules.ERROR)
+    stats = {"symbol_ratio": ("n_symbols", "word_chars"), "repeat_ratio": ("n_repeat_words", "n_words"), "dup_line_ratio": ("n_dup_lines", "lines"), "upper_ratio": ("upper", "word_chars"), "bang_ratio": ("bangs", "word_chars")}
+    count = lambda chars: f"length(t) - length(regexp_replace(t, '{chars}', '', 'g'))"
+    value = lambda n: f"CASE WHEN {n} < 0 THEN 0.0 ELSE pow({gamma!r}, {n} - 4000) * (2 / ({gamma!r} + 1)) END"
+    each = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS stat, {q} AS share, {s} AS x FROM m WHERE NOT base_failed" for s, q in quality_rules.TAIL.items())
+    level = lambda keys, name: f"{name}r AS (SELECT {keys} stat, share, b, sum(n) OVER (PARTITION BY {keys} stat) AS rows_, sum(n) OVER (PARTITION BY {keys} stat ORDER BY b) AS upto FROM (SELECT {keys} stat, share, b, sum(n) AS n FROM k GROUP BY {keys} stat, share, b)), {name} AS (SELECT {keys} stat, rows_, {value('min(b) FILTER (upto >= ceil(0.5 * rows_))')} AS mid, {value('min(b) FILTER (upto >= ceil(share * rows_))')} AS tail FROM {name}r GROUP BY {keys} stat, rows_)"
+    return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, [x FOR x IN regexp_split_to_array(t, '{space}+') IF x <> ''] AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^ 	-]')] AS ls FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest([ws[j:j + 2] FOR j IN range(1, len(ws) - 1)]) AS win FROM w),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
+s AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls) AS lines, {count('[A-Z]')} AS upper, {count('!')} AS bangs FROM w LEFT JOIN c USING (doc_id)),
+m AS (SELECT *, {', '.join(f'CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END AS {k}' for k, (a, b) in stats.items())}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+k AS (SELECT lang, source, stat, share, CASE WHEN x > 0 THEN greatest(CAST(ceil(ln(x) / {math.log(gamma)!r}) AS BIGINT) + 4000, 0) ELSE -1 END AS b, count(*) AS n FROM ({each}) GROUP BY ALL),
+{level('lang, source,', 'own')}, {level('lang,', 'mid_')}, {level('', 'all_')},
+q AS (SELECT o.lang, o.source, o.stat, CASE WHEN o.rows_ >= {quality_rules.LEAST_ROWS} THEN [o.mid, o.tail] WHEN l.rows_ >= {quality_rules.LEAST_ROWS} THEN [l.mid, l.tail] ELSE [a.mid, a.tail] END AS x FROM own o JOIN mid_ l ON l.lang IS NOT DISTINCT FROM o.lang AND l.stat = o.stat JOIN all_ a ON a.stat = o.stat),
+z AS (SELECT lang, source, {', '.join(f"max(round(greatest(x[2] + {quality_rules.FENCE} * (x[2] - x[1]), {quality_rules.TIE}), 9)) FILTER (stat = '{k}') AS max_{k}" for k in sorted(stats))} FROM q GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(f'coalesce({k} > max_{k}, false)' for k in stats)}) AS kept, {', '.join(stats)}, {', '.join(f'max_{k}' for k in sorted(stats))}
+FROM m LEFT JOIN z ON z.lang IS NOT DISTINCT FROM m.lang AND z.source IS NOT DISTINCT FROM m.source"""
+
+
 #: Learned scores, hashes of other libraries and random permutations have no SQL form; tests hold those queries against
 #: the libraries, brute force or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op4_near_duplicates": _near_duplicates_sql(), "op9_license_scan": _license_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _quality_sql(), "op4_near_duplicates": _near_duplicates_sql(), "op9_license_scan": _license_sql()}

@@ -257,7 +257,7 @@ def _work(path, limit):
 def count(docs: DataFrame, *, text: str = "text", path: str | None = None, limit: int = 2048, keep_text: bool = True) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
-    Null and empty texts: 0, 0, false. Repeated rows get equal results; input columns with these names give way.
+    Null and empty texts: 0, 0, false. Texts are read whole, those of more than CHUNK characters by chunks. Repeated rows get equal results; input columns with these names give way.
     """
     fields = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
     return append_columns(docs, text, fields, _work, send_file(docs.sparkSession, path or tokenizer_file("word_bpe_49k.json")), limit, keep_text=keep_text)
