@@ -446,6 +446,13 @@ def g_scalar_path(spark, sf_dir):
     return shaped.select("spec", F.round("dist", 6).alias("cost"), "L", "H", F.round("P", 6).alias("P"), F.round("W", 6).alias("W"), "road_changes", costs.feasible_mul(BOX).alias("feasible"), F.round(costs.violation_score(BOX), 6).alias("score"))
 
 
+@query(f"{COSTED_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, links AS MATERIALIZED (SELECT e.u, e.v, c.spec, c.cost FROM costed c JOIN edges e USING (edge_id)), way(spec, node, dist) USING KEY (spec, node) AS (SELECT spec, CAST({BOX.source} AS BIGINT), CAST(0 AS DOUBLE) FROM specs UNION SELECT x.spec, l.v, min(x.dist + l.cost) FROM way x JOIN links l ON l.u = x.node AND l.spec = x.spec LEFT JOIN recurring.way o ON o.node = l.v AND o.spec = x.spec WHERE o.dist IS NULL OR x.dist + l.cost < o.dist GROUP BY x.spec, l.v) SELECT spec, round(dist, 6) AS cost FROM way WHERE node = {BOX.target}")
+def g_scalar_cost(spark, sf_dir):
+    """What each spec's route from source to target costs."""
+    tree = via.forest(lattice.edges(spark, sf_dir), SPECS, BOX, ("fwd",)).where(F.col("node") == BOX.target)
+    return tree.select("spec", F.round("dist", 6).alias("cost"))
+
+
 @query()
 def g_reconstruct(spark, sf_dir):
     """The best via routes of three specs, rebuilt from the trees and checked edge by edge."""
