@@ -227,3 +227,16 @@ def test_repaired_routes_are_elementary(spark):
     rows = catalog.QUERIES["g_repair"](spark, SF).collect()
     assert rows and all(r["connected"] and r["elementary"] for r in rows)
     assert all(r["wrong_length"] == r["wrong_gain"] == r["missing"] == 0 for r in catalog.QUERIES["val_bwd_samples"](spark, SF).collect())
+
+
+def test_ranked_times_by_buckets(spark):
+    from waywright.operators import reports
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.0, 2.5, rng.uniform(0, 9), 100.0])) for _ in range(400)] + [("one", 3.0)]
+    df = spark.createDataFrame(rows, "method string, elapsed double")
+    for buckets in (1, 7, 1000):
+        for r in reports.ranked_times(df, "method", buckets=buckets).collect():
+            own = sorted(t for m, t in rows if m == r["method"])
+            at = lambda q: own[max(1, int(np.ceil(q * len(own)))) - 1]  # noqa: E731, B023
+            assert (r["n"], r["median"], r["p90"], r["p95"], r["most"]) == (len(own), at(0.5), at(0.9), at(0.95), own[-1])

@@ -14,21 +14,30 @@ def success(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count_if("solved").alias("solved"), F.count("*").alias("attempted"), F.round(100.0 * F.count_if("solved") / F.count("*"), 6).alias("percent"))
 
 
-def ranked_times(runs: DataFrame, *keys: str) -> DataFrame:
-    """count, median, p90, p95 and max by nearest rank. Equal times count once with their number, so that a key's running
-    counts are over different times."""
+def ranked_times(runs: DataFrame, *keys: str, buckets: int = 1000) -> DataFrame:
+    """count, median, p90, p95 and max by nearest rank. Times are counted in buckets of equal width; running counts over a
+    key's buckets say where a rank lies, and only those buckets are ordered, so that no task orders a whole key."""
+    low, high = runs.agg(F.min("elapsed"), F.max("elapsed")).first()
+    width = max((high - low) / buckets, 1e-9) if low is not None else 1.0
+    each = runs.withColumn("_b", F.floor((F.col("elapsed") - F.lit(low or 0.0)) / width))
     w = Window.partitionBy(*keys)
-    each = runs.groupBy(*keys, "elapsed").agg(F.count("*").alias("_own"))
-    own = each.withColumn("_n", F.sum("_own").over(w)).withColumn("_r", F.sum("_own").over(w.orderBy("elapsed")))
-    at = lambda q: F.min(F.when(F.col("_r") >= F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col("elapsed")))
-    return own.groupBy(*keys).agg(F.sum("_own").alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.max("elapsed").alias("most"))
+    sums = each.groupBy(*keys, "_b").agg(F.count("*").alias("_own")).withColumn("_n", F.sum("_own").over(w)).withColumn("_upto", F.sum("_own").over(w.orderBy("_b")))
+    ranks = F.array(*[F.struct(F.lit(q).alias("q"), F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)).alias("k")) for q in (0.5, 0.9, 0.95)])
+    found = sums.select(*keys, "_b", "_own", "_upto", F.inline(ranks)).where((F.col("k") <= F.col("_upto")) & (F.col("k") > F.col("_upto") - F.col("_own")))
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_at"), "q", (F.col("k") - F.col("_upto") + F.col("_own")).alias("_place"))
+    ordered = each.select(*keys, "_b", "elapsed").join(found.select(*[f"_{k}" for k in keys], "_at").distinct(), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_b") == F.col("_at")], "left_semi")
+    ordered = ordered.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("elapsed")))
+    hit = ordered.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_b") == F.col("_at"), F.col("_r") == F.col("_place")])
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("elapsed")))
+    values = hit.groupBy(*keys).agg(at(0.5).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    whole = runs.groupBy(*keys).agg(F.count("*").alias("n"), F.max("elapsed").alias("most"))
+    return whole.join(values, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "n", "median", "p90", "p95", "most")
 
 
 def first_solved(runs: DataFrame, key: str) -> DataFrame:
-    """Per key the running number and time of attempts up to the first that solved."""
-    w = Window.partitionBy(key).orderBy("item")
-    own = runs.withColumn("tries", F.row_number().over(w)).withColumn("spent", F.sum("elapsed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.where("solved").groupBy(key).agg(F.min(F.struct("tries", "item", "spent")).alias("m")).select(key, F.col("m.tries").alias("tries"), F.col("m.item").alias("item"), F.round("m.spent", 2).alias("spent"))
+    """Per key the number and time of attempts up to the first that solved, itself included; keys without one give no row."""
+    first = runs.where("solved").groupBy(key).agg(F.min("item").alias("_first"))
+    return runs.join(first, key).where(F.col("item") <= F.col("_first")).groupBy(key).agg(F.count("*").cast("int").alias("tries"), F.max("item").alias("item"), F.round(F.sum("elapsed"), 2).alias("spent"))
 
 
 def cover(solved: DataFrame, k: int) -> DataFrame:
