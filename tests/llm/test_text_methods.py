@@ -356,3 +356,42 @@ def test_stages_take_an_empty_table(spark, corpus):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, corpus.where("false"), SF)
         assert out.count() == 0 and (name == "bpe" or out.columns == corpus.columns)
+
+
+# ---- token counts ----
+
+
+def test_chunk_maps_on_states_equal_the_library(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waywright.llm import token_counts
+
+    library, own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    parts = ["'", "'", "s", "t", "r", "e", "v", "l", "m", "d", " ", "\n", "a", "th", "ing", "9", ".", "..", "-", "é", "ß", "日本", "😀", "Σ", "\x1c", "x" * 9, "'re", "'ll", "́"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        for size in (1, 2, 3, 7):
+            monkeypatch.setattr(token_counts, "CHUNK", size)
+            assert own(text) == want
+    text = "it's we're don't 'tis y'all " * 5
+    for size in (1, 4, 9):
+        monkeypatch.setattr(token_counts, "CHUNK", size)
+        got = own.running(text)
+        monkeypatch.setattr(token_counts, "CHUNK", 10**9)
+        assert got == [own.segment(text[: i + size]) for i in range(0, len(text), size)]
+
+
+def test_long_texts_are_counted_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waywright.llm import bpe, token_counts
+
+    text = "a long text's words, 12 of them: " * 40_000 + "y" * 20_000
+    own = token_counts.counter(public_tokenizers.path("word_bpe_49k.json"))
+    assert own(text) == len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids)
+    ids = np.frombuffer(bpe.encoder(public_tokenizers.path("byte_bpe_50k.json")).encode_batch([text])[0], "<u4")
+    assert ids.tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids

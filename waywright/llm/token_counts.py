@@ -8,8 +8,11 @@ That is exact: an encoding by merges is the only sequence of tokens all of whose
 concatenation, so the last token of each prefix follows from the last tokens of shorter ones. States are made when
 first met and kept while they fit; a full table is emptied.
 
-A long text is cut in chunks. A chunk's map is (open head, closed count, open tail); maps compose associatively, and an
-inclusive prefix scan by doubling gives the running counts.
+A long text is cut in chunks. What a chunk does to the tokenizer's state is a map: the chunk's head, up to its first white
+space, is read on from the state given; then comes a fixed count, and a fixed state at the end. A state (Open) has the
+tokens so far of a unit, and either a transducer state inside a run of letters or the few characters whose split still
+depends on what follows. Maps compose associatively, and an inclusive prefix scan by doubling gives the state and the count
+at the end of every chunk.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from waywright.llm.common import append_columns, received, send_file, tokenizer_
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 STATES = 120_000
 MEMO = 300_000
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 LAST = 1 << 30  # after all merges
 END = 256  # added to the last byte of a piece
 
@@ -144,20 +147,40 @@ class Transducer:
         made = state.next[byte] = (self.state((*items, (0, token, 0))), change)
         return made
 
-    def count(self, piece: bytes) -> int:
-        """Tokens of a piece."""
-        state, n = self.start, 0
-        for byte in piece[:-1]:
+    def advance(self, state: State, data: bytes) -> tuple[State, int]:
+        """State and tokens after data, which isn't the end of a piece."""
+        n = 0
+        for byte in data:
             found = state.next.get(byte) or self.step(state, byte)
             state = found[0]
             n += found[1]
-        last = piece[-1] + END
+        return state, n
+
+    def end(self, state: State, byte: int) -> int:
+        """Tokens that a piece's last byte adds."""
+        last = byte + END
         ended = state.ends.get(last)
         if ended is None:
             ended = state.ends[last] = self.ending(state.items, last)[1]
+        return ended
+
+    def count(self, piece: bytes) -> int:
+        """Tokens of a piece."""
+        state, n = self.advance(self.start, piece[:-1])
+        n += self.end(state, piece[-1])
         if len(self.states) > STATES:
             self.reset()
-        return n + ended
+        return n
+
+
+class Open:
+    """What has been read of a unit that goes on: tokens of its settled pieces, and of its last piece either the state before
+    its last byte, if it is a run of letters, or the text of what isn't settled."""
+
+    __slots__ = ("last", "n", "state", "text")
+
+    def __init__(self, n: int = 0, text: str = "", state: State | None = None, last: int = 0):
+        self.n, self.text, self.state, self.last = n, text, state, last
 
 
 class Counter:
@@ -168,6 +191,7 @@ class Counter:
         self.odd = re.compile("[\x1c-\x1f]").search  # white space to str.split, not to the pattern
         named = sorted(self.transducer.special, key=len, reverse=True)
         self.cut = re.compile("|".join(map(re.escape, named))) if named else None
+        self.letters = regex.compile(r"\p{L}+")
         self.memo: dict[str, int] = {}
 
     def unit(self, unit: str) -> int:
@@ -189,24 +213,50 @@ class Counter:
             memo[u] = self.unit(u)
         return sum(map(memo.__getitem__, units))
 
-    def chunk(self, part: str) -> tuple[str, int | None, str]:
-        """(head, closed count, tail); the count is None if there is no white space: then the head is all there is."""
+    def extend(self, own: Open, more: str) -> Open:
+        """The state after more, which has no white space."""
+        run = self.transducer
+        if more and own.state is not None:
+            if found := self.letters.match(more):
+                data = bytes((own.last,)) + found[0].encode()
+                state, n = run.advance(own.state, data[:-1])
+                own, more = Open(own.n + n, "", state, data[-1]), more[found.end() :]
+            if more:
+                own = Open(own.n + run.end(own.state, own.last))
+        if not more:
+            return own
+        pieces = self.pieces(own.text + more)
+        # a letter after an apostrophe may become a contraction of two letters; else only the last piece can change
+        open_ = 2 if len(pieces) > 1 and pieces[-2] == "'" and len(pieces[-1]) == 1 and self.letters.match(pieces[-1]) else 1
+        n = own.n + sum(run.count(p.encode()) for p in pieces[:-open_])
+        if open_ == 1 and self.letters.fullmatch(pieces[-1]):
+            data = pieces[-1].encode()
+            state, more_n = run.advance(run.start, data[:-1])
+            return Open(n + more_n, "", state, data[-1])
+        return Open(n, "".join(pieces[-open_:]))
+
+    def finish(self, own: Open) -> int:
+        """Tokens of a unit that ends here."""
+        return own.n + (self.transducer.end(own.state, own.last) if own.state is not None else self.unit(own.text))
+
+    def chunk(self, part: str) -> tuple[str, int | None, Open | None]:
+        """The map of a chunk: head, count, state at the end. Without white space it is all head, and the others are None."""
         gap = self.gaps.search(part)
         if gap is None:
-            return part, None, ""
-        head = part[: gap.start()]
+            return part, None, None
         rest = part[gap.end() :]
         units = self.units(rest)
         tail = units.pop() if units and not self.gaps.fullmatch(rest[-1]) else ""
-        return head, self.closed(units), tail
+        return part[: gap.start()], self.closed(units), self.extend(Open(), tail)
 
     def compose(self, a: tuple, b: tuple) -> tuple:
+        """The map of a, then b."""
         if a[1] is None:
             return (a[0] + b[0], b[1], b[2])
+        met = self.extend(a[2], b[0])
         if b[1] is None:
-            return (a[0], a[1], a[2] + b[0])
-        middle = a[2] + b[0]
-        return (a[0], a[1] + (self.unit(middle) if middle else 0) + b[1], b[2])
+            return (a[0], a[1], met)
+        return (a[0], a[1] + self.finish(met) + b[1], b[2])
 
     def scan(self, maps: list[tuple]) -> list[tuple]:
         """Inclusive prefix scan by doubling."""
@@ -222,8 +272,13 @@ class Counter:
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         if len(text) <= CHUNK:
             return self.closed(self.units(text))
-        head, closed, tail = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1]
-        return (closed or 0) + sum(self.unit(u) for u in (head, tail) if u)
+        return self.running(text)[-1]
+
+    def running(self, text: str) -> list[int]:
+        """Tokens of a normalised text up to the end of each chunk, were the text to end there."""
+        maps = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
+        ended = [0 if tail is None else count + self.finish(tail) for _, count, tail in maps]
+        return [n + self.finish(self.extend(Open(), head)) for n, (head, _, _) in zip(ended, maps, strict=True)]
 
     def __call__(self, text: str | None) -> int:
         if not text:
