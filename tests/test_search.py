@@ -240,3 +240,15 @@ def test_ranked_times_by_buckets(spark):
             own = sorted(t for m, t in rows if m == r["method"])
             at = lambda q: own[max(1, int(np.ceil(q * len(own)))) - 1]  # noqa: E731, B023
             assert (r["n"], r["median"], r["p90"], r["p95"], r["most"]) == (len(own), at(0.5), at(0.9), at(0.95), own[-1])
+
+
+def test_xy_headers_and_ends_are_checked(spark):
+    from waywright.sources import text_files
+
+    lines = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "line long, value string")
+    good = ("nodes 2 edges 1 attributes 5", "v 0 1 1 5", "v 1 2 2 6", "e 0 1 100 10 3 4 7")
+    v, e = text_files.checked_xy(lines(*good))
+    assert v.count() == 2 and e.count() == 1
+    for bad, why in ((good[1:], "no header"), (("nodes 3 edges 1", *good[1:]), "says 3 nodes"), ((*good[:3], "e 0 9 100 10 3 4 7"), "node 9")):
+        with pytest.raises(ValueError, match=why):
+            text_files.checked_xy(lines(*bad))

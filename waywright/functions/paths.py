@@ -38,6 +38,36 @@ def road_changes(roads: Column) -> Column:
     return F.greatest(F.size(runs(known)) - 1, F.lit(0))
 
 
+def known_road(road: Column) -> Column:
+    return F.when(road >= 0, road)
+
+
+def roads_of(roads: Column) -> Column:
+    """(first, last, changes) of a list of roads, unknown ones passed over: the fold of append_road."""
+    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(0).alias("changes"))
+    return F.aggregate(roads, start, append_road)
+
+
+def append_road(own: Column, road: Column) -> Column:
+    """(first, last, changes) with one more road at the end."""
+    known = known_road(road)
+    turn = F.coalesce((own["last"] != known).cast("int"), F.lit(0))
+    return F.struct(F.coalesce(own["first"], known).alias("first"), F.coalesce(known, own["last"]).alias("last"), (own["changes"] + turn).alias("changes"))
+
+
+def prepend_road(own: Column, road: Column) -> Column:
+    """(first, last, changes) with one more road in front."""
+    known = known_road(road)
+    turn = F.coalesce((own["first"] != known).cast("int"), F.lit(0))
+    return F.struct(F.coalesce(known, own["first"]).alias("first"), F.coalesce(own["last"], known).alias("last"), (own["changes"] + turn).alias("changes"))
+
+
+def join_roads(a: Column, b: Column) -> Column:
+    """(first, last, changes) of one route after another."""
+    turn = F.coalesce((a["last"] != b["first"]).cast("int"), F.lit(0))
+    return F.struct(F.coalesce(a["first"], b["first"]).alias("first"), F.coalesce(b["last"], a["last"]).alias("last"), (a["changes"] + b["changes"] + turn).alias("changes"))
+
+
 def parse_osmid(text: Column) -> Column:
     """Whole numbers in a text such as 12, [12, 13] or 12;13; other parts are passed over."""
     return F.transform(F.filter(F.split(F.regexp_replace(text, r"[\[\]()]", ""), r"[;,\s]+"), lambda t: t.rlike(r"^-?\d+$")), lambda t: t.cast("long"))

@@ -410,7 +410,7 @@ def register(query, c) -> None:
         """Nodes of a GraphML file, their attributes by the names that the file's keys give."""
         p = c.read(spark, sf_dir, "part")
         element = F.format_string('<node id="%d"><data key="d0">%s</data><data key="d1">%s</data><data key="d2">%s</data></node>', "p_partkey", (F.col("p_size") / 4).cast("string"), (F.col("p_partkey") / 8).cast("string"), "p_brand")
-        keys = p.limit(1).select(F.explode(F.array(*[F.lit(f'<key id="d{i}" for="node" attr.name="{n}" attr.type="string"/>') for i, n in enumerate(("x", "y", "name"))])).alias("value"))
+        keys = spark.range(1).select(F.explode(F.array(*[F.lit(f'<key id="d{i}" for="node" attr.name="{n}" attr.type="string"/>') for i, n in enumerate(("x", "y", "name"))])).alias("value"))
         path = f"{shared_folder(spark)}/graphml-{uuid.uuid4().hex}"
         text_files.graphml_lines(keys, p.select(element.alias("value"))).write.text(path)
         nodes, _ = text_files.graphml(spark, path)

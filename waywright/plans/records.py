@@ -137,11 +137,56 @@ def register(query, c) -> None:
         at = lambda x: spark.range(1).select(F.lit(x).cast("long").alias("node"))
         return graph.distances(e, at(0)).select(F.lit("fwd").alias("dir"), F.col("node").cast("int").alias("node"), "dist").union(graph.distances(e, at(2), reverse=True).select(F.lit("bwd"), F.col("node").cast("int"), "dist"))
 
+    KNOWN = "[x FOR x IN {} IF x IS NOT NULL]"
+    CHANGES = "CAST(coalesce(list_sum([CASE WHEN {0}[i] <> {0}[i + 1] THEN 1 ELSE 0 END FOR i IN range(1, len({0}))]), 0) AS INTEGER)"
+
+    @query(f"WITH {c.WALKS_SQL}, k AS (SELECT a.walk, {KNOWN.format('a.roads')} AS r, {KNOWN.format('list_concat(a.roads, b.roads)')} AS j FROM walks a JOIN walks b ON b.walk = a.walk + 1) SELECT walk, r[1] AS first, r[len(r)] AS last, {CHANGES.format('r')} AS appended, {CHANGES.format('r')} AS prepended, {CHANGES.format('j')} AS joined FROM k")
+    def fn_road_fold(spark, sf_dir):
+        """First and last road and changes of walks, folded from the front, from the back, and joined with the next walk's."""
+        from waywright.functions import paths
+
+        own = c.walks(spark, sf_dir).select("walk", paths.roads_of(F.col("roads")).alias("a"), F.aggregate(F.reverse("roads"), F.struct(F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(0).alias("changes")), paths.prepend_road).alias("p"))
+        n = own.select((F.col("walk") - 1).alias("walk"), F.col("a").alias("b"))
+        return own.join(n, "walk").select("walk", "a.first", "a.last", F.col("a.changes").alias("appended"), F.col("p.changes").alias("prepended"), paths.join_roads(F.col("a"), F.col("b"))["changes"].alias("joined"))
+
+    @query(f"WITH {c.ROUTES_SQL}, v AS (SELECT {c._VIOL} FROM routes) SELECT count(*) AS routes, count(*) FILTER (v1 > 0) AS L_low, count(*) FILTER (v2 > 0) AS L_high, count(*) FILTER (v3 > 0) AS H_low, count(*) FILTER (v4 > 0) AS H_high, count(*) FILTER (v5 > 0) AS P_low, count(*) FILTER (v6 > 0) AS W_high FROM v")
+    def flt_box_counters(spark, sf_dir):
+        """How many routes break each bound of the box."""
+        own = dict(zip(costs.KINDS, costs.violations(c.ROUTE_BOX), strict=True))
+        return c.routes(spark, sf_dir).agg(F.count("*").alias("routes"), *[F.count_if(v > 0).alias(k) for k, v in own.items()])
+
+    RATE = "count(*) FILTER (solved) AS solved, count(*) AS attempted, round(100.0 * count(*) FILTER (solved) / count(*), 6) AS percent FROM runs GROUP BY ALL"
+
+    @query(f"WITH {c.RUNS_SQL} SELECT 'mode' AS kind, mode AS key, {RATE} UNION ALL SELECT 'method', method, {RATE} UNION ALL SELECT 'box', CAST(box AS VARCHAR), {RATE} UNION ALL SELECT 'all', 'all', {RATE}")
+    def agg_success_rates(spark, sf_dir):
+        """Success by mode, by method, by box and over all: each run is read once."""
+        keys = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in (("mode", F.col("mode")), ("method", F.col("method")), ("box", F.col("box").cast("string")), ("all", F.lit("all")))])
+        return c.reports.success(c.run_rows(spark, sf_dir).select("solved", F.inline(keys)), "kind", "key")
+
+    @query(f"WITH {c.RUNS_SQL}, f AS (SELECT method, min(item) FILTER (solved) AS first FROM runs GROUP BY 1) SELECT r.method, f.first, count(*) AS attempts, round(sum(elapsed), 2) AS spent FROM runs r JOIN f ON f.method = r.method WHERE r.item <= f.first GROUP BY 1, 2")
+    def agg_records_to_first(spark, sf_dir):
+        """Attempts and time of each method up to its first success."""
+        own = c.reports.first_solved(c.run_rows(spark, sf_dir), "method")
+        return own.select("method", F.col("item").alias("first"), F.col("tries").cast("long").alias("attempts"), "spent")
+
+    @query(f"WITH {c.WALKS_SQL}, s AS (SELECT walk, path, unnest(range(1, len(path))) AS i FROM walks), e AS (SELECT walk, least(path[i], path[i + 1]) AS a, greatest(path[i], path[i + 1]) AS b, CASE WHEN path[i] = path[i + 2] THEN 1 ELSE 0 END AS back FROM s), n AS (SELECT walk, a, b, count(*) AS n, sum(back) AS back FROM e GROUP BY ALL) SELECT walk, CAST(sum(n - 1) AS BIGINT) AS repeated, CAST(sum(back) AS BIGINT) AS backtracks FROM n GROUP BY 1")
+    def aud_backtracks(spark, sf_dir):
+        """Edges of walks used again in either direction, and steps that are undone at once."""
+        step = lambda i: F.struct(F.least(F.get("path", i), F.get("path", i + 1)).alias("a"), F.greatest(F.get("path", i), F.get("path", i + 1)).alias("b"), F.coalesce((F.get("path", i) == F.get("path", i + 2)).cast("int"), F.lit(0)).alias("back"))
+        own = c.walks(spark, sf_dir).where(F.size("path") > 1).select("walk", F.inline(F.transform(F.sequence(F.lit(0), F.size("path") - 2), step)))
+        return own.groupBy("walk", "a", "b").agg(F.count("*").alias("n"), F.sum("back").alias("back")).groupBy("walk").agg(F.sum(F.col("n") - 1).alias("repeated"), F.sum("back").alias("backtracks"))
+
     # ---- seeds
 
     def spots(spark, sf_dir):
         return lattice.nodes(spark, sf_dir).select(F.col("id").alias("node"), F.col("x_m").alias("x"), F.col("y_m").alias("y"))
 
+    def candidates(spark, sf_dir):
+        """The seventy nodes of the highest hub score."""
+        from waywright.operators import network
+
+        return network.hub_candidates(edges(spark, sf_dir), 7).join(spots(spark, sf_dir), "node").orderBy(F.desc("score"), "node").collect()
+
     @query()
     def g_bfs_blobs(spark, sf_dir):
         """Cells of radius 3, grown one after another; the graph must be one that fits the driver."""
@@ -159,9 +204,7 @@ def register(query, c) -> None:
         """Centers of seven seeds, moved by batches."""
         import numpy as np
 
-        from waywright.operators import network
-
-        rows = network.hub_candidates(edges(spark, sf_dir), 7).join(spots(spark, sf_dir), "node").orderBy(F.desc("score"), "node").collect()  # 70 rows
+        rows = candidates(spark, sf_dir)
         at = np.array([[r["x"], r["y"]] for r in rows], float)
         moved = seeds.refined(at[seeds.spread_sample(at, 7)], at, 2, 5, 200)
         return spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(moved)], "cell long, x double, y double")
@@ -171,7 +214,7 @@ def register(query, c) -> None:
         """Repeated seeds without repeats, filled up to seven."""
         import numpy as np
 
-        rows = spots(spark, sf_dir).orderBy("node").limit(500).collect()  # a feature of the operator: candidates are few
+        rows = candidates(spark, sf_dir)
         own = seeds.deduplicated([5, 5, 40, 5], np.array([[r["x"], r["y"]] for r in rows], float), 7)
         return spark.createDataFrame([(k, rows[i]["node"]) for k, i in enumerate(own)], "cell long, node long")
 

@@ -96,6 +96,21 @@ def parse_xy(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, ranked.join(before, "block").select((F.col("before") + F.col("rank") - 1).alias("edge_id"), "u", "v", "length", "gain", "popularity", "width", "road_id")
 
 
+def checked_xy(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parse_xy, and an error where the header's counts or an edge's ends don't agree with the lines."""
+    nodes, edges = parse_xy(raw)
+    head = parts(raw).where(F.get("p", F.lit(0)) == "nodes").select(field(1, "long").alias("n"), field(3, "long").alias("m")).first()
+    if head is None:
+        raise ValueError("no header in .xy")
+    found = nodes.count(), edges.count()
+    if found != (head["n"], head["m"]):
+        raise ValueError(f"the header of .xy says {head['n']} nodes and {head['m']} edges, the lines have {found[0]} and {found[1]}")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).join(nodes.select("id"), "id", "left_anti")
+    if not ends.isEmpty():
+        raise ValueError(f"an edge of .xy ends at node {ends.first()['id']}, which has no line")
+    return nodes, edges
+
+
 def graphml_lines(*elements: DataFrame) -> DataFrame:
     """The lines of one GraphML file: elements (value) between its head and its end, in one partition as the format asks for."""
     spark = elements[0].sparkSession
