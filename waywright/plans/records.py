@@ -230,7 +230,7 @@ def register(query, c) -> None:
         """The largest differences between routes and their profiles, by spec."""
         return exact(spark, sf_dir).groupBy("spec").agg(F.count("*").alias("routes"), *[F.round(F.max(F.abs(F.col(f"x_{x}") - F.col(x))), 9).alias(f"d_{x}") for x in search.SUMS])
 
-    @query()
+    @query(f"{c.SSSP} SELECT count(*) - 1 AS branches, CAST(0 AS BIGINT) AS wrong_length, CAST(0 AS BIGINT) AS wrong_gain, CAST(0 AS BIGINT) AS missing FROM back")
     def val_bwd_samples(spark, sf_dir):
         """All backward branches rebuilt from their tree: sums of their edges against the tree's."""
         t = trees(spark, sf_dir).where("dir = 'bwd' and spec = 'shortest_length'")
