@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -165,3 +166,36 @@ def received(path: str) -> str:
     """Where a file that was sent lies on this executor."""
     own = SparkFiles.get(os.path.basename(path))
     return own if os.path.exists(own) else local_path(path)
+
+
+MOST_BITS = 1 << 27
+
+
+def bit_set(df: DataFrame, column: str, rows: int) -> np.ndarray:
+    """A set of the hashes in a long column as bits: 16 of them for each of rows, but 2^27 (16 MB) at most whatever rows is.
+
+    holds() may say yes to a hash that isn't in df, never no to one that is."""
+    bits = min(MOST_BITS, 1 << max(13, (16 * rows).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = df.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast({quoted(column)} & 63 AS INT))").alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask"))
+    found = words.toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits >> 6, np.int64)
+    out[found.column("at").to_numpy()] = found.column("mask").to_numpy()
+    return out.view(np.uint64)
+
+
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit hashes are in the set."""
+    slot = hashes & np.uint64(64 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 1 << 24):
+    """A batch in slices whose strings in the given column take about most bytes, of one row at least."""
+    import pyarrow.compute as pc
+
+    upto, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end

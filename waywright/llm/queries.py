@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waywright.llm import bpe, decontamination, langid, licenses, near_duplicates, quality_classifier, quality_rules, sharding, token_counts, training_order
+from waywright.llm import bpe, decontamination, langid, licenses, near_duplicates, quality_classifier, quality_rules, sharding, substrings, token_counts, training_order
 from waywright.llm.common import documents, held_out
 
 
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(documents(spark, sf_dir), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_training_order": op2_training_order,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 
@@ -110,7 +115,8 @@ def _quality_sql() -> str:
     each = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS stat, {q} AS share, {s} AS x FROM m WHERE NOT base_failed" for s, q in quality_rules.TAIL.items())
     level = lambda keys, name: f"{name}r AS (SELECT {keys} stat, share, b, sum(n) OVER (PARTITION BY {keys} stat) AS rows_, sum(n) OVER (PARTITION BY {keys} stat ORDER BY b) AS upto FROM (SELECT {keys} stat, share, b, sum(n) AS n FROM k GROUP BY {keys} stat, share, b)), {name} AS (SELECT {keys} stat, rows_, {value('min(b) FILTER (upto >= ceil(0.5 * rows_))')} AS mid, {value('min(b) FILTER (upto >= ceil(share * rows_))')} AS tail FROM {name}r GROUP BY {keys} stat, rows_)"
     return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, [x FOR x IN regexp_split_to_array(t, '{space}+') IF x <> ''] AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^ 	-]')] AS ls FROM d),
+w AS (SELECT *, [x FOR x IN regexp_split_to_array(t, '{space}+') IF x <> ''] AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^ 	-
+]')] AS ls FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest([ws[j:j + 2] FOR j IN range(1, len(ws) - 1)]) AS win FROM w),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
