@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waywright.llm import bpe, decontamination, langid, licenses, near_duplicates, quality_classifier, quality_rules, sharding, substrings, token_counts, training_order
+from waywright.llm import bpe, collocations, decontamination, langid, licenses, near_duplicates, quality_classifier, quality_rules, sharding, spelling, substrings, token_counts, training_order
 from waywright.llm.common import documents, held_out
 
 
@@ -61,6 +61,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counts(documents(spark, sf_dir)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(documents(spark, sf_dir), digest=True)
 
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -130,6 +140,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN z ON z.lang IS NOT DISTINCT FROM m.lang AND z.source IS NOT DISTINCT FROM m.source"""
 
 
+def _collocation_sql() -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS MATERIALIZED (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS ws FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM w, (SELECT unnest(range(1, {collocations.DEPTH + 1})) AS k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f x WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM f y WHERE y.lang = x.lang AND y.k > x.k AND y.f >= x.f AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+u AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, a, cut, l.f AS l, r.f AS r, n.n, CAST(1000 * a::HUGEINT * n.n::HUGEINT // (l.f::HUGEINT * r.f::HUGEINT) AS BIGINT) AS score FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ') JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b QUALIFY rank <= {collocations.TOP}"""
+
+
 #: Learned scores, hashes of other libraries and random permutations have no SQL form; tests hold those queries against
 #: the libraries, brute force or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _quality_sql(), "op4_near_duplicates": _near_duplicates_sql(), "op9_license_scan": _license_sql()}
+ORACLE_SQL: dict[str, str] = {"op12_collocations": _collocation_sql(), "op3_quality_rules": _quality_sql(), "op4_near_duplicates": _near_duplicates_sql(), "op9_license_scan": _license_sql()}
