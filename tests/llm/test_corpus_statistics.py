@@ -62,7 +62,7 @@ def test_trees_over_many_chunks(spark, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(substrings, "CHUNK", 8)
-    table = pa.table({"sample": [r[1] % 7 for r in rows], "id": [r[1] for r in rows], "hash": [0] * 50, "first": [0] * 50, "fragment": pa.array([r[4] for r in rows], pa.binary())}).sort_by("sample")
+    table = pa.table({"sample": [r[1] % 7 for r in rows], "id": [r[1] for r in rows], "hash": [0] * 50, "first": [0] * 50, "last": [3] * 50, "fragment": pa.array([r[4] for r in rows], pa.binary())}).sort_by("sample")
     made = [r for b in substrings.trees(4)(table.to_batches(max_chunksize=3)) for r in b.to_pylist()]
     assert sorted(r["id"] for r in made) == list(range(50)) and {(r["first"], r["last"]) for r in made} == {(0, 3)}
 
