@@ -11,8 +11,9 @@ first met and kept while they fit; a full table is emptied.
 A long text is cut in chunks. What a chunk does to the tokenizer's state is a map: the chunk's head, up to its first white
 space, is read on from the state given; then comes a fixed count, and a fixed state at the end. A state (Open) has the
 tokens so far of a unit, and either a transducer state inside a run of letters or the few characters whose split still
-depends on what follows. Maps compose associatively, and an inclusive prefix scan by doubling gives the state and the count
-at the end of every chunk.
+depends on what follows. Maps compose associatively. The scan composes neighbours pair by pair up a balanced tree, whose top is
+the whole text's map; going down again it gives the state and the count at the end of every chunk. A chunk without white space
+is all head, so heads join on the way up: together they copy a text once a level, and each is read once, at the top.
 """
 
 from __future__ import annotations
@@ -150,10 +151,14 @@ class Transducer:
     def advance(self, state: State, data: bytes) -> tuple[State, int]:
         """State and tokens after data, which isn't the end of a piece."""
         n = 0
-        for byte in data:
-            found = state.next.get(byte) or self.step(state, byte)
-            state = found[0]
-            n += found[1]
+        for i in range(0, len(data), CHUNK):
+            for byte in data[i : i + CHUNK]:
+                found = state.next.get(byte) or self.step(state, byte)
+                state = found[0]
+                n += found[1]
+            if len(self.states) > STATES:  # the state goes on in the new table, without its old successors
+                self.reset()
+                state = self.state(state.items)
         return state, n
 
     def end(self, state: State, byte: int) -> int:
@@ -258,13 +263,20 @@ class Counter:
             return (a[0], a[1], met)
         return (a[0], a[1] + self.finish(met) + b[1], b[2])
 
+    def up(self, maps: list[tuple]) -> list[list[tuple]]:
+        """The maps of neighbours composed pair by pair, level by level; the last level has the map of them all."""
+        levels = [maps]
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            levels.append(maps)
+        return levels
+
     def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix scan by doubling."""
-        step = 1
-        while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[i - step], maps[i]) for i in range(step, len(maps))]
-            step *= 2
-        return maps
+        """Inclusive prefix scan: up, then down with the map of what stands before each node. That begins with a text, so it has no head."""
+        before = [("", 0, Open())]
+        for level in reversed(self.up(maps)[:-1]):
+            before = [before[i // 2] if i % 2 == 0 else self.compose(before[i // 2], level[i - 1]) for i in range(len(level))]
+        return [self.compose(a, b) for a, b in zip(before, maps, strict=True)]
 
     def segment(self, text: str) -> int:
         """Tokens of a text without special tokens."""
@@ -272,13 +284,18 @@ class Counter:
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         if len(text) <= CHUNK:
             return self.closed(self.units(text))
-        return self.running(text)[-1]
+        return self.ended(self.compose(("", 0, Open()), self.up(self.maps(text))[-1][0]))
+
+    def maps(self, text: str) -> list[tuple]:
+        return [self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
+
+    def ended(self, own: tuple) -> int:
+        """Tokens of a text that ends here, from the map of it all after the start."""
+        return own[1] + self.finish(own[2])
 
     def running(self, text: str) -> list[int]:
         """Tokens of a normalised text up to the end of each chunk, were the text to end there."""
-        maps = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
-        ended = [0 if tail is None else count + self.finish(tail) for _, count, tail in maps]
-        return [n + self.finish(self.extend(Open(), head)) for n, (head, _, _) in zip(ended, maps, strict=True)]
+        return [self.ended(m) for m in self.scan(self.maps(text))]
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -312,7 +329,8 @@ def _work(path, limit):
 def count(docs: DataFrame, *, text: str = "text", path: str | None = None, limit: int = 2048, keep_text: bool = True) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
-    Null and empty texts: 0, 0, false. Texts are read whole, those of more than CHUNK characters by chunks. Repeated rows get equal results; input columns with these names give way.
+    Null and empty texts: 0, 0, false. Texts are read whole, those of more than CHUNK characters by chunks; the time of
+    a text without white space grows as its length too, and the table of states stays below STATES. Repeated rows get equal results; input columns with these names give way.
     """
     fields = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
     return append_columns(docs, text, fields, _work, send_file(docs.sparkSession, path or tokenizer_file("word_bpe_49k.json")), limit, keep_text=keep_text)
