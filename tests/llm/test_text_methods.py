@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -194,8 +195,9 @@ def test_samples_stay_bounded_at_any_size():
 # ---- quality rules ----
 
 
-def plain_limits(rows, least):
-    """{(lang, source): {stat: limit}} from exact quantiles of rows (lang, source, statistics) that pass the base rules."""
+def plain_limits(rows, prior):
+    """{(lang, source): {stat: limit}} from exact weighted quantiles of rows (lang, source, statistics) that pass the base rules:
+    a group's documents count one each, its language's as prior together, and in that sum the corpus's as prior."""
     groups, langs = defaultdict(list), defaultdict(list)
     for lang, source, s in rows:
         groups[lang, source].append(s)
@@ -203,14 +205,28 @@ def plain_limits(rows, least):
     every = [s for _, _, s in rows]
     out = {}
     for (lang, source), own in groups.items():
-        own = own if len(own) >= least else langs[lang] if len(langs[lang]) >= least else every
-        at = lambda k, q: np.quantile([s[k] for s in own], q, method="inverted_cdf")  # noqa: E731, B023
-        out[lang, source] = {k: max(at(k, q) + 2 * (at(k, q) - at(k, 0.5)), 0.01) for k, q in quality_rules.TAIL.items()}
+        in_lang = Fraction(prior, len(langs[lang]) + prior)
+        weighed = [(s, Fraction(1)) for s in own] + [(s, in_lang) for s in langs[lang]] + [(s, in_lang * prior / len(every)) for s in every]
+        out[lang, source] = {}
+        for k, share in quality_rules.TAIL.items():
+            def at(q, above=False):
+                part = sorted((s[k], w) for s, w in weighed if s[k] > 0 or not above)  # noqa: B023
+                left = Fraction(q, 1000) * sum(w for _, w in part)
+                for x, w in part:
+                    left -= w
+                    if left <= 0:
+                        return x
+
+            if at(share) > 0:
+                limit = max(at(share) + 2 * (at(share) - at(500)), at(share) * 1.02)
+            else:
+                limit = at(100, True) * (at(100, True) / at(900, True)) ** 2 if any(s[k] > 0 for s in every) else 1.0
+            out[lang, source][k] = limit
     return out
 
 
-@pytest.mark.parametrize("least", [1, 30, 10**6])
-def test_limits_and_verdicts_equal_exact_quantiles(spark, least):
+@pytest.mark.parametrize("prior", [1, 30, 10**4])
+def test_limits_and_verdicts_equal_exact_quantiles(spark, prior):
     rng = random.Random(6)
     rows = []
     for k in range(700):
@@ -220,8 +236,8 @@ def test_limits_and_verdicts_equal_exact_quantiles(spark, least):
         text = " ".join(words) if k % 9 else "one line here\n" * rng.randint(1, 20) + " ".join(words)
         rows.append((k, text, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None]), "x", "y"))
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _l string, _s string")
-    got = {r["doc_id"]: r for r in quality_rules.judge(table, least_rows=least).collect()}
-    limits = plain_limits([(lang, source, got[k].asDict()) for k, _, lang, source, *_ in rows if not got[k]["base_failed"]], least)
+    got = {r["doc_id"]: r for r in quality_rules.judge(table, prior=prior).collect()}
+    limits = plain_limits([(lang, source, got[k].asDict()) for k, _, lang, source, *_ in rows if not got[k]["base_failed"]], prior)
     fails = 0
     for k, _, lang, source, *_ in rows:
         r = got[k]
@@ -229,11 +245,38 @@ def test_limits_and_verdicts_equal_exact_quantiles(spark, least):
             assert not r["kept"]
             continue
         own = limits[lang, source]
-        assert all(abs(r[f"max_{s}"] / x - 1) < 0.05 for s, x in own.items())  # a sketch is off by 1 % at most, a difference of two by more
-        if all(abs(r[s] / x - 1) > 0.05 for s, x in own.items()):
+        assert all(abs(r[f"max_{s}"] / x - 1) < 0.09 for s, x in own.items())  # a sketch is off by 1 % at most, a power or a difference of two by more
+        if all(abs(r[s] / x - 1) > 0.09 for s, x in own.items()):
             assert r["kept"] == all(r[s] <= x for s, x in own.items())
             fails += not r["kept"]
-    assert fails > 5 and {"_l", "_s"} <= set(next(iter(got.values())).asDict())
+    assert fails > 5
+    assert {"_l", "_s"} <= set(next(iter(got.values())).asDict())
+
+
+def test_limits_follow_their_group(spark):
+    """The same texts are kept in a group where such texts are usual and fall in one where they aren't; constants decide nowhere."""
+    rng = random.Random(9)
+    word = lambda: "w" + str(rng.randint(0, 10**6))
+
+    def text(symbols):
+        words = [word() for _ in range(100)] + ["#"] * symbols
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(k, text(rng.randint(3, 9) if k % 2 else 0), "en", "code") for k in range(600)] + [(1000 + k, text(rng.randint(3, 9) if k % 100 == 0 else 0), "en", "news") for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge(table).where("n_symbols > 0").groupBy("source").agg(F.avg(F.col("kept").cast("int")).alias("share"), F.first("max_symbol_ratio").alias("limit")).collect()
+    by = {r["source"]: r for r in got}
+    assert by["code"]["share"] > 0.95 and by["news"]["share"] < 0.2 and by["code"]["limit"] > 4 * by["news"]["limit"]
+
+
+def test_no_limit_is_a_constant_where_anything_is_above_zero(spark):
+    measured = quality_rules.measure(spark.read.parquet(f"{SF}/documents.parquet"), keep_text=False).where("not base_failed")
+    limits = quality_rules.thresholds(measured).toPandas()
+    most = measured.agg(*[F.max(c).alias(c) for c in quality_rules.TAIL]).first()
+    assert len(limits) >= 20 and sum(v > 0 for v in most) >= 4
+    assert all((limits[f"max_{c}"] != quality_rules.NONE).all() for c in quality_rules.TAIL if most[c] > 0)
+    assert (quality_rules.thresholds(measured.where("symbol_ratio = 0")).toPandas()["max_symbol_ratio"] == quality_rules.NONE).all()
 
 
 # ---- license scan ----

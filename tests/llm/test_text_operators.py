@@ -182,8 +182,8 @@ def test_quantile_sketches_merge_and_are_close(spark):
     values = rng.lognormal(-2, 1, 4000)
     table = spark.createDataFrame([(("a", "b")[i % 2], float(v)) for i, v in enumerate(values)], "g string, x double")
     own = quality_rules.sketches(table, ["g"], ["x"])
-    merged = own.groupBy("stat", "bucket").agg(F.sum("n").alias("n"))
-    got = quality_rules.quantiles(merged, [], {"q": F.lit(0.75)}).first()["q"]
+    merged = own.groupBy("stat", "bucket").agg(F.sum("n").alias("weight"))
+    got = quality_rules.quantiles(merged, [], {"q": (750, False)}).select(quality_rules.bucket_value(F.col("q")).alias("q")).first()["q"]
     assert abs(got / np.quantile(values, 0.75, method="inverted_cdf") - 1) < 0.011
 
 

@@ -2,10 +2,14 @@
 
 A map over texts makes each document's statistics. For every language, source and statistic a mergeable quantile sketch
 (counts of logarithmic buckets, relative error ERROR) of the documents that pass the base rules is summed up by aggregation.
-Sketches of groups of fewer than LEAST_ROWS such documents are too coarse for a tail; there the language's sketch, which is
-their sum, stands in, and where that is small too, the whole corpus's. A document fails where one of its statistics lies
-beyond tail + FENCE x (tail - median) of its group, tail being the statistic's TAIL quantile. TIE is the least limit, for
-groups in which even the tail is zero. Thresholds come back to the documents by a join.
+A group's sketch is merged with its language's, scaled to PRIOR documents, and that one with the whole corpus's likewise: so
+every group has limits of its own at any size, which follow its parents' while it is small. Weights are whole numbers, so
+quantiles don't depend on the order of sums.
+
+A document fails where one of its statistics lies beyond tail + FENCE x (tail - median), tail being the statistic's TAIL
+quantile. Where even the tail is zero, most of the group has nothing of the kind, and what has it is judged by the part above
+zero: its limit is the LOW quantile, lower by FENCE times the distance on the log scale to the HIGH one. A limit is above the
+tail by twice the sketch's error at least, which only parts ties. Thresholds come back to the documents by a join.
 """
 
 from __future__ import annotations
@@ -17,17 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waywright.llm.common import append_columns, quoted, staged, unused
+from waywright.llm.common import append_columns, discard, quoted, staged, unused
 
 # Characters that count as symbols, and ASCII white space.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 ERROR = 0.01
-#: statistic: the share of documents that lie within its tail quantile
-TAIL = {"symbol_ratio": 0.9, "repeat_ratio": 0.99, "dup_line_ratio": 0.99, "upper_ratio": 0.99, "bang_ratio": 0.99}
+#: statistic: how many of a thousand documents lie within its tail quantile
+TAIL = {"symbol_ratio": 900, "repeat_ratio": 990, "dup_line_ratio": 990, "upper_ratio": 990, "bang_ratio": 990}
+LOW, HIGH = 100, 900  # of a thousand documents above zero
 FENCE = 2.0
-TIE = 0.01
-LEAST_ROWS = 200
+PRIOR = 200
+NONE = 1.0  # where no document of the corpus has any
 BROADCAST_ROWS = 20_000
 
 
@@ -102,31 +107,50 @@ def sketches(measured: DataFrame, groups: list[str], stats: list[str]) -> DataFr
     return measured.select(*groups, each).groupBy(*groups, "x.stat", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, Column]) -> DataFrame:
-    """(groups, stat, rows, one column for each share): from the running counts of the buckets."""
+def merged(own: DataFrame, prior: int) -> DataFrame:
+    """(lang, source, stat, bucket, weight): every group's sketch with its language's as prior documents, and the language's
+    with the corpus's as prior documents, all times whole numbers. own: sketches by lang and source."""
+    total = lambda df, keys: df.groupBy(*keys, "stat").agg(F.sum("n").alias("rows"))
+    by_lang = own.groupBy("lang", "stat", "bucket").agg(F.sum("n").alias("n"))
+    overall = own.groupBy("stat", "bucket").agg(F.sum("n").alias("n_a"))
+    grid = total(own, ["lang", "source"]).select("lang", "source", "stat").join(overall.join(overall.groupBy("stat").agg(F.sum("n_a").alias("r_a")), "stat"), "stat")  # a row for each bucket that there is
+    lang = by_lang.select(F.col("lang").alias("_l"), F.col("stat").alias("_s"), F.col("bucket").alias("_b"), F.col("n").alias("n_l"))
+    rows = total(by_lang, ["lang"]).select(F.col("lang").alias("_l2"), F.col("stat").alias("_s2"), F.col("rows").alias("r_l"))
+    group = own.select(F.col("lang").alias("_l3"), F.col("source").alias("_src"), F.col("stat").alias("_s3"), F.col("bucket").alias("_b3"), F.col("n").alias("n_g"))
+    same = lambda l, s: F.col("lang").eqNullSafe(F.col(l)) & (F.col("stat") == F.col(s))
+    joined = grid.join(rows, same("_l2", "_s2")).join(lang, same("_l", "_s") & (F.col("bucket") == F.col("_b")), "left")
+    joined = joined.join(group, same("_l3", "_s3") & F.col("source").eqNullSafe(F.col("_src")) & (F.col("bucket") == F.col("_b3")), "left")
+    d = lambda c: f"CAST(coalesce({c}, 0) AS DECIMAL(38, 0))"
+    weight = F.expr(f"{d('n_g')} * {d('r_a')} * ({d('r_l')} + {prior}) + {prior} * ({d('n_l')} * {d('r_a')} + {prior} * {d('n_a')})")
+    return joined.select("lang", "source", "stat", "bucket", weight.alias("weight"))
+
+
+def quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, tuple[Column | int, bool]]) -> DataFrame:
+    """(groups, stat, a bucket for each name of shares): where the running weight reaches so many of a thousand, of all or (True) of
+    what is above zero; null if there is nothing. sketch: (groups, stat, bucket, weight)."""
     own = Window.partitionBy(*groups, "stat")
-    ran = sketch.withColumn("rows", F.sum("n").over(own)).withColumn("upto", F.sum("n").over(own.orderBy("bucket")))
-    return ran.groupBy(*groups, "stat").agg(F.first("rows").alias("rows"), *[bucket_value(F.min(F.when(F.col("upto") >= F.ceil(q * F.col("rows")), F.col("bucket")))).alias(name) for name, q in shares.items()])
+    ran = sketch.withColumn("_all", F.sum("weight").over(own)).withColumn("_zero", F.sum(F.when(F.col("bucket") < 0, F.col("weight")).otherwise(0)).over(own)).withColumn("_upto", F.sum("weight").over(own.orderBy("bucket")))
+    reached = lambda q, above: (F.col("bucket") >= 0) & (F.col("_all") > F.col("_zero")) & ((F.col("_upto") - F.col("_zero")) * 1000 >= F.lit(q) * (F.col("_all") - F.col("_zero"))) if above else F.col("_upto") * 1000 >= F.lit(q) * F.col("_all")
+    return ran.groupBy(*groups, "stat").agg(*[F.min(F.when(reached(q, above), F.col("bucket"))).alias(name) for name, (q, above) in shares.items()])
 
 
-def thresholds(measured: DataFrame, *, lang: str = "lang", source: str = "source", tails: dict[str, float] = TAIL, fence: float = FENCE, tie: float = TIE, least_rows: int = LEAST_ROWS) -> DataFrame:
+def thresholds(measured: DataFrame, *, lang: str = "lang", source: str = "source", tails: dict[str, int] = TAIL, fence: float = FENCE, prior: int = PRIOR) -> DataFrame:
     """A row for each (lang, source) that has documents, nulls being groups too: max_<stat> of every statistic."""
     stats = sorted(tails)
-    shares = {"mid": F.lit(0.5), "tail": F.create_map(*[F.lit(x) for s in stats for x in (s, tails[s])])[F.col("stat")]}
-    own = sketches(measured, [lang, source], stats)
-    by_lang = own.groupBy(lang, "stat", "bucket").agg(F.sum("n").alias("n"))
-    overall = by_lang.groupBy("stat", "bucket").agg(F.sum("n").alias("n"))
-    first = quantiles(own, [lang, source], shares)
-    second = quantiles(by_lang, [lang], shares).select(F.col(lang).alias("_lang"), F.col("stat").alias("_stat"), F.struct("rows", "mid", "tail").alias("_by_lang"))
-    third = quantiles(overall, [], shares).select(F.col("stat").alias("_stat3"), F.struct("rows", "mid", "tail").alias("_overall"))
-    joined = first.join(second, F.col(lang).eqNullSafe(F.col("_lang")) & (F.col("stat") == F.col("_stat"))).join(third, F.col("stat") == F.col("_stat3"))
-    chosen = F.when(F.col("rows") >= least_rows, F.struct("rows", "mid", "tail")).when(F.col("_by_lang.rows") >= least_rows, F.col("_by_lang")).otherwise(F.col("_overall"))
-    limit = joined.select(lang, source, "stat", chosen.alias("q")).withColumn("limit", F.greatest(F.col("q.tail") + fence * (F.col("q.tail") - F.col("q.mid")), F.lit(tie)))
-    limit = limit.withColumn("limit", F.round("limit", 9))  # the last digits of powers differ between platforms
-    return limit.groupBy(lang, source).agg(*[F.max(F.when(F.col("stat") == s, F.col("limit"))).alias(f"max_{s}") for s in stats])
-
-
-def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", tails: dict[str, float] = TAIL, keep_text: bool = False, **options) -> DataFrame:
+    own = staged(sketches(measured.withColumnsRenamed({lang: "lang", source: "source"}), ["lang", "source"], stats), "sketches")
+    tail = F.create_map(*[F.lit(x) for s in stats for x in (s, tails[s])])[F.col("stat")]
+    q = quantiles(merged(own, prior), ["lang", "source"], {"mid": (500, False), "tail": (tail, False), "low": (LOW, True), "high": (HIGH, True)})
+    v = {c: bucket_value(F.col(c)) for c in ("mid", "tail", "low", "high")}
+    fenced = F.greatest(v["tail"] + fence * (v["tail"] - v["mid"]), v["tail"] * (1 + 2 * ERROR))
+    limit = F.when(F.col("tail") >= 0, fenced).when(F.col("low").isNotNull(), v["low"] * F.pow(v["low"] / v["high"], F.lit(fence))).otherwise(F.lit(NONE))
+    limit = F.round(limit, 9)  # the last digits of powers differ between platforms
+    limits = q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("stat") == s, limit)).alias(f"max_{s}") for s in stats])
+    limits = staged(limits, "thresholds")
+    discard(own)
+    return limits.withColumnsRenamed({"lang": lang, "source": source})
+
+
+def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", tails: dict[str, int] = TAIL, keep_text: bool = False, **options) -> DataFrame:
     """docs with their statistics, thresholds, base_failed and kept.
 
     Null, empty and all-space texts have zeros everywhere and fail for having under 50 words. Null languages or sources
@@ -138,7 +162,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     docs = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in made])
     measured = staged(measure(docs, text=text, keep_text=keep_text), "quality")
     groups = measured.where("not base_failed").select(F.col(quoted(lang)).alias("lang"), F.col(quoted(source)).alias("source"), *tails)
-    limits = staged(thresholds(groups, tails=tails, **options), "thresholds")
+    limits = thresholds(groups, tails=tails, **options)
     near, far = unused(measured.columns, "own_lang"), unused(measured.columns, "own_source")
     limits = limits.withColumnsRenamed({"lang": near, "source": far})
     if limits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else Spark shuffles both sides and splits hot groups

@@ -123,7 +123,10 @@ def _quality_sql() -> str:
     count = lambda chars: f"length(t) - length(regexp_replace(t, '{chars}', '', 'g'))"
     value = lambda n: f"CASE WHEN {n} < 0 THEN 0.0 ELSE pow({gamma!r}, {n} - 4000) * (2 / ({gamma!r} + 1)) END"
     each = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS stat, {q} AS share, {s} AS x FROM m WHERE NOT base_failed" for s, q in quality_rules.TAIL.items())
-    level = lambda keys, name: f"{name}r AS (SELECT {keys} stat, share, b, sum(n) OVER (PARTITION BY {keys} stat) AS rows_, sum(n) OVER (PARTITION BY {keys} stat ORDER BY b) AS upto FROM (SELECT {keys} stat, share, b, sum(n) AS n FROM k GROUP BY {keys} stat, share, b)), {name} AS (SELECT {keys} stat, rows_, {value('min(b) FILTER (upto >= ceil(0.5 * rows_))')} AS mid, {value('min(b) FILTER (upto >= ceil(share * rows_))')} AS tail FROM {name}r GROUP BY {keys} stat, rows_)"
+    k = quality_rules.PRIOR
+    above = lambda q: f"min(b) FILTER (b >= 0 AND every > zero AND (upto - zero) * 1000 >= {q} * (every - zero))"
+    tail, low = value("tail"), value("low")
+    limit = f"CASE WHEN tail >= 0 THEN greatest({tail} + {quality_rules.FENCE} * ({tail} - {value('mid')}), {tail} * {1 + 2 * quality_rules.ERROR!r}) WHEN low IS NOT NULL THEN {low} * pow({low} / ({value('high')}), {quality_rules.FENCE}) ELSE {quality_rules.NONE} END"
     return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, [x FOR x IN regexp_split_to_array(t, '{space}+') IF x <> ''] AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^ 	-
 ]')] AS ls FROM d),
@@ -133,9 +136,12 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 s AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls) AS lines, {count('[A-Z]')} AS upper, {count('!')} AS bangs FROM w LEFT JOIN c USING (doc_id)),
 m AS (SELECT *, {', '.join(f'CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END AS {k}' for k, (a, b) in stats.items())}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
 k AS (SELECT lang, source, stat, share, CASE WHEN x > 0 THEN greatest(CAST(ceil(ln(x) / {math.log(gamma)!r}) AS BIGINT) + 4000, 0) ELSE -1 END AS b, count(*) AS n FROM ({each}) GROUP BY ALL),
-{level('lang, source,', 'own')}, {level('lang,', 'mid_')}, {level('', 'all_')},
-q AS (SELECT o.lang, o.source, o.stat, CASE WHEN o.rows_ >= {quality_rules.LEAST_ROWS} THEN [o.mid, o.tail] WHEN l.rows_ >= {quality_rules.LEAST_ROWS} THEN [l.mid, l.tail] ELSE [a.mid, a.tail] END AS x FROM own o JOIN mid_ l ON l.lang IS NOT DISTINCT FROM o.lang AND l.stat = o.stat JOIN all_ a ON a.stat = o.stat),
-z AS (SELECT lang, source, {', '.join(f"max(round(greatest(x[2] + {quality_rules.FENCE} * (x[2] - x[1]), {quality_rules.TIE}), 9)) FILTER (stat = '{k}') AS max_{k}" for k in sorted(stats))} FROM q GROUP BY 1, 2)
+kl AS (SELECT lang, stat, b, sum(n) AS n FROM k GROUP BY ALL), ka AS (SELECT stat, b, sum(n) AS n FROM k GROUP BY ALL), ra AS (SELECT stat, sum(n) AS r FROM k GROUP BY 1), rl AS (SELECT lang, stat, sum(n) AS r FROM k GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, g.stat, g.share, ka.b, CAST(coalesce(k.n, 0) AS HUGEINT) * ra.r * (rl.r + {k}) + {k} * (CAST(coalesce(kl.n, 0) AS HUGEINT) * ra.r + {k} * ka.n) AS weight
+ FROM (SELECT DISTINCT lang, source, stat, share FROM k) g JOIN ka ON ka.stat = g.stat JOIN ra ON ra.stat = g.stat JOIN rl ON rl.lang IS NOT DISTINCT FROM g.lang AND rl.stat = g.stat LEFT JOIN kl ON kl.lang IS NOT DISTINCT FROM g.lang AND kl.stat = g.stat AND kl.b = ka.b LEFT JOIN k ON k.lang IS NOT DISTINCT FROM g.lang AND k.source IS NOT DISTINCT FROM g.source AND k.stat = g.stat AND k.b = ka.b),
+ran AS (SELECT *, sum(weight) OVER (PARTITION BY lang, source, stat) AS every, sum(CASE WHEN b < 0 THEN weight ELSE 0 END) OVER (PARTITION BY lang, source, stat) AS zero, sum(weight) OVER (PARTITION BY lang, source, stat ORDER BY b) AS upto FROM grid),
+q AS (SELECT lang, source, stat, min(b) FILTER (upto * 1000 >= 500 * every) AS mid, min(b) FILTER (upto * 1000 >= share * every) AS tail, {above(quality_rules.LOW)} AS low, {above(quality_rules.HIGH)} AS high FROM ran GROUP BY 1, 2, 3),
+z AS (SELECT lang, source, {', '.join(f"max(round({limit}, 9)) FILTER (stat = '{x}') AS max_{x}" for x in sorted(stats))} FROM q GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({' OR '.join(f'coalesce({k} > max_{k}, false)' for k in stats)}) AS kept, {', '.join(stats)}, {', '.join(f'max_{k}' for k in sorted(stats))}
 FROM m LEFT JOIN z ON z.lang IS NOT DISTINCT FROM m.lang AND z.source IS NOT DISTINCT FROM m.source"""
 
