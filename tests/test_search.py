@@ -115,28 +115,71 @@ def test_via_records(spark):
     assert len(mixed) == 9 and {r["fwd_spec"]: r["feasible"] for r in mixed if r["fwd_spec"] == r["bwd_spec"]} == {s: r["profile_feasible"] for s, r in rows.items()}
 
 
-def test_seeds():
+def spread(spark, at, score=None):
+    rows = [(k, float(x), float(y), float(score[k]) if score is not None else 0.0) for k, (x, y) in enumerate(at)]
+    return spark.createDataFrame(rows, "node long, x double, y double, score double").repartition(3)
+
+
+def test_seeds(spark):
     rng = np.random.default_rng(0)
     at, score = rng.uniform(0, 100, (60, 2)), rng.integers(1, 5, 60).astype(float)
-    own = seeds.spread_sample(at, 8, score, 0.25, 7)
-    assert len(set(own)) == 8 and own[0] == int(score.argmax()) and own == seeds.spread_sample(at, 8, score, 0.25, 7)
-    assert sorted(seeds.spread_sample(np.zeros((5, 2)), 5)) == [0, 1, 2, 3, 4]
+    points = spread(spark, at, score).cache()
+    own = [r["node"] for r in seeds.spread_sample(points, 15, 0.25, 7)]
+    assert len(set(own)) == 15 and own[0] == int(score.argmax()) and own == [r["node"] for r in seeds.spread_sample(points.repartition(5), 15, 0.25, 7)]
+    assert sorted(r["node"] for r in seeds.spread_sample(spread(spark, np.zeros((5, 2))), 5)) == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
-        seeds.spread_sample(at[:3], 4)
-    filled = seeds.deduplicated([3, 3, 9], at, 6)
-    assert filled[:2] == [3, 9]
-    for k in range(2, 6):
+        seeds.spread_sample(spread(spark, at[:3]), 4)
+    filled = seeds.deduplicated([3, 3, 9], points, 16)
+    assert filled[:2] == [3, 9] and len(set(filled)) == 16
+    for k in range(2, 16):
         near = [min(((p - at[i]) ** 2).sum() for i in filled[:k]) for p in at]
         assert near[filled[k]] == max(near)
-    moved = seeds.refined(at[own], at, 2, 5, 20, 1)
-    assert moved.shape == (8, 2) and (moved != at[own]).any() and np.array_equal(seeds.refined(at[own], at[:0]), at[own])
-
-
-def test_blobs_have_bounded_radius():
-    near = {x: [y for y in (x - 1, x + 1) if 0 <= y < 30] for x in range(30)}
-    cell = seeds.blobs(near, 3, [10, 11, 20])
-    assert set(cell) == set(range(30)) and [x for x in range(30) if cell[x] == 0] == [8, 9, 10, 11, 12] and cell[20] == 1
-    assert all(sum(c == k for c in cell.values()) <= 5 for k in set(cell.values()))
+    assert sorted(seeds.deduplicated([], points, 70)) == list(range(60))
+    centers = [tuple(at[k]) for k in own[:4]]
+    moved = seeds.refined(centers, points, 1, 2, 60, 1)  # a batch of all points: one step of the plain rule, twice
+    seen, want = np.zeros(4), np.array(centers)
+    for _ in range(2):
+        owner = ((at[:, None] - want[None]) ** 2).sum(-1).argmin(1)
+        for j in range(4):
+            mine = at[owner == j]
+            seen[j] += len(mine)
+            if len(mine):
+                want[j] += len(mine) / seen[j] * (mine.mean(0) - want[j])
+    assert np.allclose(moved, want) and seeds.refined(centers, points.limit(0)) == centers
+
+
+def test_draws_follow_their_weights(spark):
+    points = spark.range(4).select(F.col("id").alias("node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    draws = points.crossJoin(spark.range(4000).select(F.col("id").alias("turn")))
+    time = -F.log((F.pmod(F.xxhash64("node", F.lit(3), F.col("turn").cast("int")), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / (F.col("node") + 1)
+    won = dict(draws.groupBy("turn").agg(F.min_by("node", time).alias("node")).groupBy("node").count().collect())
+    assert all(abs(won[k] / 4000 - (k + 1) / 10) < 0.03 for k in range(4))
+    assert seeds.raced(points, F.lit(0.0), 1, 1) is None and seeds.raced(points, F.when(F.col("node") == 2, 1.0).otherwise(0.0), 1, 1)["node"] == 2
+
+
+def test_nearest_sites_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    sites = np.concatenate([rng.integers(0, 40, (60, 2)), [[5000, 7000], [5000, 7001]], [[3, 3], [3, 3]]])
+    at = np.concatenate([rng.integers(-30, 90, (400, 2)), rng.integers(0, 8000, (60, 2)), [[5000, 7000]]])
+    frame = lambda rows, key: spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rows)], f"{key} long, x double, y double")
+    from waywright.operators.nearest import nearest
+
+    got = {r["node"]: (r["cell"], r["d2"]) for r in nearest(frame(at, "node"), frame(sites, "cell")).collect()}
+    far = ((at[:, None] - sites[None]) ** 2).sum(-1)
+    assert got == {k: (int(d.argmin()), float(d.min())) for k, d in enumerate(far)}
+    assert nearest(frame(at, "node"), frame(sites, "cell").limit(0)).count() == 0
+    assert nearest(frame(at, "node"), frame(sites[:1], "cell")).count() == len(at)
+
+
+def test_blobs_have_bounded_radius(spark):
+    links = [(x, y) for x in range(30) for y in (x - 1, x + 1) if 0 <= y < 30] + [(40, 41)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    nodes = spark.createDataFrame([(x,) for x in [*range(30), 40, 41, 50]], "node long")
+    first = spark.createDataFrame([(10,), (11,), (20,)], "node long")
+    rows = {r["node"]: (r["root"], r["hop"]) for r in seeds.blobs(edges, nodes, 3, first).collect()}
+    assert len(rows) == 33 and rows[10] == (10, 0) and rows[9] == (10, 1) and rows[12] == (11, 1) and rows[50] == (50, 0)
+    for x, (root, hop) in rows.items():
+        assert hop == abs(x - root) <= 2 and all(rows[y][0] == root for y in range(min(x, root), max(x, root) + 1))
 
 
 def test_random_costs_are_those_of_one_generator(spark):
@@ -198,6 +241,9 @@ def test_label_setting_finds_a_feasible_simple_path(spark):
             nodes = [0, *[way[k][2] for k in got["edges"]]]
             assert nodes == got["path"] and len(set(nodes)) == len(nodes)
             assert any(abs(got["length"] - r[0]) < 1e-9 and abs(got["pop_len"] - r[2]) < 1e-9 for r in fits)
+        assert got["capped"] == 0
+        narrow = labels.search(e, box, per_node=1, beam=2).first()
+        assert narrow["status"] == "found" if narrow["capped"] == 0 and fits else narrow["status"] in ("found", "exhausted")
     assert labels.search(e, costs.Box("b", 0, 5, 0.0, 30.0, 0.0, 40.0, 0.0, 30.0), most=0).first()["status"] == "budget_reached"
 
 

@@ -237,6 +237,14 @@ def box_center(box: Box) -> Column:
     return F.greatest(*[F.abs(F.col(c) - (lo + hi) / 2) / max((hi - lo) / 2, 1.0) for c, lo, hi in bounds])
 
 
+def box_center_of_sums(box: Box) -> Column:
+    """box_center of columns length, gain, pop_len and wid_len."""
+    l = F.col("length")
+    mean = lambda c: F.when(l > 0, F.col(c) / l).otherwise(F.lit(0.0))
+    bounds = [(l, box.Lmin, box.Lmax), (F.col("gain"), box.Hmin, box.Hmax), (mean("pop_len"), box.Pmin, max(255.0, box.Pmin + 1)), (mean("wid_len"), min(5.0, box.Wmax - 1), box.Wmax)]
+    return F.greatest(*[F.abs(c - (lo + hi) / 2) / max((hi - lo) / 2, 1.0) for c, lo, hi in bounds])
+
+
 def chebyshev(lower: list[float], upper: list[float], weights: list[float], columns=("L", "H", "P", "W")) -> Column:
     """Weighted largest distance from the middle; a range of no width counts nothing."""
     parts = []

@@ -1,111 +1,81 @@
-"""Bounded label setting: the search for a first feasible route of a box among simple paths.
+"""Bulk label setting: a feasible simple route of a box, found by rounds over tables of partial routes.
 
-Labels are partial routes, taken by a priority that looks at the least length they can end with and at how far climb, width
-and popularity are from the box. Those that must exceed the box's length or climb go, and a node keeps at most per_node
-labels, the best by priority, length and age. The order of labels decides what is kept, so a query is one task; its edges,
-usually those of a corridor, must be few enough for one (graph.fits)."""
+A label is a partial route from the source. Each round the most promising open labels, as many as the beam is wide, step over
+all their edges in one join. Steps that meet the route again go, and those that can't end within the box's length or climb, as
+the least remaining length and climb tell. Labels are ordered by how far the box is from what they would be, were they to end
+over the shortest way with the means they have, then by the length that remains. A node keeps the per_node first open ones."""
 
 from __future__ import annotations
 
-import heapq
-from bisect import insort
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waywright.functions import costs
 from waywright.functions.costs import Box
 from waywright.operators import graph
-
-FOUND = "query string, status string, path array<bigint>, edges array<bigint>, length double, gain double, pop_len double, wid_len double, road_changes int, expanded long, made long, pruned long"
-NAMES = [c.split()[0] for c in FOUND.split(", ")]
-
-
-def rest(into: dict[int, list[tuple]], target: int, part: int) -> dict[int, float]:
-    """Least sums of part 2 (length) or 3 (gain) of edges (edge_id, from, length, gain) from every node to target."""
-    done, heap = {}, [(0.0, target)]
-    while heap:
-        d, x = heapq.heappop(heap)
-        if x in done:
-            continue
-        done[x] = d
-        for e in into.get(x, ()):
-            if e[1] not in done:
-                heapq.heappush(heap, (d + e[part], e[1]))
-    return done
-
-
-def priority(box: Box) -> Callable[[float, float, float, float, float], float]:
-    """Of a label with length, gain, popularity and width sums and the least remaining length; lower is better."""
-    middle = (box.Lmin + box.Lmax) / 2
-
-    def of(l: float, g: float, p: float, w: float, remaining: float) -> float:
-        whole = l + remaining
-        per = max(l, 1.0)
-        return 1e6 * max(0.0, whole - box.Lmax) + abs(whole - middle) + 8.0 * max(0.0, w - box.Wmax * l) / per + 5.0 * max(0.0, box.Pmin * l - p) / per + 20.0 * max(0.0, box.Hmin - g)
-
-    return of
-
-
-def first_feasible(edges: list[tuple], box: Box, per_node: int = 80, most: int = 250_000) -> tuple:
-    """edges: (edge_id, u, v, length, gain, popularity, width, road or None), in the order in which a node's are taken."""
-    out_of: dict[int, list[tuple]] = {}
-    into: dict[int, list[tuple]] = {}
-    for e in edges:
-        out_of.setdefault(e[1], []).append(e)
-        into.setdefault(e[2], []).append((e[0], e[1], e[3], e[4]))
-    far, high = rest(into, box.target, 2), rest(into, box.target, 3)
-    of = priority(box)
-    # label: node, length, gain, popularity, width, road, changes, parent, edge
-    labels = [(box.source, 0.0, 0.0, 0.0, 0.0, None, 0, None, None)]
-    kept: dict[int, list[tuple]] = {box.source: [(0.0, 0.0, 0)]}
-    dropped: set[int] = set()
-    queue, pushed, expanded, pruned = [(of(0.0, 0.0, 0.0, 0.0, far.get(box.source, float("inf"))), 0, 0)], 1, 0, 0
-
-    def chain(k):
-        while k is not None:
-            yield labels[k]
-            k = labels[k][7]
-
-    while queue and expanded < most:
-        _, _, k = heapq.heappop(queue)
-        if k in dropped:
-            continue
-        expanded += 1
-        x, l, g, p, w, road, changes, _, _ = labels[k]
-        if x == box.target:
-            if box.Lmin <= l <= box.Lmax and box.Hmin <= g <= box.Hmax and p >= box.Pmin * l and w <= box.Wmax * l:
-                way = list(chain(k))[::-1]
-                return ("found", [y[0] for y in way], [y[8] for y in way[1:]], l, g, p, w, changes, expanded, len(labels), pruned)
-            continue
-        seen = {y[0] for y in chain(k)}
-        for e, _, y, dl, dg, pop, wid, own in out_of.get(x, ()):
-            nl, ng = l + dl, g + dg
-            if y in seen or nl > box.Lmax or ng > box.Hmax or nl + far.get(y, float("inf")) > box.Lmax or ng + high.get(y, float("inf")) > box.Hmax:
-                pruned += 1
-                continue
-            fresh = len(labels)
-            labels.append((y, nl, ng, p + dl * pop, w + dl * wid, own, changes + (road is not None and own != road), k, e))
-            rank = of(nl, ng, labels[-1][3], labels[-1][4], far[y])
-            mine = kept.setdefault(y, [])
-            insort(mine, (rank, nl, fresh))
-            if len(mine) > per_node:
-                dropped.add(mine.pop()[2])
-            if fresh not in dropped:
-                heapq.heappush(queue, (rank, pushed, fresh))
-                pushed += 1
-    return ("budget_reached" if queue else "exhausted", None, None, None, None, None, None, None, expanded, len(labels), pruned)
-
-
-def search(edges: DataFrame, box: Box, per_node: int = 80, most: int = 250_000) -> DataFrame:
-    """FOUND of one box over edges; without a route only status and counts."""
-    if not graph.fits(edges):
-        raise ValueError(f"label setting takes at most {graph.KERNEL_EDGES} edges; restrict them to a corridor")
-
-    def run(keys, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("edge_id")
-        rows = [(e.edge_id, e.u, e.v, e.length, e.gain, e.popularity, e.width, None if pd.isna(e.road_id) else e.road_id) for e in frame.itertuples()]
-        return pd.DataFrame([(box.name, *first_feasible(rows, box, per_node, most))], columns=NAMES).astype({"road_changes": "Int32"})
-
-    return edges.select("edge_id", "u", "v", "length", "gain", "popularity", "width", "road_id", F.lit(0).alias("_k")).groupBy("_k").applyInPandas(run, FOUND)
+from waywright.storage import dropped, stored
+
+SUMS = ["length", "gain", "pop_len", "wid_len"]
+LABEL = ["node", "path", "edges", *SUMS, "road", "road_changes", "miss", "rest", "label"]
+
+
+def remaining(edges: DataFrame, target: int) -> DataFrame:
+    """(node, rest, climb): least length and least climb from every node to target."""
+    goal = edges.sparkSession.range(1).select(F.lit(target).cast("long").alias("node"))
+    far = graph.distances(edges, goal, reverse=True).withColumnRenamed("dist", "rest")
+    return far.join(graph.distances(edges, goal, cost="gain", reverse=True).withColumnRenamed("dist", "climb"), "node")
+
+
+def miss(box: Box, length: Column, gain: Column, pop_len: Column, wid_len: Column, rest: Column) -> Column:
+    """The largest scaled violation of a label that goes on over rest with its present means."""
+    mean = lambda c, none: F.when(length > 0, c / length).otherwise(F.lit(none))
+    values = {"L": length + rest, "H": gain, "P": mean(pop_len, box.Pmin), "W": mean(wid_len, box.Wmax)}
+    low_l, high_l, low_h, high_h, low_p, high_w = costs.scales(box)
+    return F.greatest(F.lit(0.0), (box.Lmin - values["L"]) / low_l, (values["L"] - box.Lmax) / high_l, (box.Hmin - values["H"]) / low_h, (values["H"] - box.Hmax) / high_h, (box.Pmin - values["P"]) / low_p, (values["W"] - box.Wmax) / high_w)
+
+
+def step(front: DataFrame, links: DataFrame, box: Box) -> DataFrame:
+    """Every edge out of every label of front: the new label, with why it goes (null: it stays)."""
+    joined = front.select(*[F.col(c).alias(f"_{c}") for c in LABEL]).join(links, F.col("_node") == F.col("u"))
+    length, gain = F.col("_length") + F.col("length"), F.col("_gain") + F.col("gain")
+    pop_len, wid_len = F.col("_pop_len") + F.col("length") * F.col("popularity"), F.col("_wid_len") + F.col("length") * F.col("width")
+    why = F.when(F.array_contains("_path", F.col("v")), "met").when(length + F.col("rest") > box.Lmax + graph.EPS, "too_long").when(gain + F.col("climb") > box.Hmax + graph.EPS, "too_high")
+    changes = F.col("_road_changes") + F.coalesce((F.col("_road") != F.col("road_id")).cast("int"), F.lit(0))
+    edges = F.concat("_edges", F.array("edge_id"))
+    return joined.select(F.col("v").alias("node"), F.concat("_path", F.array("v")).alias("path"), edges.alias("edges"), length.alias("length"), gain.alias("gain"), pop_len.alias("pop_len"), wid_len.alias("wid_len"), F.coalesce("road_id", "_road").alias("road"), changes.alias("road_changes"), miss(box, length, gain, pop_len, wid_len, F.col("rest")).alias("miss"), "rest", F.xxhash64(edges).alias("label"), why.alias("why"))
+
+
+def search(edges: DataFrame, box: Box, per_node: int = 80, most: int = 250_000, beam: int = 4096) -> DataFrame:
+    """One row: query, status, path, edges, sums, road_changes, expanded, made, pruned, capped. most: labels to expand.
+
+    status is `found`, `exhausted` (no label is left: no feasible route if capped is 0) or `budget_reached`."""
+    spark = edges.sparkSession
+    links = stored(edges.select("edge_id", "u", "v", *graph.METRICS, F.when(F.col("road_id") >= 0, F.col("road_id")).alias("road_id")).join(remaining(edges, box.target).withColumnRenamed("node", "v"), "v"), "links")
+    none = F.lit(None).cast("long")
+    open_ = stored(spark.range(1).select(F.lit(box.source).cast("long").alias("node"), F.array(F.lit(box.source).cast("long")).alias("path"), F.array().cast("array<bigint>").alias("edges"), *[F.lit(0.0).alias(c) for c in SUMS], none.alias("road"), F.lit(0).alias("road_changes"), F.lit(0.0).alias("miss"), F.lit(0.0).alias("rest"), F.lit(0).cast("long").alias("label")), "open")
+    order, status, n = ["miss", "rest", "label"], "exhausted", dict.fromkeys(("expanded", "made", "pruned", "capped"), 0)
+    won = open_.where((F.col("node") == box.target) & costs.feasible_mul(box))
+    while won.isEmpty():
+        if n["expanded"] >= most:
+            status = "budget_reached" if not open_.isEmpty() else status
+            break
+        front = stored(open_.orderBy(*order).limit(min(beam, most - n["expanded"])), "front")
+        taken = front.count()
+        if not taken:
+            break
+        steps = stored(step(front.where(F.col("node") != box.target), links, box), "steps")
+        made, pruned = steps.agg(F.count("*"), F.count("why")).first()
+        fresh = steps.where("why IS NULL")
+        won = fresh.where((F.col("node") == box.target) & costs.feasible_mul(box))
+        rest = open_.join(front.select("label"), "label", "left_anti").select(*LABEL).unionByName(fresh.where(F.col("node") != box.target).select(*LABEL))
+        placed = stored(rest.withColumn("_place", F.row_number().over(Window.partitionBy("node").orderBy(*order))), "open")
+        over = placed.where(F.col("_place") > per_node).count()
+        before, open_ = open_, placed.where(F.col("_place") <= per_node).drop("_place")
+        for name, more in zip(n, (taken, made, pruned, over), strict=True):
+            n[name] += more
+        dropped(before, front)
+    else:
+        status = "found"
+    best = won.withColumn("_score", costs.box_center_of_sums(box)).orderBy("_score", "label").limit(1).select("path", "edges", *SUMS, "road_changes")
+    told = spark.range(1).select(F.lit(box.name).alias("query"), F.lit(status).alias("status"), *[F.lit(v).cast("long").alias(k) for k, v in n.items()])
+    return told.join(best, F.lit(True), "left").select("query", "status", "path", "edges", *SUMS, "road_changes", *n)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waywright.storage import ship
@@ -12,11 +12,11 @@ from waywright.storage import ship
 KEYS = ("centered_score", "shortest_length", "lowest_elevation", "best_popularity", "best_width", "fewest_road_changes")
 
 
-def representatives(labels: DataFrame, limit: int = 4) -> DataFrame:
-    """Per (dir, portal) at most limit labels, with wins and place. A label wins a key where its value is least, ties going to
+def representatives(labels: DataFrame, limit: int | Column = 4, keys: list[str] | None = None) -> DataFrame:
+    """Per (dir, portal), or other keys, at most limit labels, with wins and place. A label wins a key where its value is least, ties going to
     the better sort key and then the lower label; a label of no length can't win the two means. Winners come first, by the
     number of their wins and their first key, then the others by sort key."""
-    own = Window.partitionBy("dir", "portal")
+    own = Window.partitionBy(*(keys or ["dir", "portal"]))
     mean = lambda c: F.when(F.col("length") > 0, -F.col(c) / F.col("length"))
     values = dict(zip(KEYS, (F.col("priority"), F.col("length"), F.col("gain"), mean("pop_len"), mean("wid_len"), F.col("road_changes")), strict=True))
     sort = [F.col("priority"), F.col("length"), F.col("gain"), F.coalesce(mean("pop_len"), F.lit(0.0)), F.coalesce(mean("wid_len"), F.lit(0.0)), F.col("road_changes"), F.col("label")]

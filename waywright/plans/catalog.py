@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waywright.functions import costs, geo, paths
 from waywright.functions.costs import Box
-from waywright.operators import audit, graph, network, portal, reports, via
+from waywright.operators import audit, graph, nearest, network, portal, reports, via
 from waywright.plans import extra, more, records
 from waywright.sources import lattice, text_files
 from waywright.sources.lattice import SQL
@@ -532,11 +532,10 @@ def agg_metric_constants(spark, sf_dir):
 
 @query(f"WITH {SQL} SELECT p_partkey AS part, arg_min(cell, {{'d': (n.x_m - s.x_m) * (n.x_m - s.x_m) + (n.y_m - s.y_m) * (n.y_m - s.y_m), 'c': cell}}) AS cell FROM part p JOIN nodes n ON n.id = p_partkey, (SELECT cell, x_m, y_m FROM seeds JOIN nodes ON id = node) s GROUP BY 1")
 def join_nearest_node(spark, sf_dir):
-    """The seed nearest to each node; seeds are as many as asked for."""
-    n = lattice.nodes(spark, sf_dir).select("id", "x_m", "y_m")
-    s = lattice.seeds(spark, sf_dir).join(n.select(F.col("id").alias("node"), F.col("x_m").alias("sx"), F.col("y_m").alias("sy")), "node").drop("node")
-    d = (F.col("x_m") - F.col("sx")) * (F.col("x_m") - F.col("sx")) + (F.col("y_m") - F.col("sy")) * (F.col("y_m") - F.col("sy"))
-    return n.crossJoin(F.broadcast(s)).groupBy(F.col("id").alias("part")).agg(F.min_by("cell", F.struct(d, "cell")).alias("cell"))
+    """The seed nearest to each node."""
+    n = lattice.nodes(spark, sf_dir).select(F.col("id").alias("part"), F.col("x_m").alias("x"), F.col("y_m").alias("y"))
+    s = lattice.seeds(spark, sf_dir).join(n.withColumnRenamed("part", "node"), "node").select("cell", "x", "y")
+    return nearest.nearest(n, s, "part", "cell").select("part", "cell")
 
 
 @query(f"{_KEPT}, g AS (SELECT edge_id FROM edges WHERE u IN (SELECT node FROM kept) AND v IN (SELECT node FROM kept)) SELECT (SELECT count(*) FROM edges) AS full_edges, (SELECT count(*) FROM g) AS geometric_edges, (SELECT count(*) FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM g)) AS only_full")

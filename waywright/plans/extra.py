@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waywright.functions import costs, paths
-from waywright.operators import graph, network, reports, search, seeds, via, workloads
+from waywright.operators import anytime, graph, network, search, seeds, via, workloads
+from waywright.operators import local as local_search
 from waywright.sources import lattice, text_files
 from waywright.sources.lattice import SQL
 from waywright.storage import shared_folder, ship, stored
@@ -78,7 +79,7 @@ def random_costs(edges: DataFrame, seed: int) -> DataFrame:
     return edges.select("edge_id", "length").mapInPandas(run, "edge_id long, cost double")
 
 
-def retained(own: DataFrame, box: costs.Box, most: int = 80) -> DataFrame:
+def retained(own: DataFrame, most: int = 80) -> DataFrame:
     """Per portal at most most labels. Selectors are taken in turn, but each gives its whole order; so the first decides."""
     return own.withColumn("place", F.row_number().over(Window.partitionBy("portal").orderBy("priority", "length", "label"))).where(F.col("place") <= most)
 
@@ -95,9 +96,19 @@ def diverse(entries: DataFrame, limit: int) -> DataFrame:
     return rest.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(stage, *order))).where(F.col("place") <= limit).select("query", "route", "place")
 
 
+_held: dict = {}
+
+
+def held(spark, sf_dir: str, name: str, make):
+    """What make() gives, once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def register(query, c) -> None:
     box = c.BOX
-    one = lambda spark, x: spark.range(1).select(F.lit(x).cast("long").alias("node"))
     edges = lattice.edges
 
     def own_cells(spark, sf_dir):
@@ -164,7 +175,7 @@ def register(query, c) -> None:
 
     @query(f"WITH {LABELS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY portal ORDER BY priority, length, label) AS place FROM labels) SELECT portal, label, CAST(place AS INTEGER) AS place FROM o WHERE place <= 80")
     def win_retain_labels(spark, sf_dir):
-        return retained(labels(spark, sf_dir), box).select("portal", "label", "place")
+        return retained(labels(spark, sf_dir)).select("portal", "label", "place")
 
     @query(f"WITH {LABELS_SQL} SELECT dir, portal, label, length FROM labels WHERE portal IN (3, 17, 99) AND dir = 'bwd' ORDER BY label LIMIT 500")
     def flt_trace(spark, sf_dir):
@@ -197,23 +208,20 @@ def register(query, c) -> None:
         tried = c.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("from_cell"), ((F.col("n_nationkey") + 1) % 20).alias("to_cell"))
         return search.bridge_pairs(own, beside, tried)
 
-    @query(f"WITH {LABELS_SQL} SELECT dir, count(*) AS labels, count(DISTINCT portal) AS portals, count(*) FILTER (length > 400) AS too_long, count(*) FILTER (gain > 45) AS too_high, count(*) FILTER (road_changes > 6) AS many_changes, max(length) AS longest FROM labels GROUP BY 1")
+    @query()
     def agg_audit(spark, sf_dir):
-        """Counters of a search by direction."""
-        return labels(spark, sf_dir).groupBy("dir").agg(F.count("*").alias("labels"), F.count_distinct("portal").alias("portals"), F.count_if(F.col("length") > 400).alias("too_long"), F.count_if(F.col("gain") > 45).alias("too_high"), F.count_if(F.col("road_changes") > 6).alias("many_changes"), F.max("length").alias("longest"))
+        """Counters of the search by round and direction: what became of every step, edges learnt, stuck portals."""
+        return main(spark, sf_dir).events().select("round", "dir", "event", "n")
 
     @query(f"WITH {LABELS_SQL}, n AS (SELECT dir, portal, count(*) AS n FROM labels GROUP BY 1, 2) SELECT dir, n, count(*) AS portals, min(portal) AS example FROM n GROUP BY 1, 2")
     def agg_capacity_diag(spark, sf_dir):
         """How many portals hold how many labels, with one of each."""
         return labels(spark, sf_dir).groupBy("dir", "portal").agg(F.count("*").alias("n")).groupBy("dir", "n").agg(F.count("*").alias("portals"), F.min("portal").alias("example"))
 
-    @query(f"WITH {LABELS_SQL}, n AS (SELECT dir, portal, count(*) AS n FROM labels GROUP BY 1, 2) SELECT dir, portal, n, CAST(row_number() OVER (PARTITION BY dir ORDER BY n DESC, portal) AS INTEGER) AS place FROM n QUALIFY place <= 20")
+    @query()
     def rep_snapshot(spark, sf_dir):
-        """The twenty fullest portals of each direction: of the state of a round."""
-        own = labels(spark, sf_dir).groupBy("dir", "portal").agg(F.count("*").alias("n"))
-        return own.withColumn("place", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("n"), "portal"))).where("place <= 20")
-
-    # ---- paths
+        """The twenty fullest portals of each direction after every round."""
+        return main(spark, sf_dir).snapshot().select("round", "dir", "portal", "n", "place")
 
     @query(f"WITH {c.WALKS_SQL}, {MULTI_SQL}, s AS (SELECT walk, i - 1 AS pos, path[i] AS u, path[i + 1] AS v FROM walks, (SELECT unnest(range(1, 30)) AS i) WHERE i < len(path)), b AS (SELECT u, v, min(edge_id) AS first, CASE WHEN count(*) = 1 THEN min(edge_id) END AS \"unique\", arg_min(edge_id, {{'l': length, 'e': edge_id}}) AS shortest FROM multi GROUP BY 1, 2) SELECT walk, CAST(pos AS INTEGER) AS pos, s.u, s.v, first, \"unique\", shortest FROM s LEFT JOIN b ON s.u = b.u AND s.v = b.v")
     def join_path_edges(spark, sf_dir):
@@ -328,26 +336,40 @@ def register(query, c) -> None:
 
         return lattice.kept(spark, sf_dir, "filled", make)
 
+    def ground(spark, sf_dir):
+        return held(spark, sf_dir, "ground", lambda: anytime.ground(edges(spark, sf_dir), own_cells(spark, sf_dir), spots(spark, sf_dir), [box.source, box.target], longest=box.Lmax))
+
+    def main(spark, sf_dir):
+        """The box's search, with bridges and repairs, until nothing is left or for twenty rounds; its status tells which."""
+        return held(spark, sf_dir, "main", lambda: anytime.Search(ground(spark, sf_dir), {box.name: (box, search.Config())}).go_on(20))
+
     def grown(spark, sf_dir):
-        p = own_cells(spark, sf_dir)
-        return lattice.kept(spark, sf_dir, "labels", lambda s, d: search.grow(stored(search.roots(p, box)), filled(s, d), bounds(s, d), box, p, search.Config()))
+        return main(spark, sf_dir).labels.frame()
 
     @query()
     def ps_advance(spark, sf_dir):
-        """All labels of the search, round by round until no representative is new."""
-        return grown(spark, sf_dir).select("dir", "portal", "label", *search.SUMS, "road_changes", "leak", F.size("cells").alias("n_cells"), F.size("edges").alias("n_edges"))
+        """All labels that were kept in some round, and those that leak."""
+        return grown(spark, sf_dir).select("dir", "portal", "label", *search.SUMS, "road_changes", "leak", F.size("cells").alias("n_cells"), F.size("edges").alias("n_edges"), "round")
 
     @query()
     def ps_join_emit(spark, sf_dir):
         """Routes of labels that meet, checked edge by edge."""
-        own = grown(spark, sf_dir)
-        joined = search.same_portal(own).union(search.one_edge(own, filled(spark, sf_dir)))
-        return via.validated(search.feasible_routes(joined, box, 2), edges(spark, sf_dir), ["route"]).select("route", "score", "length", "x_length", "gain", "x_gain", "road_changes", "connected", "elementary")
+        return via.validated(main(spark, sf_dir).routes(), edges(spark, sf_dir), ["route"]).select("route", "join", "score", "length", "x_length", "gain", "x_gain", "road_changes", "connected", "elementary")
 
     @query()
     def ps_main(spark, sf_dir):
         """The archive of the box's portal search."""
-        return search.finish(grown(spark, sf_dir), filled(spark, sf_dir), edges(spark, sf_dir), box)
+        return main(spark, sf_dir).archive()
+
+    @query()
+    def ps_status(spark, sf_dir):
+        """How the search ended: `exhausted`, or `open` with labels left."""
+        return main(spark, sf_dir).statuses()
+
+    @query()
+    def ps_learnt(spark, sf_dir):
+        """Overlay edges that rounds have added, with their kind: bridges, repairs for stuck portals, crossings into dead ones."""
+        return main(spark, sf_dir).learnt.frame().select("round", "kind", "src", "dst", "from_cell", "to_cell", *search.SUMS, "road_changes", "edges")
 
     @query()
     def ps_bridge(spark, sf_dir):
@@ -381,7 +403,7 @@ def register(query, c) -> None:
         """The labels that the portals of the finished search hold, by wins."""
         from waywright.operators import portal
 
-        return portal.representatives(grown(spark, sf_dir).where("not leak"), 4).select("dir", "portal", "label", "wins", "place", "length", "gain")
+        return main(spark, sf_dir).kept.transform(portal.representatives).select("dir", "portal", "label", "wins", "place", "length", "gain")
 
     @query()
     def ps_archive(spark, sf_dir):
@@ -391,11 +413,37 @@ def register(query, c) -> None:
         other = own.select(F.col("route").alias("other"), F.col("nodes").alias("_n"))
         return own.join(other, F.col("route") < F.col("other")).select("route", "other", F.round(paths.jaccard(F.col("nodes"), F.col("_n")), 6).alias("alike"))
 
-    @query(f"{IN}, d AS (SELECT p.node, count(c.edge_id) AS n FROM portal p LEFT JOIN crossing c ON c.u = p.node GROUP BY 1) SELECT n AS exits, count(*) AS portals FROM d GROUP BY 1")
+    @query()
     def ps_resume(spark, sf_dir):
-        """Portals by the number of their exits; those with one at most are where a search inside the cell would go on."""
-        own = portals(spark, sf_dir).select("node").distinct().join(crossing(spark, sf_dir).select(F.col("u").alias("node"), "edge_id"), "node", "left").groupBy("node").agg(F.count("edge_id").alias("exits"))
-        return own.groupBy("exits").agg(F.count("*").alias("portals"))
+        """Labels that each batch of 64 of a portal's search in its cell has closed; four batches are written at a time, and a
+        search goes on from what is written."""
+        inside = stored(search.in_cells(edges(spark, sf_dir), own_cells(spark, sf_dir)), "inside")
+        own = local_search.LocalSearch(inside, portals(spark, sf_dir), local_search.folder(spark, "resume"), pops=64, hops=4)
+        return own.go_on().progress()
+
+    own_ways = f"""{IN}, walk(cell, root, node, length, gain, wid_len, lack, path) AS (SELECT cell, node, node, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), [node] FROM portal
+ UNION ALL SELECT w.cell, w.root, e.v, w.length + e.length, w.gain + e.gain, w.wid_len + e.length * e.width, w.lack + e.length * (m.top - e.popularity), list_append(w.path, e.v) FROM walk w JOIN inside i ON i.u = w.node JOIN edges e ON e.u = i.u AND e.v = i.v, (SELECT max(popularity) AS top FROM edges) m WHERE NOT list_contains(w.path, e.v) AND w.length + e.length <= 650),
+best AS MATERIALIZED (SELECT DISTINCT cell, root, node, length, gain, wid_len, lack FROM walk a WHERE NOT EXISTS (SELECT 1 FROM walk b WHERE b.root = a.root AND b.node = a.node AND b.length <= a.length AND b.gain <= a.gain AND b.wid_len <= a.wid_len AND b.lack <= a.lack AND (b.length < a.length OR b.gain < a.gain OR b.wid_len < a.wid_len OR b.lack < a.lack)))"""
+
+    def pareto(spark, sf_dir):
+        def make(s, d):
+            inside = stored(search.in_cells(edges(s, d), own_cells(s, d)), "inside")
+            return local_search.LocalSearch(inside, portals(s, d), local_search.folder(s, "local2"), several=True, longest=650.0, pops=None, hops=2).go_on().state
+
+        return lattice.kept(spark, sf_dir, "local2", make)
+
+    @query(f"{own_ways} SELECT cell, root, node, length, gain, wid_len, lack FROM best")
+    def ps_local2(spark, sf_dir):
+        """LOCAL2 of every portal, for ways of up to 650 metres in its cell: all that no other way to the node is as good as in length,
+        climb, width and lack of popularity."""
+        top = edges(spark, sf_dir).agg(F.max("popularity")).first()[0]
+        return pareto(spark, sf_dir).select("cell", "root", "node", "length", "gain", "wid_len", (F.col("length") * top - F.col("pop_len")).alias("lack")).distinct()
+
+    @query(f"{own_ways}, n AS (SELECT cell, root, node, count(*) AS n FROM best WHERE root <> node GROUP BY 1, 2, 3) SELECT cell, count(DISTINCT root) AS portals, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS ways, max(n) AS most, count(*) FILTER (n > 1) AS with_choice FROM n GROUP BY 1")
+    def rep_local2(spark, sf_dir):
+        """What LOCAL2 has beyond LOCAL1's one way for each pair of portal and node, by cell."""
+        n = ps_local2(spark, sf_dir).where("root <> node").groupBy("cell", "root", "node").agg(F.count("*").alias("n"))
+        return n.groupBy("cell").agg(F.count_distinct("root").alias("portals"), F.count("*").alias("pairs"), F.sum("n").alias("ways"), F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("with_choice"))
 
     @query(f"{IN}, d AS (SELECT u AS node, count(*) AS out_ FROM crossing GROUP BY 1) SELECT p.cell, p.node, coalesce(d.out_, 0) AS out_ FROM portal p LEFT JOIN d USING (node)")
     def ps_label_misc(spark, sf_dir):
@@ -635,14 +683,14 @@ def register(query, c) -> None:
         n = r.select((F.col("route") - 1).alias("route"), F.col("P").alias("_p"), F.col("W").alias("_w"))
         return r.join(n, "route").select("route", ((F.col("_w") - F.col("W") <= -0.25) | (F.col("_p") - F.col("P") >= 5)).alias("better"))
 
-    @query("SELECT o_orderkey % 3 AS round_, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS fresh FROM orders GROUP BY 1")
+    @query()
     def ps_debug(spark, sf_dir):
-        """Counts of a search's state by round."""
-        return c.read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 3).alias("round_")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") == "F").cast("int")).cast("decimal(38,0)").alias("fresh"))
+        """The search's state by round and direction: new labels, portals and cells they are at, shortest and longest of them."""
+        own = grown(spark, sf_dir).withColumn("cell", F.element_at("cells", -1))
+        return own.groupBy(F.col("round").alias("round_"), "dir").agg(F.count("*").alias("n"), F.count_distinct("portal").alias("portals"), F.count_distinct("cell").alias("cells"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
 
-    @query("SELECT name, portals, labels, shortcuts, bridges FROM (VALUES ('BASE', 4, 4, 2, 2), ('LABEL8', 4, 8, 2, 2), ('LABEL16', 4, 16, 2, 2), ('PORTAL8', 8, 4, 2, 2), ('SHORTCUT4', 4, 4, 4, 2), ('BRIDGE4', 4, 4, 2, 4), ('LABEL8_PORTAL8', 8, 8, 2, 2), ('ALL', 8, 16, 4, 4)) t(name, portals, labels, shortcuts, bridges)")
+    @query()
     def cfg_sweep(spark, sf_dir):
-        rows = [F.struct(F.lit(n).alias("name"), *[F.lit(getattr(k, x)).alias(x) for x in ("portals", "labels", "shortcuts", "bridges")]) for n, k in search.sweep(search.Config()).items()]
-        return spark.range(1).select(F.inline(F.array(*rows)))
-
-    _ = one, reports
+        """Two boxes with the variants of one limit in one search of six rounds, and with combined ones if a variant was better."""
+        wide = costs.Box("wide", box.target, box.source, box.Lmin, box.Lmax, box.Hmin, box.Hmax, 60.0, 20.0)
+        return anytime.sweep(ground(spark, sf_dir), [box, wide], search.sweep(search.Config()), rounds=6)[1]

@@ -185,38 +185,28 @@ def register(query, c) -> None:
         """The seventy nodes of the highest hub score."""
         from waywright.operators import network
 
-        return network.hub_candidates(edges(spark, sf_dir), 7).join(spots(spark, sf_dir), "node").orderBy(F.desc("score"), "node").collect()
+        return stored(network.hub_candidates(edges(spark, sf_dir), 7).join(spots(spark, sf_dir), "node").select("node", "x", "y", "score"))
 
     @query()
     def g_bfs_blobs(spark, sf_dir):
-        """Cells of radius 3, grown one after another; the graph must be one that fits the driver."""
-        e = edges(spark, sf_dir)
-        if not graph.fits(e):
-            raise ValueError(f"blobs take at most {graph.KERNEL_EDGES} edges")
-        near = {r["id"]: [] for r in lattice.nodes(spark, sf_dir).select("id").collect()}
-        for r in e.orderBy("u", "v").select("u", "v").collect():
-            near[r["u"]].append(r["v"])
-        cell = seeds.blobs(near, 4, [r["node"] for r in lattice.seeds(spark, sf_dir).orderBy("cell").collect()])
-        return spark.createDataFrame(sorted(cell.items()), "node long, cell long")
+        """Cells of radius 3: first those of the seeds, then of the nodes left over."""
+        nodes = lattice.nodes(spark, sf_dir).select(F.col("id").alias("node"))
+        return seeds.blobs(edges(spark, sf_dir), nodes, 4, lattice.seeds(spark, sf_dir).select("node"))
 
     @query()
     def agg_seeds_minibatch(spark, sf_dir):
-        """Centers of seven seeds, moved by batches."""
-        import numpy as np
-
-        rows = candidates(spark, sf_dir)
-        at = np.array([[r["x"], r["y"]] for r in rows], float)
-        moved = seeds.refined(at[seeds.spread_sample(at, 7)], at, 2, 5, 200)
-        return spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(moved)], "cell long, x double, y double")
+        """Centers of seven seeds, moved by batches of all nodes."""
+        own = candidates(spark, sf_dir)
+        start = [(float(r["x"]), float(r["y"])) for r in seeds.spread_sample(own, 7)]
+        moved = seeds.refined(start, spots(spark, sf_dir), 2, 5, 200)
+        return spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(moved)], "cell long, x double, y double")
 
     @query()
     def g_dedup_fill(spark, sf_dir):
         """Repeated seeds without repeats, filled up to seven."""
-        import numpy as np
-
-        rows = candidates(spark, sf_dir)
-        own = seeds.deduplicated([5, 5, 40, 5], np.array([[r["x"], r["y"]] for r in rows], float), 7)
-        return spark.createDataFrame([(k, rows[i]["node"]) for k, i in enumerate(own)], "cell long, node long")
+        own = candidates(spark, sf_dir)
+        two = [r["node"] for r in own.orderBy("node").limit(2).collect()]
+        return spark.createDataFrame(list(enumerate(seeds.deduplicated([two[0], two[0], two[1], two[0]], own, 7))), "cell long, node long")
 
     # ---- validation and repair
 
@@ -378,11 +368,6 @@ def register(query, c) -> None:
         own = search.Config()
         return spark.range(1).select(*[F.lit(getattr(own, x)).alias(x) for x in ("portals", "labels", "shortcuts", "cell_visits", "scan", "repairs", "bridges")])
 
-    @query(f"WITH {extra.LABELS_SQL}, {extra.OVER_SQL} SELECT o.src AS portal, count(*) AS pairs, min(o.length) AS least, max(o.length) AS most FROM overlay o GROUP BY 1")
-    def rep_local2(spark, sf_dir):
-        """Shortcuts of each portal."""
-        return extra.overlay(spark, sf_dir).groupBy(F.col("src").alias("portal")).agg(F.count("*").alias("pairs"), F.min("length").alias("least"), F.max("length").alias("most"))
-
     @query(f"WITH {c.WALKS_SQL}, x AS (SELECT walk, unnest(path) AS cell, unnest(range(len(path))) AS pos FROM walks), f AS (SELECT *, CASE WHEN lag(cell) OVER (PARTITION BY walk ORDER BY pos) = cell THEN 0 ELSE 1 END AS new FROM x), r AS (SELECT *, sum(new) OVER (PARTITION BY walk ORDER BY pos) AS run FROM f) SELECT walk, CAST(run AS BIGINT) AS run, cell, count(*) AS n FROM r GROUP BY ALL")
     def win_cell_runs(spark, sf_dir):
         """Stretches of one cell of each walk, with their lengths."""
