@@ -47,6 +47,20 @@ def plain_form(text):
     return [w.lower() for w, *_ in words], [(f, " ".join(v), k, s) for f, v, k, s in out], [line for _, line, *_ in words]
 
 
+def plain_spelt(text):
+    """Canonical words and signs of arithmetic in order: (form, value, placeholder, number of the word at or after it)."""
+    _, canonical, _ = plain_form(text)
+    words = plain_words(text)
+    out = [(words[k][2], f, v, s, k) for f, v, k, s in canonical]
+    first = {at: k for at, *_, k in out}
+    for m in re.finditer(r"[-+*/=<>^%]", text):
+        if m[0] == "-" and re.match("[A-Za-z]-[A-Za-z]", text[max(0, m.start() - 1) : m.end() + 1]):
+            continue
+        after = [k for at, k in sorted(first.items()) if at > m.start()] or [max(first.values(), default=0)]
+        out.append((m.start(), "sign" + m[0], "", False, after[0]))
+    return [(f, v, s, k) for _, f, v, s, k in sorted(out)]
+
+
 def plain_leak(doc, item):
     """(matched, windows, reparameterised) of one document and one item, or None."""
     iw, it, _ = plain_form(item)
@@ -71,6 +85,17 @@ def plain_leak(doc, item):
             diagonals[b - a][0].add(place)
             diagonals[b - a][1].update(zip(slots, other, strict=True))
     good = [(p, pairs) for p, pairs in diagonals.values() if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})]
+    if not mine:  # mostly placeholders: words and signs
+        it, dt = plain_spelt(item), plain_spelt(doc)
+        width = min(16, len(it))
+        cut = lambda t: [(a, tuple(f for f, *_ in t[a : a + width]), [v for _, v, s, _ in t[a : a + width] if s], t[a][3]) for a in range(len(t) - width + 1) if 0 < sum(s for *_, s, _ in t[a : a + width]) <= width - 2]
+        mine, diagonals = cut(it), defaultdict(lambda: (set(), set()))
+        for a, form, slots, place in mine:
+            for b, same, other, _ in cut(dt):
+                if form == same:
+                    diagonals[b - a][0].add(place)
+                    diagonals[b - a][1].update(zip(slots, other, strict=True))
+        good = [(p, pairs) for p, pairs in diagonals.values() if len(pairs) in (len({x for x, _ in pairs}), len({y for _, y in pairs}))]
     template = set().union(*(p for p, _ in good)) if good else set()
     either |= template
     changed = any(x != y for _, pairs in good for x, y in pairs)
@@ -99,17 +124,24 @@ def changed(text, rng):
 
 
 def test_decontamination_equals_a_plain_version(spark):
-    items = passages(1, 60) + ["define photosynthesis now", "Compute 12 + 30 * 4 - 7 / 2", "yes", "no idea", "", None]
+    sums = ["What is 2 + 2", "3 + 5 + 3 = 11", "12 30 4 7 9", "Paris - Rome 7 km 9 km", "Is 3 * Anna > 9 or 10 / 2 < 6 * 7 - 1 + 2 + 3 + 4 = 5"]
+    items = passages(1, 60) + ["define photosynthesis now", "Compute 12 + 30 * 4 - 7 / 2", "yes", "no idea", "", None, *sums]
     rng = random.Random(2)
     fill = lambda: " ".join(rng.choice(["so", "it", "was", "green", "hills", "The", "Of", "7"]) for _ in range(rng.randint(0, 12)))
     docs = [f"{fill()}{rng.choice([' ', '. ', chr(10)])}{changed(items[k % 64], rng)}{rng.choice([' ', '. ', chr(10)])}{fill()}" for k in range(300)]
     docs += [" ".join(passages(3, 20)), "Yes\nno", "say yes\nNo idea.", "define photosynthesis now", "x Compute 12 + 30 * 4 - 7 / 2 y", None, ""]
+    docs += ["Compute 13 + 31 * 5 - 8 / 3", "so What is 7 + 9 now", "what is 7+9?", "What is it and 7 + 9", "1 + 1 + 2 = 4", "8 + 1 + 8 = 17", "13 31 5 8 1", "Rome - Oslo 8 km 2 km", "Is 4 * Otto > 8 or 11 / 3 < 7 * 8 - 2 + 3 + 4 + 5 = 6", "Is 4 * Otto > 8 or 11 / 3 < 7 * 8 + 2 + 3 + 4 + 5 = 6"]
     want = {(d, i): r for d, doc in enumerate(docs) for i, item in enumerate(items) if (r := plain_leak(doc or "", item or ""))}
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["item_id"]): (r["matched"], r["windows"], r["reparameterised"]) for r in decontamination.leaks(table, bench).collect()}
     assert got == want
     assert sum(r[2] for r in want.values()) > 20 and len(want) > 200
+    at = {text: k for k, text in enumerate(docs)}
+    by = {text: k for k, text in enumerate(items)}
+    assert got[at["Compute 13 + 31 * 5 - 8 / 3"], by["Compute 12 + 30 * 4 - 7 / 2"]][2] and got[at["so What is 7 + 9 now"], by["What is 2 + 2"]][2] and (at["What is it and 7 + 9"], by["What is 2 + 2"]) not in got
+    ways = {r["item_id"]: (r["by_words"], r["by_template"]) for r in decontamination.told(bench).collect()}
+    assert ways[by["yes"]] == ("whole line", None) and ways[by[""]] == (None, None) and ways[by["What is 2 + 2"]][1] in ("words", "words and signs") and ways[by["12 30 4 7 9"]] == ("anywhere", None)
 
 
 def test_decontamination_takes_rows_without_id_and_renamed_places(spark):

@@ -264,7 +264,8 @@ def test_decontamination_finds_copies_in_other_cases_and_places(spark):
     texts = [items[0].upper(), items[0].lower(), f"they say that {items[1].lower()}, so it is", items[1].replace(" ", "\n"), f"Now: {items[2]} Well.", f"then {items[3]} again", "What is 12 + 36 - 7 * 3?", "nothing of Anna or Otto"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["reparameterised"]) for r in decontamination.leaks(table, bench).collect()}
-    assert got == {k: (1.0, False) for k in [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]}
+    # item 2 is mostly numbers: its words and signs are its template, so other numbers are found too
+    assert got == {k: (1.0, False) for k in [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]} | {(6, 2): (1.0, True)}
 
 
 def test_decontamination_keeps_the_share_of_templates(spark):
