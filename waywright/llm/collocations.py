@@ -32,6 +32,8 @@ from waywright.llm.common import bit_set, by_bytes, discard, holds, quoted, ship
 LEAST = 100
 DEPTH = 5
 TOP = 2000
+SLICE = 1 << 23  # bytes of a shard's texts
+ROWS_AT_ONCE = 1 << 15  # of what a shard passes on
 ROWS = "lang string, phrase string, n long"
 _LINES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -126,9 +128,11 @@ class Automaton:
         langs = pa.array(shard.langs, pa.string())
         for k, level in enumerate(self.levels, 1):
             if k >= least and len(level["end"]):
-                own = [shard.codes[level["end"] - j] for j in range(k - 1, -1, -1)]
-                lang = langs.take(pa.array(np.searchsorted(shard.begins, own[0], "right") - 1))
-                yield lang, pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in own), " "), pa.array(level["n"], pa.int64())
+                for at in range(0, len(level["end"]), ROWS_AT_ONCE):
+                    end, n = level["end"][at : at + ROWS_AT_ONCE], level["n"][at : at + ROWS_AT_ONCE]
+                    own = [shard.codes[end - j] for j in range(k - 1, -1, -1)]
+                    lang = langs.take(pa.array(np.searchsorted(shard.begins, own[0], "right") - 1))
+                    yield lang, pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in own), " "), pa.array(n, pa.int64())
 
 
 def shards(least: int, depth: int, words=None, pairs=None):
@@ -136,7 +140,7 @@ def shards(least: int, depth: int, words=None, pairs=None):
 
     def run(batches):
         for batch in batches:
-            for part in by_bytes(batch, 1):
+            for part in by_bytes(batch, 1, SLICE):
                 shard = Shard(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist())
                 if depth == 1 and shard.langs:
                     total = np.bincount(np.searchsorted(shard.begins, shard.codes, "right") - 1, minlength=len(shard.langs))
