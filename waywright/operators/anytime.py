@@ -88,14 +88,15 @@ def ground(edges: DataFrame, partition: DataFrame, points: DataFrame, ends: list
 
 def runs_frame(spark: SparkSession, runs: dict[str, tuple[Box, Config]], partition: DataFrame) -> DataFrame:
     """A row for each run of the call: its box, limits and layer, and the cells of its ends."""
-    rows = [(name, b.name, b.source, b.target, *map(float, (b.Lmin, b.Lmax, b.Hmin, b.Hmax, b.Pmin, b.Wmax)), c.labels, c.cell_visits, c.repairs, c.bridges, c.scan, layer(c)) for name, (b, c) in runs.items()]
+    rows = [(name, b.name, b.source, b.target, *map(float, (b.Lmin, b.Lmax, b.Hmin, b.Hmax, b.Pmin, b.Wmax)), c.labels, c.cell_visits, c.repairs, c.bridges, c.scan, layer(b, c)) for name, (b, c) in runs.items()]
     own = spark.createDataFrame(rows, "run string, query string, source long, target long, Lmin double, Lmax double, Hmin double, Hmax double, Pmin double, Wmax double, max_labels int, visits int, repairs int, bridges int, scan int, layer string")
     at = partition.select("node", "cell")
     return stored(own.join(at.withColumnsRenamed({"node": "source", "cell": "source_cell"}), "source", "left").join(at.withColumnsRenamed({"node": "target", "cell": "target_cell"}), "target", "left"), "runs")
 
 
-def layer(c: Config) -> str:
-    return f"portals={c.portals},shortcuts={c.shortcuts}"
+def layer(b: Box, c: Config) -> str:
+    """Runs of one layer have the same portals, which the ends of their box are among, and the same overlay to begin with."""
+    return f"portals={c.portals},shortcuts={c.shortcuts},ends={b.source}-{b.target}"
 
 
 def bounds_of(edges: DataFrame, runs: dict[str, tuple[Box, Config]]) -> DataFrame:
@@ -111,13 +112,15 @@ def bounds_of(edges: DataFrame, runs: dict[str, tuple[Box, Config]]) -> DataFram
     return stored(out, "bounds")
 
 
-def base_overlay(g: Ground, configs: list[Config], ends: list[int]) -> tuple[DataFrame, DataFrame]:
+def base_overlay(g: Ground, runs: dict[str, tuple[Box, Config]]) -> tuple[DataFrame, DataFrame]:
     """The overlay of each layer, and its portals (layer, cell, node)."""
-    edges, portals = None, None
-    for c in {layer(c): c for c in configs}.values():
-        own = stored(search.active_portals(g.crossing, g.partition, g.points, ends, c.portals), "portals")
-        over = search.overlay(g.crossing, own, local.shortcuts(g.ahead, own), c.shortcuts).withColumn("layer", F.lit(layer(c))).select(*EDGE)
-        own = own.select(F.lit(layer(c)).alias("layer"), "cell", "node")
+    edges, portals, chosen = None, None, {}
+    for name, (b, c) in {layer(b, c): (b, c) for b, c in runs.values()}.items():
+        if c.portals not in chosen:
+            chosen[c.portals] = stored(search.active_portals(g.crossing, g.partition, g.points, [], c.portals), "portals")
+        own = chosen[c.portals].union(g.partition.where(F.col("node").isin(b.source, b.target)).select("cell", "node")).distinct()
+        over = search.overlay(g.crossing, own, local.shortcuts(g.ahead, own), c.shortcuts).withColumn("layer", F.lit(name)).select(*EDGE)
+        own = own.select(F.lit(name).alias("layer"), "cell", "node")
         edges, portals = (over, own) if edges is None else (edges.unionByName(over), portals.unionByName(own))
     return stored(edges, "overlay"), stored(portals, "portals")
 
@@ -245,10 +248,9 @@ class Search:
 
     def __init__(self, g: Ground, runs: dict[str, tuple[Box, Config]], *, mend: bool = True):
         self.spark, self.ground, self.mend, self.boxes = g.edges.sparkSession, g, mend, runs
-        ends = sorted({n for b, _ in runs.values() for n in (b.source, b.target)})
         self.runs = runs_frame(self.spark, runs, g.partition)
         self.bounds = bounds_of(g.edges, runs)
-        self.base, self.portals = base_overlay(g, [c for _, c in runs.values()], ends)
+        self.base, self.portals = base_overlay(g, runs)
         self.beside = stored(g.crossing.select("from_cell", "to_cell").distinct(), "beside")
         self.steps, self.labels, self.learnt = (Log(self.spark, n) for n in ("steps", "labels", "learnt"))
         self.kept = stored(start(self.runs).withColumn("round", F.lit(0)), "kept")
