@@ -107,25 +107,49 @@ def cost(length="length", gain="gain", popularity="popularity", width="width", f
     return F.when(sound, F.greatest(out, F.lit(0.0))).otherwise(F.raise_error(F.lit("edge cost isn't finite or is negative")).cast("double"))
 
 
-def spec_cost(spec: Spec, rho: float, pstar: float) -> Column:
-    """cost() of one spec as an expression without look-ups, for columns length, gain, popularity and width."""
+PARAMS = ("L", "w", "p", "h", "H", "pop", "beta", "Wref", "Pref")
+
+
+def spec_rows(specs: list[Spec]) -> Column:
+    """An array with a struct for each spec: spec, _family, and its parameters as _L, _w, ...; constants, so it is one literal."""
+    value = lambda s, n: float(s.params.get(n, 1.0 if n == "L" else 0.0))
+    return F.array(*[F.struct(F.lit(s.name).alias("spec"), F.lit(s.family).alias("_family"), *[F.lit(value(s, n)).alias(f"_{n.lower()}_{n.isupper():d}") for n in PARAMS]) for s in specs])
+
+
+def _families(p, rho: float, pstar: float) -> dict[str, Column]:
+    """The cost of each family; p(name) is a parameter."""
     l, g, pop, wid = (F.col(x) for x in ("length", "gain", "popularity", "width"))
-    p = lambda name, default=0.0: float(spec.params.get(name, default))
-    wscale, pscale = max(abs(p("Wref")), 1.0), max(abs(p("Pref")), 1.0)
+    wscale, pscale = F.greatest(F.abs(p("Wref")), F.lit(1.0)), F.greatest(F.abs(p("Pref")), F.lit(1.0))
     over, under = F.greatest(F.lit(0.0), wid - p("Wref")), F.greatest(F.lit(0.0), p("Pref") - pop)
-    hinge = l * (p("w") * over / wscale + p("p") * under / pscale) if p("w") or p("p") else F.lit(0.0)
-    base = p("L", 1.0) * l
+    hinge = l * (p("w") * over / wscale + p("p") * under / pscale)
     slope = F.greatest(F.lit(0.0), g / l)
-    out = {
-        "physical_length": lambda: l,
-        "hinge": lambda: base + hinge,
-        "low_elevation": lambda: base + p("h") * g + hinge,
-        "high_elevation": lambda: base + p("H") * F.greatest(F.lit(0.0), rho * l - g) + hinge,
-        "pop_complement": lambda: base + p("pop") * l * F.greatest(F.lit(0.0), pstar - pop) / max(pstar, 1.0) + p("w") * l * over / wscale,
-        "width_linear": lambda: base + p("w") * l * F.greatest(wid, F.lit(0.0)) / wscale + hinge,
-        "slope_inverse": lambda: l / (1 + p("beta") * slope) + hinge,
-        "slope_exp": lambda: l * F.exp(-p("beta") * slope) + hinge,
-    }[spec.family]()
+    return {
+        "physical_length": l,
+        "hinge": p("L") * l + hinge,
+        "low_elevation": p("L") * l + p("h") * g + hinge,
+        "high_elevation": p("L") * l + p("H") * F.greatest(F.lit(0.0), rho * l - g) + hinge,
+        "pop_complement": p("L") * l + p("pop") * l * F.greatest(F.lit(0.0), pstar - pop) / max(pstar, 1.0) + p("w") * l * over / wscale,
+        "width_linear": p("L") * l + p("w") * l * F.greatest(wid, F.lit(0.0)) / wscale + hinge,
+        "slope_inverse": l / (1 + p("beta") * slope) + hinge,
+        "slope_exp": l * F.exp(-p("beta") * slope) + hinge,
+    }
+
+
+def row_cost(rho: float, pstar: float) -> Column:
+    """cost() of an edge beside a row of spec_rows: an expression for each family, whatever the number of specs."""
+    out = F.lit(None).cast("double")
+    for name, own in _families(lambda n: F.col(f"_{n.lower()}_{n.isupper():d}"), rho, pstar).items():
+        out = F.when(F.col("_family") == name, own).otherwise(out)
+    return out
+
+
+def spec_cost(spec: Spec, rho: float, pstar: float) -> Column:
+    """cost() of one spec as an expression of columns length, gain, popularity and width."""
+    return checked(_families(lambda n: F.lit(float(spec.params.get(n, 1.0 if n == "L" else 0.0))), rho, pstar)[spec.family])
+
+
+def checked(out: Column) -> Column:
+    """A cost that is finite and not negative but for rounding; else an error."""
     sound = out.isNotNull() & ~F.isnan(out) & (out >= -EPS) & (out < float("inf"))
     return F.when(sound, F.greatest(out, F.lit(0.0))).otherwise(F.raise_error(F.lit("edge cost isn't finite or is negative")).cast("double"))
 

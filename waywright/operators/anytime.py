@@ -28,7 +28,7 @@ from waywright.functions import costs
 from waywright.functions.costs import Box
 from waywright.operators import graph, local, network, portal, search, via
 from waywright.operators.search import SUMS, Config
-from waywright.storage import shared_folder, stored
+from waywright.storage import owned, shared_folder, stored
 
 LABEL = ["run", "dir", "portal", "stops", "cells", *SUMS, "road_changes", "first_road", "last_road", "edges", "priority", "label", "leak"]
 EDGE = ["layer", "src", "dst", "kind", "from_cell", "to_cell", *SUMS, "road_changes", "first_road", "last_road", "edges"]
@@ -41,6 +41,7 @@ class Log:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.schema = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", None
+        owned(spark, self.path)
 
     def append(self, df: DataFrame) -> None:
         self.schema = self.schema or df.schema
@@ -256,7 +257,7 @@ class Search:
         self.kept = stored(start(self.runs).withColumn("round", F.lit(0)), "kept")
         self.labels.append(self.kept)
         self.learnt.append(self.base.where("false").withColumn("round", F.lit(0)))
-        self.fresh_edges, self.round = None, 0
+        self.fresh_edges, self.round, self.mended = None, 0, Log(self.spark, "mended")
         self.status, self.last = dict.fromkeys(runs, "open"), dict.fromkeys(runs, 0)
 
     def overlay(self) -> DataFrame:
@@ -314,14 +315,24 @@ class Search:
     def _learn(self) -> DataFrame | None:
         """New overlay edges after a round, None if there are none."""
         g, at = self.ground, self.ground.partition.select(F.col("node").alias("portal"), "cell")
-        over, own = self.own_overlay(), self.own_portals()
-        since = self.labels.frame().join(at, "portal").groupBy("run", "dir", "cell").agg(F.min("round").alias("since"))
-        found = bridges(g, bridge_pairs(stored(since, "cover"), self.beside, self.round), own, self.runs)
-        stuck = stored(self.stuck(self.round), "stuck")
+        over, own, parts = self.own_overlay(), self.own_portals(), []
+        since = stored(self.labels.frame().join(at, "portal").groupBy("run", "dir", "cell").agg(F.min("round").alias("since")), "cover")
+        pairs = stored(bridge_pairs(since, self.beside, self.round), "pairs")
+        if not pairs.isEmpty():
+            parts.append(bridges(g, pairs, own, self.runs))
+        stuck = self.stuck(self.round)
+        if self.mended.schema is not None:  # what can be done for a portal is done the first time
+            stuck = stuck.join(self.mended.frame(), ["run", "dir", "portal"], "left_anti")
+        stuck = stored(stuck, "stuck")
         if not stuck.isEmpty():
+            self.mended.append(stuck.select("run", "dir", "portal"))
             spent = self.learnt.frame().where("kind IN ('fwd_repair', 'bwd_repair')").select(F.col("layer").alias("run"), F.substring("kind", 1, 3).alias("dir"), F.when(F.col("kind") == "fwd_repair", F.col("from_cell")).otherwise(F.col("to_cell")).alias("cell")).groupBy("run", "dir", "cell").agg(F.count("*").alias("spent"))
-            for part in (directional_repairs(g, stuck, own, over, self.runs, spent, True), directional_repairs(g, stuck, own, over, self.runs, spent, False), dead_repairs(g, own, over, stuck)):
-                found = found.unionByName(part)
+            parts += [directional_repairs(g, stuck, own, over, self.runs, spent, True), directional_repairs(g, stuck, own, over, self.runs, spent, False), dead_repairs(g, own, over, stuck)]
+        if not parts:
+            return None
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
         known = over.select(F.col("run").alias("layer"), "src", "dst", "edges")
         new = stored(found.dropDuplicates(["layer", "src", "dst", "edges"]).join(known, ["layer", "src", "dst", "edges"], "left_anti").select(*EDGE), "new")
         if new.isEmpty():

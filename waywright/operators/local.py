@@ -11,10 +11,12 @@ by length and by the means (keep="best")."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waywright.storage import shared_folder, ship
+from waywright.storage import owned, shared_folder, ship
 
 SUMS = ["length", "gain", "pop_len", "wid_len"]
 STATE = ["cell", "root", "node", *SUMS, "road_changes", "first_road", "last_road", "edges", "label", "open", "popped"]
@@ -134,9 +136,10 @@ class LocalSearch:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of a new name beside the checkpoints, deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    owned(spark, path)
+    return path
 
 
 def shortcuts(state: DataFrame, portals: DataFrame, ahead: bool = True) -> DataFrame:

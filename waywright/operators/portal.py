@@ -91,7 +91,9 @@ def register(query, lattice, cells, box, graph, network) -> None:
     def win_representatives(spark, sf_dir):
         return representatives(labels(spark, sf_dir)).select("dir", "portal", "label", "wins", "place")
 
-    @query(f"WITH {rep_sql} SELECT f.portal, f.label AS f_label, b.label AS b_label, f.length + b.length AS length, f.gain + b.gain AS gain, CAST(f.road_changes + b.road_changes + CASE WHEN f.road <> b.road THEN 1 ELSE 0 END AS INTEGER) AS road_changes FROM rep f JOIN rep b ON f.portal = b.portal WHERE f.dir = 'fwd' AND b.dir = 'bwd'")
+    own = "{'label': label, 'length': length, 'gain': gain, 'changes': road_changes, 'road': road}"
+
+    @query(f"WITH {rep_sql}, g AS (SELECT portal, list({own}) FILTER (dir = 'fwd') AS fs, list({own}) FILTER (dir = 'bwd') AS bs FROM rep GROUP BY 1), x AS (SELECT portal, bs, unnest(fs) AS f FROM g), y AS (SELECT portal, f, unnest(bs) AS b FROM x) SELECT portal, f.label AS f_label, b.label AS b_label, f.length + b.length AS length, f.gain + b.gain AS gain, CAST(f.changes + b.changes + CASE WHEN f.road <> b.road THEN 1 ELSE 0 END AS INTEGER) AS road_changes FROM y")
     def join_same_portal(spark, sf_dir):
         return same_portal(representatives(labels(spark, sf_dir))).select("portal", "f_label", "b_label", "length", "gain", "road_changes")
 

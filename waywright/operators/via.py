@@ -23,9 +23,9 @@ def constants(edges: DataFrame) -> tuple[float, float]:
 def priced(edges: DataFrame, specs: list[Spec], box: Box, directions: tuple[str, ...] = ("fwd",)) -> DataFrame:
     """Edges with the cost of every spec, once for each direction's root."""
     rho, pstar = constants(edges)
-    each = F.array(*[F.struct(F.lit(s.name).alias("spec"), costs.spec_cost(s, rho, pstar).alias("cost")) for s in specs])
     roots = F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(box.source if d == "fwd" else box.target).cast("long").alias("root")) for d in directions])
-    return edges.select("*", F.inline(each)).select("*", F.lit(box.name).alias("query"), F.inline(roots))
+    each = edges.select("*", F.inline(costs.spec_rows(specs))).withColumn("cost", costs.row_cost(rho, pstar))
+    return each.select(*edges.columns, "spec", costs.checked(F.col("cost")).alias("cost"), F.lit(box.name).alias("query"), F.inline(roots))
 
 
 def forest(edges: DataFrame, specs: list[Spec], box: Box, directions: tuple[str, ...] = ("fwd", "bwd")) -> DataFrame:

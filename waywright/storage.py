@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -38,20 +39,45 @@ def ship(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str = "round") -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, and lost executors lose nothing."""
+    """df written to the shared folder and read back: its lineage ends there, and lost executors lose nothing.
+
+    The folder is deleted by dropped(), or when the driver's Python ends."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    owned(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
+_paths: dict[str, SparkSession] = {}
+
+
+def owned(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's Python ends, if it is still there."""
+    if not _paths:
+        atexit.register(_at_end)
+    _paths[path] = spark
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _paths.pop(path, None)
+
+
+def _at_end() -> None:
+    for path, spark in list(_paths.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may have ended before
+            return
+
+
 def dropped(*frames: DataFrame | None) -> None:
     """Delete the files of stored frames that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "stored_path", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(df.sparkSession, path)
