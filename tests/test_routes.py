@@ -150,3 +150,22 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 30
+
+
+def test_walks_are_found_at_any_depth_and_checked(spark):
+    import json
+
+    from waywright.sources import text_files
+
+    sound = {"query_id": "a", "path_node_ids": [1, 2, 3], "csr_edge_ids": [10, 11], "query": {"source": 1, "target": 3}}
+    texts = {
+        "top": sound,
+        "deep": {"x": [{"y": {"z": [[sound | {"query_id": "b", "inner": sound | {"query_id": "c", "edge_ids": [11], "csr_edge_ids": None}}]]}}, 7, "s"]},
+        "bad": [sound | {"edge_ids": [10, 99], "csr_edge_ids": None}, sound | {"csr_edge_ids": [11, 10]}, sound | {"path_node_ids": [1, 2, 4]}, sound | {"query": {"source": 2}}, sound | {"csr_edge_ids": []}, {"path_node_ids": [1]}, {"path_node_ids": "x", "edge_ids": [1]}],
+        "none": 5,
+    }
+    raw = spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()] + [("broken", "{oops"), ("null", None)], "file string, value string")
+    edges = spark.createDataFrame([(10, 1, 2, 5.0, 1.0), (11, 2, 3, 7.0, 0.0)], "edge_id long, u long, v long, length double, gain double")
+    rows = {(r["file"], r["json_path"]): r for r in text_files.witnessed(text_files.nested_walks(raw), edges).collect()}
+    assert {k: r["reason"] for k, r in rows.items()} == {("top", "/"): None, ("deep", "/x[0]/y/z[0][0]"): None, ("deep", "/x[0]/y/z[0][0]/inner"): "other_nodes", ("bad", "[0]"): "unknown_edge", ("bad", "[1]"): "broken", ("bad", "[2]"): "other_nodes", ("bad", "[3]"): "wrong_ends", ("bad", "[4]"): "empty"}
+    assert (rows["top", "/"]["length"], rows["top", "/"]["gain"], rows["deep", "/x[0]/y/z[0][0]"]["query_id"]) == (12.0, 1.0, "b")

@@ -476,6 +476,26 @@ best AS MATERIALIZED (SELECT DISTINCT cell, root, node, length, gain, wid_len, l
         own = c.walks(spark, sf_dir).select(F.to_json(F.struct("walk", F.col("path").alias("nodes"))).alias("value"))
         return text_files.parse_walks(own).select("walk", F.size("nodes").cast("long").alias("n"), F.get("nodes", F.lit(0)).alias("first"))
 
+    pairs = f"""WITH {SQL}, p AS (SELECT a.edge_id AS one, b.edge_id AS two, a.u AS first, a.v AS mid, b.v AS last, a.length + b.length AS length, a.gain + b.gain AS gain FROM edges a JOIN edges b ON b.u = a.v WHERE a.edge_id % 7 = b.edge_id % 7)"""
+
+    def files(spark, sf_dir):
+        """JSON texts with walks of two edges at three depths; some with a node, an edge or a query that isn't theirs, some no JSON."""
+        e = edges(spark, sf_dir)
+        a = e.select(F.col("edge_id").alias("one"), F.col("u").alias("first"), F.col("v").alias("mid"))
+        p = a.join(e.select(F.col("edge_id").alias("two"), F.col("u").alias("mid"), F.col("v").alias("last")), "mid").where(F.col("one") % 7 == F.col("two") % 7)
+        k = F.col("one") % 7
+        walk = F.struct(F.concat(F.lit("q"), "one", F.lit("-"), "two").alias("query_id"), F.array("first", F.when(k == 2, F.col("mid") + 1).otherwise(F.col("mid")), "last").alias("path_node_ids"), F.when(k == 3, F.array(F.lit(-1).cast("long"), "two")).when(k == 4, F.array("two", "one")).otherwise(F.array("one", "two")).alias("edge_ids"), F.struct(F.col("first").alias("source"), F.when(k == 1, F.col("last") + 1).otherwise(F.col("last")).alias("target")).alias("query"))
+        flat = F.to_json(walk)
+        deep = F.concat(F.lit('{"runs": [{"x": 1}, {"best": '), flat, F.lit("}]}"))
+        own = F.when(k % 3 == 0, flat).when(k % 3 == 1, deep).otherwise(F.concat(F.lit("[["), flat, F.lit("], 5]")))
+        texts = p.select(F.concat("one", F.lit("-"), "two").alias("file"), own.alias("value"))
+        return texts.union(p.where(k == 0).select(F.concat(F.lit("broken-"), "one", F.lit("-"), "two"), F.lit("{no json")))
+
+    @query(f"{pairs} SELECT one || '-' || two AS file, CASE one % 7 % 3 WHEN 0 THEN '/' WHEN 1 THEN '/runs[1]/best' ELSE '[0][0]' END AS json_path, 'q' || one || '-' || two AS query_id, CASE one % 7 WHEN 1 THEN 'wrong_ends' WHEN 2 THEN 'other_nodes' WHEN 3 THEN 'unknown_edge' WHEN 4 THEN CASE WHEN first <> last THEN 'broken' WHEN first <> mid THEN 'other_nodes' END END AS reason FROM p")
+    def src_walks_nested(spark, sf_dir):
+        """Walks at any depth of JSON texts, validated against the edges: why each is refused, null for sound ones."""
+        return text_files.witnessed(text_files.nested_walks(files(spark, sf_dir)), edges(spark, sf_dir)).select("file", "json_path", "query_id", "reason")
+
     @query("SELECT '{\"item\":' || o_orderkey || ',\"method\":\"' || o_orderpriority || '\",\"mode\":\"' || o_orderstatus || '\"}' AS value FROM orders")
     def sink_json(spark, sf_dir):
         return c.read(spark, sf_dir, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("mode"))).alias("value"))

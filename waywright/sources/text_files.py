@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waywright.storage import stored
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of a text file; line grows with the position in the file."""
@@ -145,6 +147,48 @@ def parse_walks(raw: DataFrame) -> DataFrame:
     return raw.select(F.from_json("value", "walk long, nodes array<long>, edge_ids array<long>").alias("w")).select("w.*")
 
 
+def nested_walks(raw: DataFrame) -> DataFrame:
+    """(file, json_path, query_id, source, target, path_node_ids, edge_ids) of all objects, however deep, that have arrays of node ids
+    and of edge ids (csr_edge_ids or edge_ids). raw: (file, value), a JSON text each; broken ones are passed over.
+
+    A round looks at one level of all texts; only what has objects within is opened for the next."""
+    spark = raw.sparkSession
+    level, found = raw.select("file", F.lit("").alias("json_path"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL"), []
+    ids = lambda name: F.try_variant_get("v", f"$.{name}", "array<bigint>")
+    text = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    number = lambda name: F.try_variant_get("v", f"$.{name}", "bigint")
+    while True:
+        level = stored(level.withColumn("kind", F.schema_of_variant("v")), "json")
+        edge_ids = F.coalesce(ids("csr_edge_ids"), ids("edge_ids"))
+        hit = level.where(F.col("kind").startswith("OBJECT")).select("file", F.when(F.col("json_path") == "", "/").otherwise(F.col("json_path")).alias("json_path"), F.coalesce(text("query_id"), text("name")).alias("query_id"), number("query.source").alias("source"), number("query.target").alias("target"), ids("path_node_ids").alias("path_node_ids"), edge_ids.alias("edge_ids"))
+        found.append(hit.where("path_node_ids IS NOT NULL AND edge_ids IS NOT NULL"))
+        inside = level.where("substr(kind, 2) LIKE '%OBJECT%' OR kind LIKE '%VARIANT%'")
+        if inside.isEmpty():
+            break
+        level = spark.sql("SELECT file, concat(json_path, CASE WHEN key IS NULL THEN concat('[', pos, ']') ELSE concat('/', key) END) AS json_path, value AS v FROM {inside}, LATERAL variant_explode(v) WHERE value IS NOT NULL", inside=inside)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+REFUSED = ("empty", "unknown_edge", "broken", "other_nodes", "wrong_ends")
+
+
+def witnessed(walks: DataFrame, edges: DataFrame) -> DataFrame:
+    """walks with reason, the first of REFUSED that holds (null: the walk is sound), and length and gain of its edges: every edge must be
+    in edges and follow the one before, the nodes must be those of the edges, and the ends those of the query, if it names any."""
+    keyed = walks.withColumn("_w", F.xxhash64("file", "json_path"))
+    at = keyed.select("_w", F.posexplode("edge_ids").alias("pos", "edge_id")).join(edges.select("edge_id", "u", "v", "length", "gain"), "edge_id", "left")
+    steps = at.groupBy("_w").agg(F.array_sort(F.collect_list(F.struct("pos", "u", "v"))).alias("s"), F.sum("length").alias("length"), F.sum("gain").alias("gain"), F.bool_or(F.col("u").isNull()).alias("unknown"))  # the edges of one walk
+    made = F.concat(F.array(F.col("s")[0]["u"]), F.transform("s", lambda x: x["v"]))
+    joined = keyed.join(steps, "_w", "left")
+    broken = F.exists(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.col("s")[i]["u"] != F.col("s")[i - 1]["v"])
+    ends = F.coalesce(F.col("source") != F.get("path_node_ids", F.lit(0)), F.lit(False)) | F.coalesce(F.col("target") != F.element_at("path_node_ids", -1), F.lit(False))
+    reason = F.when(F.col("s").isNull(), "empty").when(F.col("unknown"), "unknown_edge").when((F.size("s") > 1) & broken, "broken").when(made != F.col("path_node_ids"), "other_nodes").when(ends, "wrong_ends")
+    return joined.withColumn("reason", reason).select(*walks.columns, "reason", "length", "gain")
+
+
 def parse_ids(raw: DataFrame) -> DataFrame:
     """(line, old_id, xy_id): a node's id, tagged `old` or untagged."""
     old = F.get("p", F.lit(0)) == "old"
