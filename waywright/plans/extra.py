@@ -340,8 +340,8 @@ def register(query, c) -> None:
         return held(spark, sf_dir, "ground", lambda: anytime.ground(edges(spark, sf_dir), own_cells(spark, sf_dir), spots(spark, sf_dir), [box.source, box.target], longest=box.Lmax))
 
     def main(spark, sf_dir):
-        """The box's search, with bridges and repairs, until nothing is left or for twenty rounds; its status tells which."""
-        return held(spark, sf_dir, "main", lambda: anytime.Search(ground(spark, sf_dir), {box.name: (box, search.Config())}).go_on(20))
+        """The box's search, with bridges and repairs, until nothing is left or for twelve rounds; its status tells which."""
+        return held(spark, sf_dir, "main", lambda: anytime.Search(ground(spark, sf_dir), {box.name: (box, search.Config())}).go_on(12))
 
     def grown(spark, sf_dir):
         return main(spark, sf_dir).labels.frame()
@@ -711,6 +711,6 @@ best AS MATERIALIZED (SELECT DISTINCT cell, root, node, length, gain, wid_len, l
 
     @query()
     def cfg_sweep(spark, sf_dir):
-        """Two boxes with the variants of one limit in one search of six rounds, and with combined ones if a variant was better."""
+        """Two boxes with the variants of one limit in one search of three rounds, and with combined ones if a variant was better."""
         wide = costs.Box("wide", box.target, box.source, box.Lmin, box.Lmax, box.Hmin, box.Hmax, 60.0, 20.0)
-        return anytime.sweep(ground(spark, sf_dir), [box, wide], search.sweep(search.Config()), rounds=6)[1]
+        return anytime.sweep(ground(spark, sf_dir), [box, wide], search.sweep(search.Config()), rounds=3)[1]
