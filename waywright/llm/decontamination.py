@@ -74,9 +74,9 @@ def hashed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mixed((summed[ends] - summed[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def canonical(text: str) -> tuple[np.ndarray, ...]:
+def canonical(text: str, signed: bool = False) -> tuple[np.ndarray, ...]:
     """Of each word: hash of its case-folded form, number of its line; of each canonical word: hash of its form, hash of its
-    value, number of its first word, whether it is a placeholder; hashes and places of signs, and places of canonical words."""
+    value, number of its first word, whether it is a placeholder; if signed, hashes and places of signs, and places of canonical words."""
     word, digit, upper, lower, several = tables()
     c = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(odd := np.unique(c[several[c]])):  # capitals of a German sharp s are two letters
@@ -90,7 +90,7 @@ def canonical(text: str) -> tuple[np.ndarray, ...]:
     starts = np.nonzero(inside[1:] & ~inside[:-1])[0] + 1
     if not len(starts):
         none, index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return none, index, none, none, index, np.zeros(0, bool), none, index, index
+        return none, index, none, none, index, np.zeros(0, bool), *((none, index, index) if signed else ())
     ends = np.nonzero(inside[:-1] & ~inside[1:])[0] + 1
     own = hashed(lower[c], starts, ends)
     number = numeric[starts]
@@ -116,10 +116,13 @@ def canonical(text: str) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(own))
     value = np.where(last - first > 1, mixed((summed[last] - summed[first]) * down[first]), own[first])
     slot = np.isin(form[first], np.array([NUMBER, UNIT, NAME]))
+    out = own, np.cumsum(c == 10)[starts], form[first], value, first, slot
+    if not signed:
+        return out
     signs = np.nonzero(np.isin(c, SIGNS))[0]
-    letter = word & ~digit
-    signs = signs[~((c[signs] == 45) & letter[c[signs - 1]] & letter[c[signs + 1]])]
-    return own, np.cumsum(c == 10)[starts], form[first], value, first, slot, mixed(c[signs].astype(np.uint64) + SIGN), signs, starts[first]
+    letter = lambda x: word[x] & ~digit[x]
+    signs = signs[~((c[signs] == 45) & letter(c[signs - 1]) & letter(c[signs + 1]))]
+    return *out, mixed(c[signs].astype(np.uint64) + SIGN), signs, starts[first]
 
 
 ROW = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("folded", T.BooleanType()), T.StructField("slots", T.ArrayType(T.LongType()))]))
@@ -157,7 +160,7 @@ def _item(texts):
     """Each item's rows: its templates, and its case-folded windows or, if it is short, the line that it is."""
 
     def one(text):
-        own, _, form, value, first, slot, *signs = canonical(text or "")
+        own, _, form, value, first, slot, *signs = canonical(text or "", True)
         if not len(own):
             return []
         width = min(len(form), WIDTH)
@@ -184,7 +187,7 @@ def _cut(template_widths, folded_widths, spelt_widths, lines, bitmap):
         return np.nonzero(bitmap[(index >> np.uint64(3)).astype(np.int64)] >> (index & np.uint64(7)).astype(np.uint8) & 1)[0]
 
     def one(text):
-        own, line, form, value, first, slot, *signs = canonical(text or "")
+        own, line, form, value, first, slot, *signs = canonical(text or "", bool(spelt_widths))
         rows = []
         if spelt_widths:
             s_form, s_value, _, s_slot = spelt(form, value, first, slot, *signs)
